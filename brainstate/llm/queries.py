@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brainstate.llm import quality_query
+from brainstate.llm import html_query, quality_query, toxicity_query, warc_query
 
-_MODULES = (quality_query,)
+_MODULES = (quality_query, warc_query, html_query, toxicity_query)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.NAME: m.query for m in _MODULES}
 SQL: dict[str, str] = {m.NAME: m.SQL for m in _MODULES if m.SQL}

@@ -204,12 +204,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of the archives in manifest (path, size), by byte ranges of split_bytes."""
+    # One task a range: the count is given, else adaptive execution merges these few small rows.
+    n = manifest.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))
     ranges = (
         manifest.filter("size > 0")
         .select("path", "size", F.explode(starts).alias("start"))
         .withColumn("end", F.least(F.col("start") + split_bytes, "size"))
-        .repartition("path", "start")
+        .repartition(int(n), "path", "start")
     )
     return ranges.mapInArrow(_reader, _RECORDS)
 

@@ -42,7 +42,7 @@ ROUNDS = 4
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space but single blanks and line feeds, a blank after another, or what a special token may have.
 _IRREGULAR = re.compile(r"[^\S \n]|\s\s|\x00|<\|")
-_CACHE = 250_000
+_CACHE = 400_000
 
 
 class Encoder:
@@ -60,11 +60,12 @@ class Encoder:
         self.new, self.old = dict(self.fixed), {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4").tobytes()
 
     def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
+        for at in range(0, len(parts), 100):
+            some = parts[at : at + 100]
             ids = np.frombuffer(self._ids("\n".join(some)), "<u4")
             cuts = np.flatnonzero(ids == self.line_feed[0])
             if len(cuts) != len(some) - 1:

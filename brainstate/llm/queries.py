@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brainstate.llm import html_query, quality_query, toxicity_query, warc_query
+from brainstate.llm import (
+    html_query,
+    media_query,
+    near_dup_query,
+    packing_query,
+    quality_query,
+    toxicity_query,
+    warc_query,
+)
 
-_MODULES = (quality_query, warc_query, html_query, toxicity_query)
+_MODULES = (
+    packing_query,
+    html_query,
+    toxicity_query,
+    media_query,
+    quality_query,
+    near_dup_query,
+    warc_query,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.NAME: m.query for m in _MODULES}
 SQL: dict[str, str] = {m.NAME: m.SQL for m in _MODULES if m.SQL}

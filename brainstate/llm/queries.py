@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brainstate.llm import (
     html_query,
+    licenses_query,
     media_query,
     near_dup_query,
     packing_query,
+    pieces_query,
     quality_query,
     toxicity_query,
     warc_query,
@@ -21,9 +23,11 @@ _MODULES = (
     html_query,
     toxicity_query,
     media_query,
+    pieces_query,
     quality_query,
     near_dup_query,
     warc_query,
+    licenses_query,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.NAME: m.query for m in _MODULES}

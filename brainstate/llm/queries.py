@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brainstate.llm import (
     html_query,
     licenses_query,
+    lm_query,
     media_query,
     near_dup_query,
     packing_query,
@@ -19,6 +20,7 @@ from brainstate.llm import (
 )
 
 _MODULES = (
+    lm_query,
     packing_query,
     html_query,
     toxicity_query,

@@ -40,8 +40,11 @@ GIVEN = 16
 ROUNDS = 4
 
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: White space but single blanks and line feeds, a blank after another, or what a special token may have.
-_IRREGULAR = re.compile(r"[^\S \n]|\s\s|\x00|<\|")
+#: White space other than blanks and line feeds, and the mark at which texts are cut.
+_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]")
+#: White space after white space, and what begins a special token.
+_IRREGULAR = ("  ", " \n", "\n ", "\n\n", "<|")
+_CLOSING = ".,;:!?"
 _CACHE = 400_000
 
 
@@ -55,7 +58,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.fixed = {x: self._ids(x) for x in ("", " ", "\n")}
+        self.fixed = {x: self._ids(x) for x in ("", " ", "\n", *_CLOSING)}
         self.line_feed = np.frombuffer(self.fixed["\n"], "<u4")
         self.new, self.old = dict(self.fixed), {}
 
@@ -63,7 +66,17 @@ class Encoder:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, unknown: set[str]) -> None:
+        """Encode unknown parts; a closing mark after a letter is a token of its own, so the part before it is enough."""
+        marked = [x for x in unknown if x[-1] in _CLOSING and x[-2:-1].isalpha()]
+        plain = unknown.difference(marked)
+        plain.update(x[:-1] for x in marked)
+        plain.difference_update(self.new)
+        self._encode(list(plain))
+        for x in marked:
+            self.new[x] = self.new[x[:-1]] + self.fixed[x[-1]]
+
+    def _encode(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 100):
             some = parts[at : at + 100]
             ids = np.frombuffer(self._ids("\n".join(some)), "<u4")
@@ -77,21 +90,18 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = [
-            None if _IRREGULAR.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            None if any(x in t for x in _IRREGULAR) or _ODD.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
             for t in texts
         ]
         if len(self.new) > _CACHE:
             self.old, self.new = self.new, dict(self.fixed)
-        seen: set[str] = set()
-        for parts in cut:
-            seen.update(parts or ())
-        unknown = seen.difference(self.new)
+        unknown = set().union(*(p for p in cut if p)).difference(self.new)
         if unknown and self.old:
             known = unknown.intersection(self.old)
             self.new.update((x, self.old[x]) for x in known)
             unknown -= known
         if unknown:
-            self._learn(list(unknown))
+            self._learn(unknown)
         get = self.new.__getitem__
         return [self._ids(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut, strict=True)]
 

@@ -162,12 +162,12 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
         < F.col("word_chars").cast("long") * MIN_KEPT_PERCENT
     )
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines")
-    return row.select(
-        "row.*",
-        F.struct(
-            *[F.col(k).cast("long").alias(k) for k in counts],
-            "cleaned_text",
-            "base_failed",
-            (~F.col("base_failed") & ~lost_too_much).alias("kept"),
-        ).alias("quality"),
+    quality = F.struct(
+        *[F.col(k).cast("long").alias(k) for k in counts],
+        "cleaned_text",
+        "base_failed",
+        (~F.col("base_failed") & ~lost_too_much).alias("kept"),
     )
+    # Exploding an array of one keeps filters on the result above the steps: pushed below
+    # them, they would hold every step's expression many times over.
+    return row.select("row", F.explode(F.array(quality)).alias("quality")).select("row.*", "quality")

@@ -16,6 +16,7 @@ becomes one block of zero bytes. Equal texts give equal values.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 import zlib
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame
 BLOCK = 64
 #: Blocks between restart markers.
 RESTART = 4
-#: Bytes of payload that are decoded in step, about; a longer image is decoded by itself.
+#: Bytes of payload that are encoded or decoded in step, about.
 TOGETHER = 1 << 20
+#: Bytes of payload in a part of a long image: whole cycles of eight restart markers.
+PART = 8 * 512 * RESTART * BLOCK
 
 #: The code counts by length and the symbols in order of code, of the two Huffman tables
 #: that this writer puts into its files. DC: bit sizes 0 to 9. AC: run and size, as the nibbles of a byte.
@@ -200,27 +203,34 @@ def grid(n_blocks: int) -> tuple[int, int]:
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A baseline JPEG for each payload of whole blocks."""
-    out: list[bytes] = []
-    group: list[bytes] = []
+    scans: list[list[bytes]] = [[] for _ in payloads]
+    group: list[tuple[int, bytes]] = []
+    held = 0
 
     def flush() -> None:
-        shapes = [grid(len(p) // BLOCK) for p in group]
-        counts = np.array([c * r for c, r in shapes])
-        parts = [np.frombuffer(p + b"\x80" * (n * BLOCK - len(p)), np.uint8) for p, n in zip(group, counts, strict=True)]
-        blocks = np.concatenate(parts).astype(np.int16).reshape(-1, BLOCK) - 128
-        for p, (c, r), scan in zip(group, shapes, _scans(blocks, counts), strict=True):
-            out.append(_header(8 * c, 8 * r, len(p)) + scan + b"\xff\xd9")
+        counts = np.array([len(p) // BLOCK for _, p in group])
+        blocks = np.frombuffer(b"".join(p for _, p in group), np.uint8).astype(np.int16).reshape(-1, BLOCK) - 128
+        for (i, _), scan in zip(group, _scans(blocks, counts), strict=True):
+            scans[i].append(scan)
         group.clear()
 
-    held = 0
-    for p in payloads:
-        group.append(p)
-        held += len(p)
-        if held >= TOGETHER:
-            flush()
-            held = 0
+    for i, p in enumerate(payloads):
+        columns, rows = grid(len(p) // BLOCK)
+        size = columns * rows * BLOCK
+        # A long image is encoded in parts of whole cycles of its restart markers, which bounds the memory.
+        for at in range(0, size, PART):
+            own = p[at : at + PART]
+            group.append((i, own + b"\x80" * (min(PART, size - at) - len(own))))
+            held += len(group[-1][1])
+            if held >= TOGETHER:
+                flush()
+                held = 0
     if group:
         flush()
+    out = []
+    for p, parts in zip(payloads, scans, strict=True):
+        columns, rows = grid(len(p) // BLOCK)
+        out.append(_header(8 * columns, 8 * rows, len(p)) + b"\xff\xd7".join(parts) + b"\xff\xd9")
     return out
 
 
@@ -257,6 +267,24 @@ class Image:
         self.n_blocks = self.columns * self.rows
         self.scan = data[at : len(data) - 2 if data.endswith(b"\xff\xd9") else len(data)]
 
+    def parts(self) -> list[Image]:
+        """The image, or if its scan is long images of parts of it, cut at restart markers."""
+        every = PART // (BLOCK * self.restart) if self.restart else 0
+        if not every or self.n_blocks <= 2 * every * self.restart:
+            return [self]
+        data = np.frombuffer(self.scan, np.uint8)
+        marks = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] >= 0xD0) & (data[1:] <= 0xD7))
+        cuts = marks[every - 1 :: every].tolist()
+        out, begin, left = [], 0, self.n_blocks
+        for cut in [*cuts, len(data)]:
+            part = copy.copy(self)
+            part.scan, begin = self.scan[begin:cut], cut + 2
+            part.n_blocks = min(every * self.restart, left)
+            left -= part.n_blocks
+            if part.n_blocks:
+                out.append(part)
+        return out
+
 
 def _lookups(tables: bytes) -> np.ndarray:
     """Lookup of the AC table followed by that of the DC table."""
@@ -338,33 +366,38 @@ def _coefficients(images: list[Image]) -> np.ndarray:
 
 def decode(images: list[bytes]) -> list[tuple[bytes, Image, np.ndarray]]:
     """Payload, markers and thumbnail (rows x columns, 0 to 255) of each image."""
-    out: list[tuple[bytes, Image, np.ndarray]] = []
-    group: list[Image] = []
+    found = [Image(data) for data in images]
+    payloads: list[list[bytes]] = [[] for _ in found]
+    dc: list[list[np.ndarray]] = [[] for _ in found]
+    group: list[tuple[int, Image]] = []
 
     def flush() -> None:
-        blocks = _coefficients(group)
+        blocks = _coefficients([x for _, x in group])
         whole = (blocks + 128).astype(np.uint8)
         at = 0
-        for x in group:
-            mine = slice(at, at + x.n_blocks)
-            luminance = np.clip(blocks[mine, 0] * x.dc_step / 8 + 128, 0, 255).reshape(x.rows, x.columns)
-            out.append((whole[mine].tobytes()[: x.n_bytes], x, luminance))
+        for i, x in group:
+            payloads[i].append(whole[at : at + x.n_blocks].tobytes())
+            dc[i].append(blocks[at : at + x.n_blocks, 0].copy())
             at += x.n_blocks
         group.clear()
 
     held = 0
-    for data in images:
-        x = Image(data)
-        if group and group[0].tables != x.tables:
-            flush()
-            held = 0
-        group.append(x)
-        held += len(data)
-        if held >= TOGETHER:
-            flush()
-            held = 0
+    for i, image in enumerate(found):
+        for part in image.parts():
+            if group and group[0][1].tables != part.tables:
+                flush()
+                held = 0
+            group.append((i, part))
+            held += len(part.scan)
+            if held >= TOGETHER:
+                flush()
+                held = 0
     if group:
         flush()
+    out = []
+    for image, parts, own in zip(found, payloads, dc, strict=True):
+        luminance = np.clip(np.concatenate(own) * image.dc_step / 8 + 128, 0, 255)
+        out.append((b"".join(parts)[: image.n_bytes], image, luminance.reshape(image.rows, image.columns)))
     return out
 
 

@@ -91,10 +91,11 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the struct column `quality` to docs: the counts, cleaned_text, base_failed and kept."""
+def with_quality(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
+    """Add the struct column `out` to docs, or replace it: the counts, cleaned_text, base_failed and kept."""
     # The row is carried as one column, so that no name of the input can clash.
-    row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out])
+    row = docs.select(carried.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     row = row.withColumns(
         {
             "words": F.when(~F.col("text").rlike(WORD), F.array().cast("array<string>")).otherwise(
@@ -170,4 +171,4 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # Exploding an array of one keeps filters on the result above the steps: pushed below
     # them, they would hold every step's expression many times over.
-    return row.select("row", F.explode(F.array(quality)).alias("quality")).select("row.*", "quality")
+    return row.select("row", F.explode(F.array(quality)).alias("quality")).select("row.*", F.col("quality").alias(out))

@@ -226,8 +226,9 @@ def _fitted(model: Model, sample: DataFrame) -> Model:
     return Model(model.entries, model.exceptions, *(float(b) for b in beta))
 
 
-def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with the struct column `toxicity`: score, predicted, weight and hits."""
+def with_scores(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """docs with the struct column `out`, added or replaced: score, predicted, weight and hits."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
     kind = T.StructType(
         [
             T.StructField("score", T.DoubleType()),
@@ -236,7 +237,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             T.StructField("hits", T.LongType()),
         ]
     )
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", kind)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, kind)])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +260,6 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 ],
                 ["score", "predicted", "weight", "hits"],
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)

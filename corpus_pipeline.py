@@ -16,11 +16,13 @@ from brainstate.llm.packing import pack_documents
 from brainstate.llm.quality import with_quality
 from brainstate.llm.toxicity import learn, with_scores
 
+#: Name of a stage's own column; it is gone in what the stage returns.
+VERDICT = "_stage_verdict"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that fail them."""
-    text = F.col("quality.cleaned_text")
-    out = with_quality(docs).filter("quality.kept").withColumn("text", text)
+    out = with_quality(docs, out=VERDICT).filter(f"{VERDICT}.kept").withColumn("text", F.col(f"{VERDICT}.cleaned_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -29,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic, by a lexicon learned from the labelled ones among them."""
     model = learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return with_scores(docs, model).filter("toxicity.predicted = 0").select(*docs.columns)
+    return with_scores(docs, model, out=VERDICT).filter(f"{VERDICT}.predicted = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = classes(docs.select("doc_id", "text"))
     ones = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     # Rows that repeat a kept id lie in one task after the join; no second shuffle is needed to drop them.
-    kept = docs.join(ones, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = docs.join(ones, docs["doc_id"].eqNullSafe(ones["kept_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 
 

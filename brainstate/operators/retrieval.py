@@ -14,7 +14,7 @@ PROCESSING = " (AI 归因中...)"
 SEPARATOR = "\n\n---\n\n"
 
 
-def nearest_prior(rows: DataFrame, order: str = "mem_seq", vector: str = "vector", parts: int = 32) -> DataFrame:
+def nearest_prior(rows: DataFrame, order: str = "mem_seq", vector: str = "vector", parts: int = 8) -> DataFrame:
     """RT2: (session_id, <order>, past, distance): for each row the nearest of those before it in its session.
 
     Rows (session_id, <order>, vector); zero vectors match nothing, ties go to the earliest, and the first row
@@ -44,7 +44,7 @@ def new_trials_only(trials: DataFrame, memory: DataFrame) -> DataFrame:
     return trials.join(memory, ["session_id", "trial_id"], "left_anti")
 
 
-def similar_state_context(events: DataFrame, threshold: float = 0.2, parts: int = 32) -> DataFrame:
+def similar_state_context(events: DataFrame, threshold: float = 0.2, parts: int = 8) -> DataFrame:
     """RT4: events (session_id, start_ts, vector, context) with similar_context, that of the nearest earlier event.
 
     Only a distance under the threshold counts. The event itself isn't stored yet when it asks.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from brainstate.operators import trials as tr
 from brainstate.plans import state_queries as st
 from brainstate.plans import tables as t
 from brainstate.sources import io
+from brainstate.sources.shared import new_folder
 from brainstate.streaming import streams
 
 QUERIES, SQL = {}, {}
@@ -160,7 +159,7 @@ def tr7_trial_report(spark, d):
 
 @query("select user_id as session_id, count(*) as n_samples, sum((event_type <> 'signup')::int)::bigint as n_cues from events group by 1")
 def io2_read_recording(spark, d):
-    folder = _folder(spark, "recording")
+    folder = new_folder(spark, "recording")
     rows = _cues(spark, d).withColumn("session_id", F.col("session_id").cast("string"))
     rows.select("session_id", "sample_idx", "ts", F.col("ch").cast("array<float>").alias("ch")).write.parquet(f"{folder}/recordings")
     rows.select("session_id", "sample_idx", "code").write.parquet(f"{folder}/cues")
@@ -273,7 +272,7 @@ def ch11_current_session(spark, d):
 
 
 def _written(spark, d):
-    folder = _folder(spark, "chat")
+    folder = new_folder(spark, "chat")
     _store(spark, d).write.json(folder)
     return io.read_chat_store(spark, folder)
 
@@ -434,18 +433,6 @@ def sc8_image_data_url(spark, d):
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="brainstate-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/brainstate/{name}-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events*.parquet").parquet(d)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -460,7 +447,7 @@ def _run(rows: DataFrame, folder: str, schema=None) -> DataFrame:
 
 @query("select event_id, user_id, epoch_us(ts) as us, value from events")
 def io1_read_sample_stream(spark, d):
-    folder = _folder(spark, "samples")
+    folder = new_folder(spark, "samples")
     rows = t.events(spark, d).select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("sample_idx"), "ts", F.array(F.col("value").cast("float")).alias("ch"))
     rows.write.parquet(f"{folder}/in")
     out = _run(io.read_sample_stream(spark, f"{folder}/in"), folder)
@@ -472,7 +459,7 @@ def io1_read_sample_stream(spark, d):
     f"""with {st._PSD} select session_id, win_id * 4 as start_idx, round(theta, 4) as theta, round(alpha, 4) as alpha, round(beta, 4) as beta from ft3"""
 )
 def st1_stream_features(spark, d):
-    folder = _folder(spark, "features")
+    folder = new_folder(spark, "features")
     step = int(1_000_000 / t.FS)
     # A regular clock for the recordings, and one late sample that lets the last windows close.
     rows = t.samples(spark, d).withColumn("ts", F.timestamp_micros(F.col("sample_idx") * step))
@@ -491,12 +478,12 @@ _ACT = f"with {st._HOPS}, {st._ACTIONS}"
 
 @query(f"{_ACT} select session_id, action, evt_id, epoch_us(at_ts) as at_us, state from act")
 def st2_stream_episodes(spark, d):
-    return _run(streams.stream_episodes(t.as_hops(_event_stream(spark, d)), t.SUSTAIN), _folder(spark, "episodes"))
+    return _run(streams.stream_episodes(t.as_hops(_event_stream(spark, d)), t.SUSTAIN), new_folder(spark, "episodes"))
 
 
 @query(f"with {st._HOPS} select session_id, evt_id, state, epoch_us(start_ts) as start_us, epoch_us(end_ts) as end_us from epi")
 def st3_stream_memory_sink(spark, d):
-    folder = _folder(spark, "memory")
+    folder = new_folder(spark, "memory")
     actions = streams.stream_episodes(t.as_hops(_event_stream(spark, d)), t.SUSTAIN)
     streams.stream_memory_sink(actions, f"{folder}/rows", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return streams.memory_of(spark.read.schema(actions.schema).parquet(f"{folder}/rows/batch=*"))
@@ -504,7 +491,7 @@ def st3_stream_memory_sink(spark, d):
 
 @query("select user_id as session_id, epoch_us(max(ts)) as us, arg_max(value, ts) as value from events group by 1")
 def st4_stream_latest_metrics(spark, d):
-    folder = _folder(spark, "latest")
+    folder = new_folder(spark, "latest")
     rows = streams.stream_latest_metrics(_event_stream(spark, d).withColumnRenamed("user_id", "session_id"), ["value"])
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -15,6 +15,7 @@ from brainstate.operators import retrieval as rt
 from brainstate.operators import signal as sp
 from brainstate.plans import tables as t
 from brainstate.sources import io
+from brainstate.sources.shared import new_folder
 
 QUERIES, SQL = {}, {}
 
@@ -382,6 +383,25 @@ def io7_get_memory(spark, d):
     return io.get_memory(text, ids).select("session_id", "evt_id", "document")
 
 
+@query(
+    f"""with {_DOCS} select 'eeg' as name, count(*) as n_before, 0::bigint as n_after from docs
+    union all select 'text', count(*), 0 from docs"""
+)
+def io8_clear_memory(spark, d):
+    folder = new_folder(spark, "memory")
+    paths = {"eeg": f"{folder}/eeg", "text": f"{folder}/text"}
+    io.append_memory(_memory(spark, d), *paths.values())
+    counted = lambda name: F.count("*").alias(name)
+    before = {k: spark.read.parquet(p).agg(counted("n")).first().n for k, p in paths.items()}
+    io.clear_memory(spark, *paths.values())
+    out = None
+    for k, p in paths.items():
+        one = spark.read.parquet(p).agg(counted("n_after"))
+        one = one.select(F.lit(k).alias("name"), F.lit(before[k]).cast("long").alias("n_before"), "n_after")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _RECENT = f"""{_DOCS}, rec as (
   select *, row_number() over (partition by session_id order by start_ts desc, evt_id desc) as back from closed)"""
 

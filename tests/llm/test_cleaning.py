@@ -151,6 +151,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got[0].n_copies == 2 and got[0].n_links > 0
 
 
+def test_large_groups_of_near_copies(spark):
+    """Copies that are too far from each other still meet the text they were made from."""
+    texts = []
+    for g in range(2):
+        base = prose(300 + g, 240)
+        texts += [base] + [edited(base, 5000 * g + k, 1 + k % 7) for k in range(150)]
+    random.Random(3).shuffle(texts)
+    got = {r.doc_id: r.class_id for r in nd.classes(documents(spark, texts)).collect()}
+    assert got == brute_classes(list(enumerate(texts)))
+
+
 def test_near_duplicates_edges(spark):
     assert nd.classes(documents(spark, [])).count() == 0
     again = nd.classes(documents(spark, [prose(1)] * 3, [5, 5, None])).collect()

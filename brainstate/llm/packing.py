@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -95,7 +96,9 @@ class Encoder:
         ]
         if len(self.new) > _CACHE:
             self.old, self.new = self.new, dict(self.fixed)
-        unknown = set().union(*(p for p in cut if p)).difference(self.new)
+        unknown: set[str] = set()
+        for parts in cut:
+            unknown.update(filterfalse(self.new.__contains__, parts or ()))
         if unknown and self.old:
             known = unknown.intersection(self.old)
             self.new.update((x, self.old[x]) for x in known)

@@ -6,16 +6,17 @@ functions, the few smallest labelled k-mers and keeps them in text order, so tex
 agree on an entry if they share these k-mers in the same order. Texts that agree on an
 entry form a bucket. In each bucket all texts are compared with five hubs: the one whose
 buckets are largest in all, which finds the text that others were copied from, and four that each
-entry draws, the likelier the larger their buckets. So the pairs grow with the members of a bucket and not with
-their square. Pairs are verified
+entry draws, the likelier the larger their buckets. This links most of what is similar. Then all members of a
+bucket that are still in different classes are compared: small buckets by a join, large ones in blocks of
+bounded size, after bounds by length and by k-mer counts that no pair at the threshold fails. Pairs are verified
 by aligning the two k-mer sequences inside a band that is wide enough for every
 alignment that reaches the threshold. Verified links are closed to classes by
 alternating star contraction.
 
 The similarity of two texts is c / (m + n - c), where m and n are their numbers of
 k-mers and c is the number of equal labelled k-mers that an order-keeping
-alignment matches. Two similar texts of one bucket are in one class if hubs link
-them, directly or through others; with 16 entries a link at 0.8 has about 8 shared buckets.
+alignment matches. Two similar texts that share a bucket are in one class; with 16 entries
+a link at 0.8 has about 8 shared buckets.
 
 Defined results: a text of fewer words than a k-mer is only equal to exact copies, as
 are blank texts. Rows with a null text are each a class of their own. Repeated rows are
@@ -43,6 +44,11 @@ ENTRIES = 16
 ORDERED = 3
 #: Hubs that each bucket draws besides its heaviest member.
 DRAWN = 4
+#: Members of a bucket that a join compares, at most, and members of one of the blocks of larger buckets, about.
+JOINED = 32
+BLOCK = 512
+#: Slots of the k-mer counts that bound the similarity of two texts from above.
+SLOTS = 128
 
 _WORDS = re.compile(WORD)
 _SLICE = 1 << 15
@@ -113,6 +119,12 @@ def sketch(kmers: np.ndarray, entries: int = ENTRIES, ordered: int = ORDERED) ->
     return key.view(np.int64)
 
 
+def slot_counts(kmers: np.ndarray) -> bytes:
+    """Numbers of k-mers by slot, as 16-bit integers; the largest one stands for all that are larger."""
+    counts = np.bincount((kmers >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS)
+    return np.minimum(counts, 0xFFFF).astype("<u2").tobytes()
+
+
 def band_matches(a: np.ndarray, b: np.ndarray, low: int, high: int) -> int:
     """Most equal pairs that an order-keeping alignment has with low <= j - i <= high."""
     width = high - low + 1
@@ -158,17 +170,100 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            done: dict[bytes, np.ndarray] = {}
-            keys = []
+            done: dict[bytes, tuple[np.ndarray, int, bytes]] = {}
+            keys, sizes, slots = [], [], []
             digests = part.column(1).to_pylist()
             for d, text in zip(digests, part.column(2).to_pylist(), strict=True):
                 if d not in done:
-                    done[d] = sketch(labelled_kmers(text))
-                keys.append(done[d])
+                    kmers = labelled_kmers(text)
+                    done[d] = sketch(kmers), len(kmers), slot_counts(kmers)
+                for out, value in zip((keys, sizes, slots), done[d], strict=True):
+                    out.append(value)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), column], ["doc_id", "digest", "entries"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), column, pa.array(sizes, pa.int64()), pa.array(slots, pa.binary())],
+                ["doc_id", "digest", "entries", "size", "slots"],
+            )
+
+
+def _close(least: float):
+    """Pairs (a, b) of a pair of blocks that are in different classes and may reach least."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table["own"].to_numpy()
+        node, root = (np.array(table[c].to_pylist(), object) for c in ("node", "root"))
+        size = table["size"].to_numpy()
+        counts = np.frombuffer(b"".join(table["slots"].to_pylist()), "<u2").reshape(-1, SLOTS)
+        full = (counts == 0xFFFF).any(axis=1)
+        _, root = np.unique(root, return_inverse=True)
+        first, one = own.min(), own.min() == own.max()
+        behind = np.flatnonzero(own != first)
+        a, b = [], []
+        for at, i in enumerate(np.flatnonzero(own == first).tolist()):
+            others = np.arange(at + 1, len(own)) if one else behind
+            need = np.ceil(least * (size[i] + size[others]) / (1 + least) - 1e-9)
+            may = (root[others] != root[i]) & (np.minimum(size[i], size[others]) >= need)
+            others, need = others[may], need[may]
+            shared = np.minimum(counts[i], counts[others]).sum(axis=1, dtype=np.int64)
+            others = others[(shared >= need) | full[i] | full[others]]
+            a += [min(node[i], node[j]) for j in others.tolist()]
+            b += [max(node[i], node[j]) for j in others.tolist()]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _unlinked(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that have different roots and may reach least, some of them repeated."""
+    members = stored(
+        buckets.select("entry", "node")
+        .join(roots, "node", "left")
+        .select("entry", "node", F.coalesce("root", "node").alias("root")),
+        "members",
+    )
+    # The members of a bucket's largest class are only compared with the rest.
+    by_root = members.groupBy("entry", "root").agg(F.count("*").alias("n"))
+    mixed = stored(
+        by_root.groupBy("entry")
+        .agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+        .select("entry", F.col("main")["root"].alias("main"), F.col("main")["n"].alias("n_main"), "n")
+        .filter(F.col("n") > F.col("n_main")),
+        "mixed",
+    )
+    features = nodes.select("node", "size", "slots")
+    rows = members.join(mixed, "entry").withColumn("rest", F.col("root") != F.col("main"))
+    small = stored(
+        rows.filter(F.col("n") <= JOINED).join(features.drop("slots"), "node").select("entry", "node", "root", "size", "rest"),
+        "small",
+    )
+    x = small.filter("rest").select("entry", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "size")])
+    total = F.col("size_x") + F.col("size")
+    joined = (
+        x.join(small, "entry")
+        .filter((F.col("root") != F.col("root_x")) & (F.least("size", "size_x") >= F.ceil(total * (least / (1 + least)) - 1e-6)))
+        .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b"))
+    )
+    # Blocks of the rest come first; each is compared with itself and all after it, the others only with these.
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
+    large = (
+        rows.filter(F.col("n") > JOINED)
+        .withColumn("n_r", blocks(F.col("n") - F.col("n_main")))
+        .withColumn("n_m", blocks(F.col("n_main")))
+        .withColumn("own", F.when(F.col("rest"), dealt(F.col("n_r"))).otherwise(F.col("n_r") + dealt(F.col("n_m"))))
+        .withColumn("last", F.when(F.col("rest"), F.col("n_r") + F.col("n_m")).otherwise(F.col("n_r")) - 1)
+        .select("entry", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+        .join(features, "node")
+        .withColumn("i", F.least("own", "other"))
+        .withColumn("j", F.greatest("own", "other"))
+    )
+    return joined.union(
+        large.select("entry", "i", "j", "node", "root", "own", "size", "slots")
+        .groupBy("entry", "i", "j")
+        .applyInArrow(_close(least), "a binary, b binary")
+    )
 
 
 def _verified(least: float):
@@ -223,19 +318,46 @@ def _rep(node):
     return F.nullif(number.bitwiseXOR(F.lit(-(2**63))), F.lit(2**63 - 1))
 
 
+def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) that reach least."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # The row with the smallest id stands for its copies: no copy's text moves but its own.
+    wanted = needed.join(nodes.select("node", F.col("digest").alias("of"), F.col("rep").alias("id")), "node")
+    held = stored(
+        texts.join(wanted, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        .select("node", "text"),
+        "texts",
+    )
+    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return stored(
+        pairs.join(left, "a")
+        .join(right, "b")
+        .select("a", "b", "text_a", "text_b")
+        .mapInArrow(_verified(least), "a binary, b binary, similarity double")
+        .dropDuplicates(["a", "b"]),
+        "links",
+    )
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of each row of docs (doc_id, text).
 
-    n_links: verified links of the row's text to other texts; n_copies: rows with equal text.
+    n_links: verified links of the row's text to other texts, of all pairs that were compared; pairs that are in one
+    class by the hubs' links aren't compared again, so a text may have more similar ones. n_copies: rows with equal text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = rows.filter(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
     last = F.lit(2**63 - 1)
     sortable = F.lpad(F.hex(F.coalesce("rep", last).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
     nodes = stored(
-        texts.mapInArrow(_sketches, "doc_id long, digest binary, entries array<long>")
+        texts.mapInArrow(_sketches, "doc_id long, digest binary, entries array<long>, size long, slots binary")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("entries").alias("entries"))
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.count("*").alias("n_copies"),
+            *[F.first(c).alias(c) for c in ("entries", "size", "slots")],
+        )
         .withColumn("node", F.concat(F.unhex(sortable), "digest")),
         "nodes",
     )
@@ -264,28 +386,26 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         .distinct(),
         "pairs",
     )
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # The row with the smallest id stands for its copies: no copy's text moves but its own.
-    wanted = needed.join(nodes.select("node", F.col("digest").alias("of"), F.col("rep").alias("id")), "node")
-    held = stored(
-        texts.join(wanted, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
-        .select("node", "text"),
-        "texts",
-    )
-    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    links = stored(
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_verified(least), "a binary, b binary, similarity double")
-        .dropDuplicates(["a", "b"]),
-        "links",
+    first = _links(pairs, texts, nodes, least)
+    roots = stored(components(first), "roots")
+    others = stored(_unlinked(buckets, nodes, roots, least).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    second = _links(others, texts, nodes, least)
+    # The second links join whole classes of the first ones.
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    joins = (
+        second.join(root_of("a"), "a", "left")
+        .join(root_of("b"), "b", "left")
+        .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     )
+    joined = stored(components(joins), "roots").select(F.col("node").alias("root_1"), F.col("root").alias("root_2"))
+    links = first.union(second)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     found = stored(
         nodes.select("node", "digest", "rep", "n_copies")
-        .join(components(links), "node", "left")
+        .join(roots, "node", "left")
+        .withColumn("root_1", F.coalesce("root", "node"))
+        .join(joined, "root_1", "left")
+        .withColumn("root", F.coalesce("root_2", "root"))
         .join(counts, "node", "left")
         .select(
             "digest",

@@ -1,5 +1,6 @@
 """Quality rules, toxicity, near-duplicates and licenses."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -162,6 +163,20 @@ def test_large_groups_of_near_copies(spark):
     assert got == brute_classes(list(enumerate(texts)))
 
 
+def test_similar_pairs_of_a_large_group_without_its_source(spark):
+    """Twins that keep the same runs of a lost text are linked, though nearly all pairs of the group are below 0.8."""
+    base, texts = prose(900, 240).split(" "), []
+    for slots in itertools.combinations(range(12), 3):
+        for _ in range(2):
+            w = list(base)
+            for slot in slots:
+                w[20 * slot : 20 * slot + 4] = [f"own{len(texts)}x{slot}x{k}" for k in range(4)]
+            texts.append(" ".join(w))
+    rows = nd.classes(documents(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i - i % 2 for i in range(len(texts))}
+    assert all(r.n_links == 1 for r in rows)
+
+
 def test_near_duplicates_edges(spark):
     assert nd.classes(documents(spark, [])).count() == 0
     again = nd.classes(documents(spark, [prose(1)] * 3, [5, 5, None])).collect()

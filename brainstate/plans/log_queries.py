@@ -108,9 +108,9 @@ vr as (select session_id, trial_id, label,
 erd as (select *, {", ".join(f"(task_{c} - base_{c}) / (base_{c} + 1e-10::double) * 100 as {c}_erd" for c in ("c3", "cz", "c4"))} from vr)"""
 
 
-def _cut(spark, d):
+def _cut(spark, d, codes="code = '771'"):
     cues = _cues(spark, d)
-    trials = tr.label_cues(tr.number_trials(tr.filter_cues(cues))).filter("code = '771'")
+    trials = tr.label_cues(tr.number_trials(tr.filter_cues(cues))).filter(codes)
     trials = trials.select("session_id", F.col("trial_id").cast("long").alias("trial_id"), "label", F.col("t").alias("onset"))
     samples = tr.pick_channels(cues, {"c3": 0, "cz": 1, "c4": 2}).select("session_id", "sample_idx", "t", "c3", "cz", "c4")
     return tr.epoch_join(trials, samples, bucket=4.0)
@@ -157,6 +157,55 @@ def tr7_trial_report(spark, d):
     return tr.trial_report(trials, near).select("session_id", "trial_id", "past_id", (F.col("memory_text") == tr.NO_MEMORY).alias("no_memory"))
 
 
+# The same over the cues of all four movements and all their trials. A base without variance gives a change by
+# eps alone, which is why changes are given as logarithms (with their sign) and not rounded to decimals.
+
+_CUT_ALL = _CUT.replace(" where code = '771'", "")
+_ERDS = ["c3_erd", "cz_erd", "c4_erd"]
+
+
+def _log(x):
+    return F.signum(x) * F.round(F.log1p(F.abs(x)), 9) + 0.0
+
+
+def _log_sql(x: str) -> str:
+    return f"sign({x}) * round(ln(1 + abs({x})), 9) + 0.0"
+
+
+def _erd_all(spark, d):
+    return tr.erd_percent(tr.epoch_variance(_cut(spark, d, "true")))
+
+
+@query(f"with {_CUT_ALL} select session_id, trial_id, epoch, sample_idx from cut")
+def tr3_epoch_join_all(spark, d):
+    return _cut(spark, d, "true").select("session_id", "trial_id", "epoch", "sample_idx")
+
+
+@query(f"with {_CUT_ALL} select session_id, trial_id, base_c3::real as base_c3, task_c3::real as task_c3, base_c4::real as base_c4 from vr")
+def tr4_epoch_variance_all(spark, d):
+    out = tr.epoch_variance(_cut(spark, d, "true"))
+    return out.select("session_id", "trial_id", *[F.col(c).cast("float") for c in ("base_c3", "task_c3", "base_c4")])
+
+
+@query(f"with {_CUT_ALL} select session_id, trial_id, {', '.join(f'{_log_sql(c)} as {c}_log' for c in _ERDS)} from erd")
+def tr5_erd_percent_all(spark, d):
+    return _erd_all(spark, d).select("session_id", "trial_id", *[_log(F.col(c)).alias(f"{c}_log") for c in _ERDS])
+
+
+@query(f"with {_CUT_ALL} select session_id, trial_id, label, list_value({', '.join(map(_log_sql, _ERDS))}) as vector_log from erd")
+def tr6_trial_features_all(spark, d):
+    out = tr.trial_features(_erd_all(spark, d))
+    return out.select("session_id", "trial_id", "label", F.transform("vector", _log).alias("vector_log"))
+
+
+@query()
+def tr7_trial_report_all(spark, d):
+    """Without SQL: bases without variance make parallel vectors, whose order by distance is noise; tested by brute force."""
+    trials = tr.trial_features(_erd_all(spark, d))
+    near = rt.nearest_prior(trials, "trial_id").withColumnRenamed("past", "past_id")
+    return tr.trial_report(trials, near).select("session_id", "trial_id", "past_id", "distance", (F.col("memory_text") == tr.NO_MEMORY).alias("no_memory"))
+
+
 @query("select user_id as session_id, count(*) as n_samples, sum((event_type <> 'signup')::int)::bigint as n_cues from events group by 1")
 def io2_read_recording(spark, d):
     folder = new_folder(spark, "recording")

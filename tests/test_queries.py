@@ -1,5 +1,6 @@
 """Every query of the library gives the rows of its SQL."""
 
+import numpy as np
 import pytest
 from compare import same
 
@@ -14,6 +15,29 @@ def test_query_equals_sql(spark, small, name):
     same(QUERIES[name](spark, small), SQL[name], small)
 
 
+def test_trials_of_all_cues(spark, small):
+    """All four movements, and trials whose base has no variance."""
+    trials = QUERIES["tr6_trial_features_all"](spark, small).collect()
+    assert {r.label for r in trials} == {"左手", "右手", "双脚", "舌头"}
+    assert any(x > 20 for r in trials for x in r.vector_log)  # 1e-10 is the base
+    whole = {(r.session_id, r.trial_id) for r in trials}
+    for name in ("tr4_epoch_variance_all", "tr5_erd_percent_all", "tr7_trial_report_all"):
+        assert {(r.session_id, r.trial_id) for r in QUERIES[name](spark, small).collect()} == whole
+
+
+def test_nearest_of_all_trials(spark, small):
+    vectors = {}
+    for r in log_queries.tr.trial_features(log_queries._erd_all(spark, small)).collect():
+        vectors.setdefault(r.session_id, {})[r.trial_id] = np.array(r.vector)
+    for r in QUERIES["tr7_trial_report_all"](spark, small).collect():
+        v = vectors[r.session_id][r.trial_id]
+        past = {i: x for i, x in vectors[r.session_id].items() if i < r.trial_id and x.any()} if v.any() else {}
+        distances = {i: 1 - v @ x / (np.linalg.norm(v) * np.linalg.norm(x)) for i, x in past.items()}
+        assert r.no_memory == (not past)
+        if past:
+            assert distances[r.past_id] == pytest.approx(min(distances.values()), abs=1e-12)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -286,6 +286,13 @@ def dw5_display_round(spark, d):
     return dw.display_round(rows, ["shown"]).select("event_id", "shown")
 
 
+@query("select event_id, round_even((value * 3)::decimal(38, 6), 1)::double as shown from events")
+def dw5_display_round_all(spark, d):
+    """All events, those on a tie too: decimals of a fixed scale make ties exact."""
+    rows = t.events(spark, d).withColumn("shown", (F.col("value") * 3).cast("decimal(38,6)"))
+    return dw.display_round(rows, ["shown"]).select("event_id", F.col("shown").cast("double"))
+
+
 # Chat logs.
 
 _LAST = "last as (select conv_id as session_id, max(turn) as mt, arg_max(role, turn) as role, arg_max(text, turn) as q from conversations group by 1)"

@@ -1,5 +1,7 @@
 """Every query of the library gives the rows of its SQL."""
 
+from decimal import ROUND_HALF_EVEN, Decimal
+
 import numpy as np
 import pytest
 from compare import same
@@ -38,6 +40,12 @@ def test_nearest_of_all_trials(spark, small):
             assert distances[r.past_id] == pytest.approx(min(distances.values()), abs=1e-12)
 
 
+def test_display_round_of_all_events(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet").collect()
+    exact = {r.event_id: float((Decimal(str(r.value)) * 3).quantize(Decimal("0.1"), ROUND_HALF_EVEN)) for r in events}
+    assert {r.event_id: r.shown for r in QUERIES["dw5_display_round_all"](spark, small).collect()} == exact
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

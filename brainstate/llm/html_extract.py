@@ -4,7 +4,9 @@ A page is cut into blocks, and each block has the path of block-level tags from
 the root to it. Per path, text length and punctuation are aggregated and divided
 by the number of blocks (text-to-path and punctuation-to-path ratios); the two
 series are smoothed over the blocks in page order, fused with the share of text
-outside links, and paths below a share of the best fused score are dropped.
+outside links, and paths below a share of the best fused score are dropped. An article or main
+element is held against the same share by the sum of its paths, and all blocks of a chosen one are kept. On
+a page without one, so are the blocks beside and below those of the best path, but for those that are only links.
 Containers whose tag or class says that they are furniture (menus, footers,
 adverts, forms, reader comments) have no part in the scores. A heading is kept with
 the content of its container.
@@ -40,6 +42,8 @@ INLINE = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("head nav footer aside form button dialog menu label fieldset figcaption address".split())
 CONTENT = frozenset("article main".split())
+#: Furniture outside of content, text inside of it.
+TEXT_IN_CONTENT = frozenset("figcaption address".split())
 #: An element that ends where one of these starts in the same container.
 CLOSED_BY = {
     "li": frozenset(["li"]),
@@ -66,11 +70,11 @@ _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 
 
 class _Open:
-    """An open element: its tag, the block path it makes and the role it has."""
+    """An open element: its tag, the block path it makes, its role, and the path of the outermost content element."""
 
     __slots__ = ("content", "dropped", "path", "tag")
 
-    def __init__(self, tag: str, path: str, dropped: bool, content: bool):
+    def __init__(self, tag: str, path: str, dropped: bool, content: str):
         self.tag, self.path, self.dropped, self.content = tag, path, dropped, content
 
 
@@ -78,16 +82,17 @@ def _entered(top: _Open, tag: str, attributes: str) -> _Open:
     if tag in INLINE:
         return _Open(tag, top.path, top.dropped, top.content)
     marks = [a or b or c for a, b, c in _MARK.findall(attributes)] if attributes else []
-    furniture = tag in FURNITURE or tag == "header" and not top.content
+    furniture = tag in FURNITURE and not (top.content and tag in TEXT_IN_CONTENT) or tag == "header" and not top.content
     furniture = furniture or any(FURNITURE_CLASS.search(m) for m in marks) and tag not in ("html", "body")
     path = f"{top.path}/{tag}" + (f".{marks[0]}" if marks else "")
-    return _Open(tag, path, top.dropped or furniture, top.content or tag in CONTENT)
+    return _Open(tag, path, top.dropped or furniture, top.content or (path if tag in CONTENT else ""))
 
 
-def blocks(html: str) -> list[tuple[str, str, int, bool]]:
-    """Path, text, length of linked text and whether it is a heading, of each block outside furniture."""
-    stack = [_Open("", "", False, False)]
-    out: list[tuple[str, str, int, bool]] = []
+def blocks(html: str) -> list[tuple[str, str, int, bool, str]]:
+    """Path, text, length of linked text, whether it is a heading, and the path of the content element, of each
+    block outside furniture."""
+    stack = [_Open("", "", False, "")]
+    out: list[tuple[str, str, int, bool, str]] = []
     parts: list[str] = []
     linked = links = at = 0
 
@@ -97,7 +102,7 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
             text = " ".join(unescape("".join(parts)).split())
             if text and not stack[-1].dropped:
                 heading = any(x.tag in HEADINGS for x in stack[-3:])
-                out.append((stack[-1].path, text, min(linked, len(text)), heading))
+                out.append((stack[-1].path, text, min(linked, len(text)), heading, stack[-1].content))
             parts.clear()
         linked = 0
 
@@ -177,7 +182,9 @@ def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by line feeds."""
     found = blocks(html or "")
     sums: dict[str, list[float]] = {}
-    for path, text, linked, heading in found:
+    roots: dict[str, str] = {}
+    for path, text, linked, heading, root in found:
+        roots[path] = root
         if not heading:
             s = sums.setdefault(path, [0, 0, 0, 0])
             s[0] += len(text)
@@ -185,7 +192,7 @@ def main_text(html: str | None) -> str:
             s[2] += linked
             s[3] += 1
     if not sums:
-        return "\n".join(text for _, text, _, _ in found)
+        return "\n".join(text for _, text, *_ in found)
     body = [x[0] for x in found if not x[3]]
     text_ratio = _smoothed([sums[p][0] / sums[p][3] for p in body])
     mark_ratio = _smoothed([sums[p][1] / sums[p][3] for p in body])
@@ -195,11 +202,20 @@ def main_text(html: str | None) -> str:
         fused[path] = fused.get(path, 0.0) + own / sums[path][3]
     least = MIN_SHARE * max(fused.values())
     kept = {p for p, v in fused.items() if v >= least and v > 0}
+    sum_of: dict[str, float] = {}
+    for p, v in fused.items():
+        sum_of[roots[p]] = sum_of.get(roots[p], 0.0) + v
+    chosen = {root for root, v in sum_of.items() if root and v >= least and v > 0}
+    home = max(fused, key=fused.__getitem__).rsplit("/", 1)[0]
+    below = f"{home}/" if not chosen and kept and home.rsplit("/", 1)[-1].split(".")[0] not in ("", "html", "body") else None
     homes = {p.rsplit("/", 1)[0] for p in kept}
     return "\n".join(
         text
-        for path, text, _, heading in found
-        if path in kept or heading and any(h.startswith(path.rsplit("/", 1)[0]) for h in homes)
+        for path, text, linked, heading, root in found
+        if path in kept
+        or root in chosen
+        or below and path.startswith(below) and linked < len(text)
+        or heading and any(h.startswith(path.rsplit("/", 1)[0]) for h in homes)
     )
 
 

@@ -28,6 +28,25 @@ def test_main_text():
     assert main_text(PAGE) == "A & B\nFirst part goes on, with a link.\nSecond é part; it is longer, and has marks."
 
 
+@pytest.mark.parametrize("tag", ["article", "main", 'div class="post"'])
+def test_short_blocks_of_an_article(tag):
+    """Lists, tables, code and quotes beside long paragraphs."""
+    long = ["many words of one part, " * 16 + f"part {i}." for i in range(3)]
+    short = [f"item {i} without any marks" for i in range(5)]
+    parts = [
+        "<h1>Title</h1>", f"<p>{long[0]}</p>", f"<p>{long[1]}</p>", "<ul>", *(f"<li>{x}</li>" for x in short), "</ul>",
+        "<table><tr><td>cell</td><td>2</td></tr></table>", "<pre><code>x = 1</code></pre>",
+        "<blockquote>quoted</blockquote>", f"<p>{long[2]}</p>",
+    ]
+    page = f"<html><body><nav><a href=/>Home</a></nav><{tag}>{''.join(parts)}</{tag.split()[0]}><p>Out</p></body></html>"
+    assert main_text(page) == "\n".join(["Title", *long[:2], *short, "cell", "2", "x = 1", "quoted", long[2]])
+
+
+def test_links_and_captions_of_an_article():
+    inside = "<p>Long text, with marks, and more.</p><figure><figcaption>Caption</figcaption></figure><p><a href=x>Source</a></p><address>Me</address>"
+    assert main_text(f"<article>{inside}</article><address>Site</address>") == "Long text, with marks, and more.\nCaption\nSource\nMe"
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "plain", "<script>", "<!-- x", "</p></b>", "<p>a<p>b", "<b><i>x</b></i>" * 50, "<div>" * 3000 + "deep"])
 def test_broken_pages(html):
     assert isinstance(main_text(html), str)

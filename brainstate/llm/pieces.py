@@ -35,7 +35,7 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 BLANK = "▁"
 _CACHE = 200_000
-_total = itemgetter(1)
+_total, _loss = itemgetter(1), itemgetter(0)
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
 
 
@@ -155,24 +155,39 @@ class Vocabulary:
         flat = [i for own in reversed(ids) for i in own]
         return best, np.array(flat, "<u4").tobytes(), max(second, 0.0)
 
-    def _losses(self, segment: str) -> list[float]:
-        """What each of the n best segmentations loses."""
+    def _losses(self, segment: str) -> list[tuple[float, bytes]]:
+        """What each of the n best segmentations loses, and its ids as bytes; the first is the one of _entry."""
         found = self.segmentations(segment, self.n_best)
-        return [found[0][0] - score for score, _ in found]
+        best = self.known[segment][1]
+        own = [(found[0][0] - score, np.array(ids, "<u4").tobytes()) for score, ids in found]
+        # Of segmentations with equal scores, another one may come first here.
+        return [(0.0, best), *(x for x in own if x[1] != best)][: self.n_best]
 
-    def encode(self, text: str) -> tuple[bytes, list[float]]:
-        """Ids of the best segmentation of a text, and the scores of its n best."""
+    def n_encode(self, text: str) -> tuple[list[bytes], list[float]]:
+        """Ids and scores of the n best segmentations of a text, best first."""
         if not text:
-            return b"", [0.0]
+            return [b""], [0.0]
         segments = _SEGMENT.findall(BLANK + text.replace(" ", BLANK))
         scores, ids, second = zip(*map(self.known.__getitem__, segments), strict=True)
         best = math.fsum(scores)
         # Only the n - 1 segments whose second best loses least can differ in one of the n best.
-        losses = [0.0]
+        paths: list[tuple[float, tuple]] = [(0.0, ())]  # loss, and (place, ids) of the segments that differ
         for i in np.argsort(np.array(second), kind="stable")[: self.n_best - 1].tolist():
-            own = self.losses[segments[i]]
-            losses = heapq.nsmallest(self.n_best, (a + b for a in losses for b in own))
-        return b"".join(ids), [best - v for v in losses]
+            others = self.losses[segments[i]][1:]
+            changed = [(loss + x, (*parts, (i, own))) for loss, parts in paths for x, own in others]
+            paths = heapq.nsmallest(self.n_best, paths + changed, key=_loss)
+        out = []
+        for _, parts in paths:
+            whole = list(ids)
+            for i, own in parts:
+                whole[i] = own
+            out.append(b"".join(whole))
+        return out, [best - loss for loss, _ in paths]
+
+    def encode(self, text: str) -> tuple[bytes, list[float]]:
+        """Ids of the best segmentation of a text, and the scores of its n best."""
+        ids, scores = self.n_encode(text)
+        return ids[0], scores
 
     def decode(self, ids: bytes) -> str:
         """The text of ids as little-endian bytes."""
@@ -190,27 +205,34 @@ def vocabulary(path: str, n_best: int) -> Vocabulary:
 
 
 def with_pieces(docs: DataFrame, model: str | None = None, n_best: int = N_BEST, text: str = "text") -> DataFrame:
-    """(doc_id, text, ids, scores) of docs: ids as little-endian bytes, the scores of the n best."""
+    """(doc_id, text, ids, scores, n_ids) of docs: ids as little-endian bytes, the scores and the ids of the n best."""
     path = model or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path, n_best).encode
+        encode = vocabulary(path, n_best).n_encode
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 found = [encode(t or "") for t in batch.column(1).to_pylist()]
-                ids, scores = zip(*found, strict=True)
+                n_ids, scores = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(ids, pa.binary()), pa.array(scores, pa.list_(pa.float64()))],
-                    ["doc_id", "text", "ids", "scores"],
+                    [
+                        *batch.columns,
+                        pa.array([x[0] for x in n_ids], pa.binary()),
+                        pa.array(scores, pa.list_(pa.float64())),
+                        pa.array(n_ids, pa.list_(pa.binary())),
+                    ],
+                    ["doc_id", "text", "ids", "scores", "n_ids"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, text string, ids binary, scores array<double>")
+    return docs.select("doc_id", text).mapInArrow(
+        run, f"doc_id {kind}, text string, ids binary, scores array<double>, n_ids array<binary>"
+    )
 
 
 def with_decoded(pieces: DataFrame, model: str | None = None) -> DataFrame:
-    """pieces (doc_id, text, ids, scores) with the column `decoded`."""
+    """pieces (doc_id, text, ids, scores, n_ids) with the columns `decoded`, of ids, and `n_decoded`."""
     path = model or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,12 +240,15 @@ def with_decoded(pieces: DataFrame, model: str | None = None) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts = [decode(x) for x in batch.column(2).to_pylist()]
+                texts = [[decode(x) for x in n_ids] for n_ids in batch.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "scores", "decoded"]
+                    [*batch.columns, pa.array([x[0] for x in texts], pa.string()), pa.array(texts, pa.list_(pa.string()))],
+                    ["doc_id", "text", "ids", "scores", "n_ids", "decoded", "n_decoded"],
                 )
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.select("doc_id", "text", "ids", "scores").mapInArrow(
-        run, f"doc_id {kind}, text string, ids binary, scores array<double>, decoded string"
+    return pieces.select("doc_id", "text", "ids", "scores", "n_ids").mapInArrow(
+        run,
+        f"doc_id {kind}, text string, ids binary, scores array<double>, n_ids array<binary>, "
+        "decoded string, n_decoded array<string>",
     )

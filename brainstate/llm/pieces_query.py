@@ -23,4 +23,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "scores",
         F.md5("decoded").alias("decoded_md5"),
         (F.col("decoded") == whole).alias("round_trip"),
+        F.transform("n_ids", F.crc32).alias("n_ids_crc32"),
+        F.transform("n_decoded", lambda x: x == whole).alias("n_round_trip"),
     )

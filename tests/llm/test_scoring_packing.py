@@ -190,6 +190,24 @@ def test_n_best_equals_all_paths(vocabulary, text):
     assert vocabulary.decode(ids) == text
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("the ainé\n日Z.")), max_size=40))
+def test_n_best_ids(vocabulary, text):
+    """The ids of each of the n best differ, spell the text and have the score that is given."""
+    n_ids, scores = vocabulary.n_encode(text)
+    score = {i: s for (i, *more), s in vocabulary.scores.values() if not more} | dict.fromkeys(vocabulary.bytes, vocabulary.byte_score)
+    assert len(set(n_ids)) == len(n_ids) == len(scores) and n_ids[0] == vocabulary.encode(text)[0]
+    for ids, own in zip(n_ids, scores, strict=True):
+        assert vocabulary.decode(ids) == text
+        assert sum(score[i] for i in np.frombuffer(ids, "<u4").tolist()) == pytest.approx(own)
+
+
+def test_n_best_columns(spark):
+    for r in with_decoded(with_pieces(documents(spark))).collect():
+        assert len(set(map(bytes, r.n_ids))) == len(r.scores)
+        assert bytes(r.n_ids[0]) == bytes(r.ids) and set(r.n_decoded) == {r.text or ""}
+
+
 def test_pieces_edges(spark):
     got = with_decoded(with_pieces(documents(spark))).collect()
     assert len(got) == len(TEXTS)

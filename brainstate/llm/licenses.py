@@ -146,27 +146,28 @@ def align(template: np.ndarray, words: np.ndarray, start: int, band: int) -> tup
     """Matched words, first and last place in words of the best alignment near diagonal `start`.
 
     The whole template is aligned with any part of words whose places lie within `band` of
-    start + i for its word i; matches count, gaps and replaced words don't.
+    start + i for its word i; matches count, gaps and replaced words don't. Of equal ones, the last start and then the
+    first end is best.
     """
     n = len(template)
     low, width = start - band, 2 * band + 1
-    # Per diagonal: (matches, minus the first matched place, last matched place).
-    best = [(0, 0, -1)] * (width + 1)
+    # Per diagonal: (matches, the first matched place, minus the last matched place).
+    best = [(0, 0, 1)] * (width + 1)
     for i in range(n):
         row: list[tuple[int, int, int]] = []
-        left = (0, 0, -1)
+        left = (0, 0, 1)
         for d in range(width):
             j = low + i + d
             diagonal, above = best[d], best[d + 1]
             here = max(left, above)
             if 0 <= j < len(words) and words[j] == template[i]:
                 m, first, _ = diagonal
-                here = max(here, (m + 1, first if m else -j, j))
+                here = max(here, (m + 1, first if m else j, -j))
             row.append(here)
             left = here
-        best = [*row, (0, 0, -1)]
+        best = [*row, (0, 0, 1)]
     m, first, last = max(best)
-    return m, -first, last
+    return m, first, -last
 
 
 def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str, float, int, int, int]]:
@@ -182,28 +183,39 @@ def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str
         return []
     kept = np.zeros(len(gram), bool)
     kept[winnowed(gram)] = True
-    candidates: dict[int, list[int]] = {}
+    candidates: dict[int, list[tuple[int, int]]] = {}
     for p in np.flatnonzero(hit & kept).tolist():
         for t, q in index.places[int(gram[p])]:
-            candidates.setdefault(t, []).append(p - q)
+            candidates.setdefault(t, []).append((p - q, p))
     found = []
     for t, diagonals in candidates.items():
         template = index.words[t]
         band = max(BAND, int(BAND_SHARE * len(template)))
-        done = None
-        for start in sorted(set(diagonals)):
-            if done is not None and start <= done + band:
-                continue  # the band of the last alignment has it
-            done = start + band
-            m, first, last = align(template, words, done, 2 * band)
-            if m >= least * len(template):
-                found.append((m, m / len(template), index.names[t], first, last))
+        reach, hopeful, tried = None, False, None
+        wide: list[tuple[int, int, int]] = []
+        own: list[tuple[int, int, int]] = []
+        for start, p in sorted(set(diagonals)):
+            if reach is None or start > reach:
+                reach = start + 2 * band
+                match = align(template, words, start + band, 2 * band)
+                hopeful = match[0] >= least * len(template)
+                if hopeful:
+                    wide.append(match)
+            # The wide band may hold several occurrences: each diagonal outside the matched ones is aligned by itself.
+            if not hopeful or start == tried or any(first <= p <= last for _, first, last in own):
+                continue
+            tried = start
+            match = align(template, words, start, band)
+            if match[0] >= least * len(template):
+                own.append(match)
+        wide = [x for x in wide if sum(x[1] <= last and first <= x[2] for _, first, last in own) < 2]
+        found += [(m, m / len(template), index.names[t], first, last) for m, first, last in {*wide, *own}]
     if not found:
         return []
     spans = [x.span() for x in _WORD.finditer(text)] if len(lowered) == len(text) else [x.span() for x in _WORD.finditer(lowered)]
     out: list[tuple[str, float, int, int, int]] = []
     taken: list[tuple[int, int]] = []
-    for m, coverage, name, first, last in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[2])):
+    for m, coverage, name, first, last in sorted(found, key=lambda x: (-x[0], -x[1], x[4] - x[3], x[3], x[2])):
         if all(last < a or b < first for a, b in taken):
             taken.append((first, last))
             out.append((name, coverage, m, spans[first][0], spans[last][1]))

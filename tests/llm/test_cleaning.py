@@ -203,6 +203,15 @@ def test_license_spans():
     assert lc.scan("", index) == []
 
 
+@pytest.mark.parametrize("times", [1, 2, 3, 7])
+@pytest.mark.parametrize("line", [t for _, t in lc.TEMPLATES])
+def test_repeated_license_lines(line, times):
+    text = "\n".join([prose(3), *[line] * times, prose(4)])
+    found = lc.scan(text, lc.Index(lc.TEMPLATES))
+    assert [f[3] for f in found] == [len(prose(3)) + 1 + i * (len(line) + 1) for i in range(times)]
+    assert all(f[1] == 1 for f in found)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50])
 def test_winnowing_keeps_one_of_each_window(n):
     gram = np.random.default_rng(n).integers(0, 5, n).astype(np.uint64)

@@ -109,7 +109,7 @@ def matched(text: str, automaton: ahocorasick.Automaton) -> tuple[float, int, in
         else:
             excepted.append((start, end))
     if excepted:
-        hits = {s: w for s, w in hits.items() if not any(a <= s <= b for a, b in excepted)}
+        hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in excepted)}
     return sum(hits.values()), len(hits), max(words, 1)
 
 

@@ -73,6 +73,12 @@ def test_exceptions_cancel_what_they_hold():
     assert matched(folded("scumble of paint"), model) == (0, 0, 3)
 
 
+def test_exceptions_do_not_cancel_the_next_word():
+    model = Model({" scum": 3.0}, (" scumble ",), 0, 1, 1).automaton()
+    assert matched(folded("scumble scum"), model) == (3.0, 1, 2)
+    assert matched(folded("scumble scumble scums"), model) == (3.0, 1, 3)
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic", F.lit(1).alias("score"))

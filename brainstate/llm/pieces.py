@@ -35,6 +35,8 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 BLANK = "▁"
 _CACHE = 200_000
+#: Segments whose n best are cached; they are larger than the entries of the best alone.
+_CACHE_N = 20_000
 _total, _loss = itemgetter(1), itemgetter(0)
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
 
@@ -42,13 +44,13 @@ _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
 class _Known(dict):
     """A bounded cache that makes what it lacks; two generations keep what is frequent."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int = _CACHE):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key: str):
         value = self.older.get(key) or self.make(key)
-        if len(self) >= _CACHE:
+        if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[key] = value
@@ -80,7 +82,7 @@ class Vocabulary:
         for value, i in enumerate(self.bytes):
             self.spelled[i] = bytes([value])
         self.prefixes: dict[str, tuple] = {p[:k]: () for p in self.scores for k in range(1, len(p))} | self.scores
-        self.known, self.losses = _Known(self._entry), _Known(self._losses)
+        self.known, self.losses = _Known(self._entry), _Known(self._losses, _CACHE_N)
 
     def _lattice(self, segment: str) -> tuple[list[list[tuple]], list[float]]:
         """For each place, its edges (start, best score through the edge, ids), and its best score."""
@@ -211,8 +213,8 @@ def with_pieces(docs: DataFrame, model: str | None = None, n_best: int = N_BEST,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary(path, n_best).n_encode
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
                 found = [encode(t or "") for t in batch.column(1).to_pylist()]
                 n_ids, scores = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -238,8 +240,8 @@ def with_decoded(pieces: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = vocabulary(path, N_BEST).decode
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
                 texts = [[decode(x) for x in n_ids] for n_ids in batch.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array([x[0] for x in texts], pa.string()), pa.array(texts, pa.list_(pa.string()))],

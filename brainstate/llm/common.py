@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose texts in a column have about `size` bytes; a longer text is alone."""
+    for batch in batches:
+        texts = batch.column(column)
+        wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+        ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + size, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to

@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import count, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -29,84 +29,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brainstate.llm.common import stored
+from brainstate.llm.common import slices, stored
 
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces in a group, on average.
 GROUP = 8192
-#: Sequences that a group gives away for each one over its bound, and rounds of giving away at most.
+#: Sequences that a group gives away for each one over its bound.
 GIVEN = 16
-ROUNDS = 4
 
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: White space other than blanks and line feeds, and the mark at which texts are cut.
-_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]")
-#: White space after white space, and what begins a special token.
-_IRREGULAR = ("  ", " \n", "\n ", "\n\n", "<|")
 _CLOSING = ".,;:!?"
-_CACHE = 400_000
+_SPACE = re.compile(r"\s")
+#: Bytes of a generation of cached parts and their ids, about, and those of an entry besides its part and ids.
+_CACHE = 64 << 20
+_ENTRY = 150
+
+
+def _white(b: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 texts are part of a white space character."""
+    white = (b - np.uint8(9) < 5) | (b == 32)
+    lead = np.flatnonzero((b - np.uint8(0xE1) < 3) | (b == 0xC2))
+    if len(lead):
+        one, two, three = b[lead], b[np.minimum(lead + 1, len(b) - 1)], b[np.minimum(lead + 2, len(b) - 1)]
+        short = (one == 0xC2) & ((two == 0x85) | (two == 0xA0))
+        low = (three - np.uint8(0x80) < 11) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)
+        long = (one == 0xE1) & (two == 0x9A) & (three == 0x80) | (one == 0xE3) & (two == 0x80) & (three == 0x80)
+        long |= (one == 0xE2) & ((two == 0x80) & low | (two == 0x81) & (three == 0x9F))
+        for k in range(3):
+            white[(lead[long] if k == 2 else lead[short | long]) + k] = True
+    return white
+
+
+def parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Parts of texts without nulls, and for each text and the end of all the number of parts before it.
+
+    The pre-tokenizer never joins across a single blank or line feed between other characters, except that
+    the blank belongs to what follows it: texts are cut there.
+    """
+    texts = texts.cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    b = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    first, last = at[:-1][at[:-1] < at[1:]], at[1:][at[:-1] < at[1:]] - 1
+    white = _white(b)
+    single = (b == 32) | (b == 10)
+    single[1:] &= ~white[:-1]
+    single[:-1] &= ~white[1:]
+    single[first] = single[last] = False
+    cut = single.copy()
+    cut[1:] |= single[:-1] & (b[:-1] == 10)
+    cut[first] = True
+    starts = np.append(np.flatnonzero(cut), len(b))
+    cut_up = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(b)])
+    return cut_up, np.searchsorted(starts, at)
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, as the tokenizer gives them.
+    """Ids of texts, as the tokenizer gives them.
 
-    The pre-tokenizer never joins across a single blank or line feed, except that a
-    blank belongs to the word after it. So texts are cut there and each distinct
-    part is encoded once; two generations of a bounded cache keep the frequent parts.
+    Each distinct part of a slice is looked up once; two generations of a bounded cache keep the frequent parts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.fixed = {x: self._ids(x) for x in ("", " ", "\n", *_CLOSING)}
-        self.line_feed = np.frombuffer(self.fixed["\n"], "<u4")
-        self.new, self.old = dict(self.fixed), {}
+        self.fixed = dict(zip(map(str.encode, ("\n", *_CLOSING)), self._ids(["\n", *_CLOSING]), strict=True))
+        self.line_feed = np.frombuffer(self.fixed[b"\n"], "<u4")[0]
+        self.new, self.old, self.size = dict(self.fixed), {}, 0
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _ids(self, text: str) -> bytes:
-        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found.ids, "<u4").tobytes()
+    def _keep(self, some: list[bytes], ids: list[bytes]) -> None:
+        self.new.update(zip(some, ids, strict=True))
+        self.size += _ENTRY * len(some) + sum(map(len, some)) + sum(map(len, ids))
 
-    def _learn(self, unknown: set[str]) -> None:
+    def _learn(self, unknown: list[bytes]) -> None:
         """Encode unknown parts; a closing mark after a letter is a token of its own, so the part before it is enough."""
-        marked = [x for x in unknown if x[-1] in _CLOSING and x[-2:-1].isalpha()]
-        plain = unknown.difference(marked)
-        plain.update(x[:-1] for x in marked)
-        plain.difference_update(self.new)
-        self._encode(list(plain))
-        for x in marked:
-            self.new[x] = self.new[x[:-1]] + self.fixed[x[-1]]
-
-    def _encode(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 100):
-            some = parts[at : at + 100]
-            ids = np.frombuffer(self._ids("\n".join(some)), "<u4")
-            cuts = np.flatnonzero(ids == self.line_feed[0])
-            if len(cuts) != len(some) - 1:
-                self.new.update((x, self._ids(x)) for x in some)
-                continue
-            starts, ends = np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
-            raw = ids.tobytes()
-            self.new.update((x, raw[a:b]) for x, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = [
-            None if any(x in t for x in _IRREGULAR) or _ODD.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            for t in texts
-        ]
-        if len(self.new) > _CACHE:
-            self.old, self.new = self.new, dict(self.fixed)
-        unknown: set[str] = set()
-        for parts in cut:
-            unknown.update(filterfalse(self.new.__contains__, parts or ()))
-        if unknown and self.old:
-            known = unknown.intersection(self.old)
-            self.new.update((x, self.old[x]) for x in known)
-            unknown -= known
+        marked, words = [], set()
+        for x in unknown:
+            if x[-1:] in self.fixed and (x[-2:-1].isalpha() or x[-2:-1] > b"\x7f" and x[:-1].decode()[-1].isalpha()):
+                marked.append(x)
+                x = x[:-1]
+            words.add(x)
+        words.difference_update(self.new)
+        plain = [x for x in words if len(x.split()) == 1 and (x.isascii() or not _SPACE.search(x.decode(), x[0] == 32))]
+        for at in range(0, len(plain), 200):
+            some = plain[at : at + 200]
+            (raw,) = self._ids([b"\n".join(some).decode()])
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.line_feed) * 4
+            if len(cuts) == len(some) - 1:
+                self._keep(some, [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)])
+            else:
+                self._keep(some, self._ids([x.decode() for x in some]))
+        others = list(words.difference(plain))
+        self._keep(others, self._ids([x.decode() for x in others]))
+        self._keep(marked, [self.new[x[:-1]] + self.fixed[x[-1:]] for x in marked])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids before each text and the end of all."""
+        cut, at = parts(texts)
+        coded = cut.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if self.size > _CACHE:
+            self.old, self.new, self.size = self.new, dict(self.fixed), 0
+        unknown = list(filterfalse(self.new.__contains__, distinct))
+        if self.old:
+            known = [x for x in unknown if x in self.old]
+            self._keep(known, [self.old[x] for x in known])
+            unknown = list(filterfalse(self.new.__contains__, unknown))
         if unknown:
             self._learn(unknown)
-        get = self.new.__getitem__
-        return [self._ids(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut, strict=True)]
+        ids = pa.array(map(self.new.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        return np.frombuffer(ids.buffers()[2] or b"", "<u4"), ends[at] // 4
 
 
 _encoders: dict[str, Encoder] = {}
@@ -124,23 +162,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows: list[tuple] = []
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    start, size = 0, (n - 1) % capacity + 1
-                    for k in range((n + capacity - 1) // capacity):
-                        crc = zlib.crc32(ids[4 * start : 4 * (start + size)])
-                        rows.append((doc_id, k, start, size, crc))
-                        start, size = start + size, capacity
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                names = ("doc_id", "piece", "start", "length", "ids_crc32")
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        for batch in slices(batches, "text"):
+            rows: list[tuple] = []
+            ids, at = encode(batch["text"].fill_null(""))
+            for doc_id, a, b in zip(batch["doc_id"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                n = b - a + 1
+                start, size = 0, (n - 1) % capacity + 1
+                for k in range((n + capacity - 1) // capacity):
+                    crc = zlib.crc32(ids[a + start : min(a + start + size, b)])
+                    if start + size == n:
+                        crc = zlib.crc32(end, crc)
+                    rows.append((doc_id, k, start, size, crc))
+                    start, size = start + size, capacity
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            names = ("doc_id", "piece", "start", "length", "ids_crc32")
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ITEM)
 
@@ -203,7 +240,7 @@ def _packed(capacity: int, given: int, round_no: int):
         offset[order] = before - np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(rows))))
         group = int(rows["part"].iloc[0])
         return rows.assign(
-            sequence_id=(round_no << 58) | (group << 24) | place, offset=offset, away=np.isin(place, away)
+            sequence_id=(round_no << 54) | (group << 24) | place, offset=offset, away=np.isin(place, away)
         )[["row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "away"]]
 
     return run
@@ -222,7 +259,7 @@ def _dealt(items: DataFrame, n: int, group: int, round_no: int, capacity: int) -
     )
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """items (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     items = stored(items.select(*columns).withColumn("row", F.monotonically_increasing_id()), "pieces")
@@ -236,7 +273,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     ]
     rest = items.filter(F.col("length") < capacity)
     now = _dealt(rest, rest.count(), group, 1, capacity)
-    for round_no in range(2, rounds + 1):
+    for round_no in count(2):  # each round saves a sequence at least
         away = now.filter("away")
         n, before = away.agg(F.count("*"), F.count_distinct("sequence_id")).first()
         if before < 2:

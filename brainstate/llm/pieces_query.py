@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brainstate.llm.common import table
-from brainstate.llm.pieces import with_decoded, with_pieces
+from brainstate.llm.pieces import with_round_trip
 
 NAME = "op6_sentencepiece_nbest"
 SQL = None
@@ -15,7 +15,7 @@ SQL = None
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     whole = F.coalesce("text", F.lit(""))
-    return with_decoded(with_pieces(docs)).select(
+    return with_round_trip(docs).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),

@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 from brainstate.llm import lm_scoring as lm
 from brainstate.llm import packing as pk
-from brainstate.llm.pieces import BLANK, MODEL, Vocabulary, with_decoded, with_pieces
+from brainstate.llm.pieces import BLANK, MODEL, Vocabulary, with_decoded, with_pieces, with_round_trip
 
 TEXTS = [
     "the cat sat on the mat", "the cat sat", "The CAT ran. a b c d e f g", None, "", "É é\tx\ny", "the dog sat on the mat",
@@ -108,13 +110,29 @@ def test_a_models_probabilities_sum_to_one():
         assert w[2] > 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab Zé.,!\n\t'<|1  日")), max_size=40), min_size=1, max_size=5))
+ENDS = st.sampled_from([*"ab Zé.,!\n\t'<|1  日\0\x1c\x85\xa0\u2003\u2028\u205f\u3000à…", "<|endoftext|>", " a", "'s", "...", "a."])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(ENDS, max_size=20).map("".join), min_size=1, max_size=5))
 def test_cached_encoding_equals_the_tokenizer(texts):
     path = public_tokenizers.path(pk.TOKENIZER)
-    plain = Tokenizer.from_file(path)
-    for text, ids in zip(texts, pk.encoder(path)(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    plain = pk.encoder(path).tokenizer
+    ids, at = pk.encoder(path)(pa.array(["x", *texts], pa.string()).slice(1))
+    for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_small_cache_gives_the_same_ids(small):
+    texts = pq.read_table(f"{small}/documents.parquet")["text"].combine_chunks()
+    path = public_tokenizers.path(pk.TOKENIZER)
+    whole, at = pk.Encoder(path)(texts)
+    tight, found = pk.Encoder(path), []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pk, "_CACHE", 2000)
+        for i in range(0, len(texts), 7):
+            found.append(tight(texts.slice(i, 7))[0])
+    assert np.concatenate(found).tolist() == whole.tolist() and at[-1] == len(whole)
 
 
 @settings(max_examples=50, deadline=None)
@@ -202,8 +220,32 @@ def test_n_best_ids(vocabulary, text):
         assert sum(score[i] for i in np.frombuffer(ids, "<u4").tolist()) == pytest.approx(own)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("theaing▁\n日Zé1🙂ಠ\u2003")), min_size=1, max_size=64), min_size=1, max_size=9))
+def test_shared_passes_equal_single_ones(vocabulary, some):
+    for (score, ids, second), own in zip(vocabulary.entries(some), map(vocabulary.entry, some), strict=True):
+        assert (score, ids) == own[:2] and second == pytest.approx(own[2], abs=1e-9)
+
+
+def test_long_and_many_texts(vocabulary, small):
+    texts = [x or "" for x in pq.read_table(f"{small}/documents.parquet")["text"].to_pylist()]
+    texts += ["", "x" * 3000, "ab " * 3000, "  a  \n\n b ", "▁", texts[0]]
+    together = vocabulary.n_encode_all(pa.array(texts))
+    for text, (n_ids, scores) in zip(texts, together, strict=True):
+        one = Vocabulary.n_encode(vocabulary, text)
+        assert (n_ids, scores) == one
+        assert {vocabulary.decode(x) for x in n_ids} == {text.replace(BLANK, " ")}
+
+
+def test_ids_that_spell_no_text(vocabulary):
+    whole = np.array([vocabulary.bytes[0x20], vocabulary.bytes[0xE2]], "<u4").tobytes()
+    assert vocabulary.decode(whole) == "�" and vocabulary.decode(b"") == ""
+
+
 def test_n_best_columns(spark):
-    for r in with_decoded(with_pieces(documents(spark))).collect():
+    rows = with_round_trip(documents(spark)).collect()
+    assert rows == with_decoded(with_pieces(documents(spark))).collect()
+    for r in rows:
         assert len(set(map(bytes, r.n_ids))) == len(r.scores)
         assert bytes(r.n_ids[0]) == bytes(r.ids) and set(r.n_decoded) == {r.text or ""}
 

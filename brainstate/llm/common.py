@@ -66,3 +66,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, size: int = 8 <
             to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with the column names c0, c1 and so on: maps over batches fail on names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

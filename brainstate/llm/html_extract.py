@@ -13,7 +13,8 @@ the content of its container.
 
 The work is a projection of each row, so it moves no data. Defined results: a
 null or empty html, and a page without content, give an empty text. A tag that is
-never closed ends with its container; a comment, script or style that is never
+never closed ends with its container; a "<" that no ">" follows is text; the time is linear in the page, however bad
+its markup; columns other than html, text and n_chars stay, whatever their names; a comment, script or style that is never
 closed runs to the end of the page. Repeated rows are treated one by one.
 """
 
@@ -25,6 +26,9 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brainstate.llm.common import numbered, slices
 
 #: A path is content if its fused score is at least this share of the page's best.
 MIN_SHARE = 0.1
@@ -43,7 +47,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("head nav footer aside form button dialog menu label fieldset figcaption address".split())
 CONTENT = frozenset("article main".split())
 #: Furniture outside of content, text inside of it.
-TEXT_IN_CONTENT = frozenset("figcaption address".split())
+TEXT_IN_CONTENT = frozenset("figcaption address label".split())
 #: An element that ends where one of these starts in the same container.
 CLOSED_BY = {
     "li": frozenset(["li"]),
@@ -56,17 +60,22 @@ CLOSED_BY = {
 }
 #: Words in a class or id that mark furniture.
 FURNITURE_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|footer|header|cookies?|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|footer|cookies?|"
     r"consent|notice|alert|comments?|replies|respond|share|sharing|social|related|breadcrumbs?|subscribe|"
     r"newsletter|login|signup|popup|modal|widget)(?:$|[\s_-])",
     re.I,
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
-_TOKEN = re.compile(
-    r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
-)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A header by its class, and one that belongs to an article.
+HEADER_CLASS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+OWN_HEADER_CLASS = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content)[_-]+header(?:$|[\s_-])", re.I)
+
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: What a tag has up to its end; quotes count only where a value begins. Nothing is tried twice.
+_INSIDE = re.compile(r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+>")
+_ATTRIBUTE = re.compile(r"([^\s=>/\"']+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+))")
+_MARKS = frozenset("class id role".split())
 
 
 class _Open:
@@ -81,9 +90,12 @@ class _Open:
 def _entered(top: _Open, tag: str, attributes: str) -> _Open:
     if tag in INLINE:
         return _Open(tag, top.path, top.dropped, top.content)
-    marks = [a or b or c for a, b, c in _MARK.findall(attributes)] if attributes else []
+    marks = [a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in _MARKS] if attributes else []
     furniture = tag in FURNITURE and not (top.content and tag in TEXT_IN_CONTENT) or tag == "header" and not top.content
-    furniture = furniture or any(FURNITURE_CLASS.search(m) for m in marks) and tag not in ("html", "body")
+    if tag not in ("html", "body"):
+        furniture = furniture or any(map(FURNITURE_CLASS.search, marks))
+        headers = [] if top.content else filter(HEADER_CLASS.search, marks)
+        furniture = furniture or any(not OWN_HEADER_CLASS.search(m) for m in headers)
     path = f"{top.path}/{tag}" + (f".{marks[0]}" if marks else "")
     return _Open(tag, path, top.dropped or furniture, top.content or (path if tag in CONTENT else ""))
 
@@ -113,20 +125,26 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, str]]:
             if links:
                 linked += len(text.strip())
 
-    end = len(html)
+    end, last, quoted = len(html), html.rfind(">"), True
     while at < end:
-        token = _TOKEN.search(html, at)
-        if token is None:
+        token = _OPENING.search(html, at)
+        # Without an end further on, nothing that begins here is a tag.
+        if token is None or token.start() > last and token[0] != "<!--":
             add(html[at:])
             break
         add(html[at : token.start()])
         at = token.end()
         tag = token[2]
         if tag is None:
-            if token[0] == "<!--":
-                close = html.find("-->", at)
-                at = end if close < 0 else close + 3
+            close = html.find("-->" if token[0] == "<!--" else ">", at)
+            at = end if close < 0 else close + (3 if token[0] == "<!--" else 1)
             continue
+        inside = _INSIDE.match(html, at) if quoted else None
+        if inside is None:  # a quote that is never closed: from here on all tags end at the next end
+            quoted = False
+            attributes, at = html[at : html.find(">", at)], html.find(">", at) + 1
+        else:
+            attributes, at = inside[0][:-1], inside.end()
         tag = tag.lower()
         if token[1]:
             if tag in INLINE:
@@ -144,8 +162,9 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, str]]:
                     break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end if close is None else close.end()
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            at = html.find(">", close.end()) + 1 if close else 0
+            at = at or end
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -163,8 +182,8 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, str]]:
                     break
                 if open_tag not in INLINE:
                     break
-        if not token[3].endswith("/"):
-            stack.append(_entered(stack[-1], tag, token[3]))
+        if not attributes.endswith("/"):
+            stack.append(_entered(stack[-1], tag, attributes))
     flush()
     return out
 
@@ -222,15 +241,15 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """pages with html replaced by its main text and n_chars, the text's code points."""
     keep = [c for c in pages.columns if c not in (html, text, "n_chars")]
-    rows = pages.select(html, *keep)
-    schema = pages.select(*keep).schema.add(text, "string").add("n_chars", "long")
+    named = lambda names: pages.select(*[F.col(f"`{c}`") for c in names])
+    rows, schema = named([html, *keep]), named(keep).schema.add(text, "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             texts = [main_text(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 [*keep, text, "n_chars"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return numbered(rows).mapInArrow(run, schema)

@@ -1,9 +1,13 @@
 """HTML, JPEG and WARC, and the pipeline."""
 
 import hashlib
+import time
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from compare import same
 from hypothesis import given, settings
@@ -47,6 +51,75 @@ def test_links_and_captions_of_an_article():
     assert main_text(f"<article>{inside}</article><address>Site</address>") == "Long text, with marks, and more.\nCaption\nSource\nMe"
 
 
+class Articles(HTMLParser):
+    """Blocks of the article elements of pages of the given shape, by the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.blocks, self.text, self.depth, self.out = [], "", 0, 0
+        self.feed(html)
+        self.close()
+        self.end_block()
+
+    def end_block(self):
+        if text := " ".join(self.text.split()):
+            self.blocks.append(text)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        elif tag == "br":
+            self.text += " "
+        elif tag != "b":
+            self.end_block()
+        self.out += tag == "div" and ("class", "ad") in attrs
+
+    def handle_endtag(self, tag):
+        if tag != "b":
+            self.end_block()
+        self.depth -= tag == "article"
+        self.out -= tag == "div" and self.out > 0
+
+    def handle_data(self, data):
+        if self.depth and not self.out:
+            self.text += data
+
+
+def test_given_pages_equal_a_parser():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    for html in pages:
+        assert main_text(html) == "\n".join(Articles(html or "").blocks)
+    assert len(pages) > 100
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p title=it's>First, part.</p><p>It doesn't stop.</p><p>Don't.</p></article>", "First, part.\nIt doesn't stop.\nDon't."),
+        ("<article><p title='a>b' data-x=\"c>d\">One, two.</p></article>", "One, two."),
+        ("<article><p title = \"x>y\" 'odd>One, two.</p></article>", "One, two."),
+        ("<article><p title=\"never closed>One, two.</p></article>", "One, two."),
+        ("<article><div class=\"article-header\"><h1>Title</h1></div><p>One, two, three.</p></article>", "Title\nOne, two, three."),
+        ("<div class='post'><div class='entry-header'><h2>Title</h2></div><p>One, two, three.</p></div>", "Title\nOne, two, three."),
+        ("<div class='site-header'>Menu, site.</div><article><p>One, two.</p></article>", "One, two."),
+        ("<article><p data-note='class=ad'>One, two.</p></article>", "One, two."),
+        ("<article><p>1 < 2, and a<b.</p></article>", "1 < 2, and a"),
+        ("<article><p>One, two. a <b", "One, two. a <b"),
+    ],
+)
+def test_attributes_and_headers(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b='", '<a b="', "<!", "<!--", "<script", "<script>", "</script ", "<a b=", "<p x='>", "&", "<div>", "</p>", '<a =""'])
+def test_bad_markup_takes_linear_time(part):
+    began = time.process_time()
+    main_text("<article><p>One.</p>" + part * (300_000 // len(part)))
+    main_text("<script>" + part * (300_000 // len(part)) + "<p>x")
+    assert time.process_time() - began < 8
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "plain", "<script>", "<!-- x", "</p></b>", "<p>a<p>b", "<b><i>x</b></i>" * 50, "<div>" * 3000 + "deep"])
 def test_broken_pages(html):
     assert isinstance(main_text(html), str)
@@ -57,6 +130,8 @@ def test_pages(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")).collect()
     assert [(r.page_id, r.n_chars) for r in got] == [(1, len(main_text(PAGE))), (2, 0), (2, 0)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    odd = spark.createDataFrame([(1, PAGE, "old", 2)], "`page.id` long, html string, text string, `a b` int")
+    assert extract(odd).select("`page.id`", "`a b`", "n_chars").collect() == [(1, 2, len(main_text(PAGE)))]
 
 
 @settings(max_examples=40, deadline=None)
@@ -109,6 +184,20 @@ def test_warc_any_split(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_null_ids_repeats_and_other_columns(spark):
+    """A page without an id is a response, as in the SQL; a hot payload's repeated rows are one page each."""
+    rows = [(None, "u", "x" * 200), (5, "u", "x" * 200), (5, "u", "x" * 200), (7, None, "x" * 200), (None, None, "y" * 150)]
+    pages = spark.createDataFrame([(*r, "d", 1) for r in rows], "page_id long, url string, html string, digest string, payload int")
+    got = warc.round_trip(pages).collect()
+    found = Counter((r.page_id, r.record_type, r.refers_to) for r in got)
+    assert found == {(None, "response", None): 2, (5, "response", None): 2, (7, "revisit", 5): 1}
+
+
+def test_media_other_columns(spark):
+    docs = spark.createDataFrame([(1, "abc", "m", 2)], "doc_id long, text string, media string, n_bytes int")
+    assert media.features(media.with_media(docs)).first().n_bytes == 3
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, n = docs.columns, docs.count()
@@ -123,6 +212,18 @@ def test_pipeline(spark, small):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(ids)
 
 
+def test_pipeline_of_nothing_and_of_nulls(spark, small):
+    given = spark.read.parquet(f"{small}/documents.parquet")
+    odd = given.limit(0).union(given.selectExpr("doc_id", "cast(null as string)", "lang", "source", "n_chars").limit(3))
+    repeated = given.limit(20).union(given.limit(20)).union(given.limit(2).selectExpr("cast(null as long)", "text", "lang", "source", "n_chars"))
+    for docs in (given.limit(0), odd, repeated.union(odd)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.stored(stage(spark, docs, small), name)
+            assert docs.columns == given.columns and docs.count() <= n
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() >= docs.count()
+
+
 def test_names():
     assert [sum(q.startswith(f"op{i}_") for q in QUERIES) for i in range(1, 11)] == [1] * 10
     assert set(SQL) <= set(QUERIES)

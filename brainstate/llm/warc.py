@@ -12,7 +12,7 @@ may end beyond it.
 
 Defined results: a null html counts as empty. Of equal payloads of at least
 `min_revisit` bytes the smallest page_id is the response and other ids revisit
-it; rows that repeat that id and payload are responses too. Shorter payloads are all
+it; rows that repeat that id and payload are responses too, and so are pages without an id. Shorter payloads are all
 responses. Null urls and ids are left out of the record's header and come back as
 null. An empty table gives no archives and no records.
 """
@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brainstate.llm.common import new_folder, stored
+from brainstate.llm.common import new_folder, slices, stored
 
 MIN_REVISIT = 100
 SPLIT_BYTES = 4 << 20
@@ -54,7 +54,7 @@ def _record_id(page_id: int | None, digest: str) -> str:
 
 def _record(page_id, url, payload: bytes, digest: str, first) -> bytes:
     """One record as a gzip member; first is the id of the page with the same payload, if another."""
-    revisit = first is not None and first != page_id
+    revisit = first is not None
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", _record_id(page_id, digest)),
@@ -83,7 +83,7 @@ def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, size, n = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
         where, local = fs.FileSystem.from_uri(path)
-        for batch in batches:
+        for batch in slices(batches, "payload"):
             for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if out is None:
                     where.create_dir(posixpath.dirname(local), recursive=True)
@@ -103,12 +103,12 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     rows = pages.select(
         F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    first = (
-        rows.filter(F.length("payload") >= min_revisit)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"))
-    )
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", "first_id")
+    # Digests and ids find out who revisits whom; payloads are only dealt by id and digest, so that a page which very
+    # many others repeat is no hot key.
+    ids = rows.filter(F.length("payload") >= min_revisit).select("page_id", "digest")
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    revisits = ids.join(first, "digest").filter("first_id <> page_id").distinct()
+    rows = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "first_id")
     return stored(rows.mapInArrow(_writer(folder), _MANIFEST), "manifest")
 
 

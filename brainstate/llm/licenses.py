@@ -1,15 +1,21 @@
 """License scans: winnowed fingerprints find candidates, banded alignment reports matches.
 
-Templates and texts are lower-case words. Hashes of k-grams are winnowed: of each few
+Templates and texts are lower-case words; a number with points is one word, without closing zeros. Hashes of k-grams
+are winnowed: of each few
 neighbours the smallest is kept, so a run of k + window - 1 words that a text shares with
 a template shares a fingerprint. The templates' fingerprints make an inverted index, as
 small as the given list of templates, which goes to all tasks with the code. Hits of a
 template on nearby diagonals make a candidate; the template is aligned with the words
-around it inside a band, and the alignment gives the matched words and their span.
-Of overlapping spans the one with the most matched words is reported.
+around it inside a band. A matched word gains two points and a word of the text that is skipped between
+matched ones costs one, so the alignment gives the matched words and a tight span.
+
+The coverage of a match is its matched words by the words of the template or of the span, whichever are more. A match
+counts only if its span has the same qualifying words as the template ("affero", "lesser", "nc" ...) and, where the
+template has numbers, the same numbers: they tell licenses apart whose other words agree.
+Of overlapping spans the one with the most matched words is reported; of equal ones that with the better coverage.
 
 Everything is a projection of each row. Defined results: a null text counts as
-empty; a text without a match gives no spans. Repeated rows are scanned one by one.
+empty; a text without a match gives no spans. Repeated rows are scanned one by one; other columns have no part in it.
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brainstate.llm.common import slices
 
 K = 3
 WINDOW = 2
@@ -29,70 +38,105 @@ MIN_COVERAGE = 0.8
 BAND = 3
 BAND_SHARE = 0.1
 
-#: Short statements and notices of public licenses.
+#: Words that tell licenses of one family apart.
+QUALIFIERS = frozenset("affero lesser library nc nd sa non noncommercial noderivatives noderivs sharealike zero cc0".split())
+
+#: Short statements and notices of public licenses; {} stands for what a family's members differ in.
+MIT_NOTICE = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+    "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software."
+)
+APACHE_NOTICE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+    "compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+    "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS "
+    "OF ANY KIND, either express or implied."
+)
+BSD_2_NOTICE = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution."
+)
+BSD_3_CLAUSE = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+ISC_NOTICE = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies."
+)
+MPL_NOTICE = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+    "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+)
+UNLICENSE_NOTICE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+    "publish, use, compile, sell, or distribute this software."
+)
+BOOST_NOTICE = "Distributed under the Boost Software License, Version 1.0."
+ECLIPSE_NOTICE = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+    "which is available at https://www.eclipse.org/legal/epl-2.0/"
+)
+ZLIB_NOTICE = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+    "liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+    "software for any purpose, including commercial applications, and to alter it and redistribute it freely"
+)
+CC0_NOTICE = "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"
+GNU_SHORT = "This work is licensed under the GNU {} Public License, version {}."
+GNU_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} "
+    "Public License as published by the Free Software Foundation, either version {} of the License, or (at your "
+    "option) any later version."
+)
+CC_SHORT = "Licensed under CC {} {}."
+CC_NOTICE = "This work is licensed under the Creative Commons {} {} {} License."
+GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
+GNU_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+CC = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+CC_KINDS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+CC_VERSIONS = {"3.0": "Unported", "4.0": "International"}
+
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software.",
-    ),
+    ("MIT", MIT_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS "
-        "OF ANY KIND, either express or implied.",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
-    ),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    (
-        "CC-BY-4.0",
-        "This work is licensed under the Creative Commons Attribution 4.0 International License.",
-    ),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
-        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-        "materials provided with the distribution.",
-    ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ),
-    (
-        "MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
-        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ("Apache-2.0", APACHE_NOTICE),
+    ("BSD-2-Clause", BSD_2_NOTICE),
+    ("BSD-3-Clause", f"{BSD_2_NOTICE} {BSD_3_CLAUSE}"),
+    ("ISC", ISC_NOTICE),
+    ("MPL-2.0", MPL_NOTICE),
+    ("Unlicense", UNLICENSE_NOTICE),
+    ("BSL-1.0", BOOST_NOTICE),
+    ("EPL-2.0", ECLIPSE_NOTICE),
+    ("Zlib", ZLIB_NOTICE),
+    ("CC0-1.0", CC0_NOTICE),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    *(
+        (f"{k}-{v}" if "." in v else f"{k}-{v}.0", form.format(GNU[k], v))
+        for k, versions in GNU_VERSIONS.items()
+        for v in versions
+        for form in (GNU_SHORT, GNU_NOTICE)
     ),
-    (
-        "Unlicense",
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
-        "publish, use, compile, sell, or distribute this software.",
+    *((f"CC-{kind}-{v}", CC_SHORT.format(kind, v)) for kind in CC_KINDS for v in CC_VERSIONS),
+    *(
+        (f"CC-{kind}-{v}", CC_NOTICE.format("-".join(CC[k] for k in kind.split("-")), v, place))
+        for kind in CC_KINDS
+        for v, place in CC_VERSIONS.items()
     ),
 )
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\d+(?:\.\d+)+|\w+")
+_ZEROS = re.compile(r"(?:\.0+)+$")
 _CACHE = 400_000
 _hashes: dict[str, int] = {}
 
@@ -105,6 +149,16 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def words_of(lowered: str) -> list[str]:
+    """Words of a lower-case text; 2.0 is 2."""
+    return [_ZEROS.sub("", w) if "." in w else w for w in _WORD.findall(lowered)]
+
+
+def told_apart(words: list[str]) -> tuple[set[str], set[str]]:
+    """Qualifying words and numbers among words."""
+    return QUALIFIERS.intersection(words), {w for w in words if w[0].isdecimal() and w.replace(".", "").isdecimal()}
+
+
 def grams(hashes: np.ndarray, k: int = K) -> np.ndarray:
     n = len(hashes) - k + 1
     out = np.zeros(max(n, 0), np.uint64)
@@ -133,7 +187,9 @@ class Index:
 
     def __init__(self, templates):
         self.names = [name for name, _ in templates]
-        self.words = [word_hashes(_WORD.findall(text.lower())) for _, text in templates]
+        words = [words_of(text.lower()) for _, text in templates]
+        self.marks = [told_apart(w) for w in words]
+        self.words = [word_hashes(w) for w in words]
         self.places: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
             gram = grams(words)
@@ -145,35 +201,37 @@ class Index:
 def align(template: np.ndarray, words: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
     """Matched words, first and last place in words of the best alignment near diagonal `start`.
 
-    The whole template is aligned with any part of words whose places lie within `band` of
-    start + i for its word i; matches count, gaps and replaced words don't. Of equal ones, the last start and then the
-    first end is best.
+    The template is aligned with any part of words whose places lie within `band` of
+    start + i for its word i. A match gains 2, a word skipped between matches costs 1; words of the template that are
+    skipped cost nothing but their matches. Of equal ones, the last start and then the first end is best.
     """
-    n = len(template)
+    own, others = template.tolist(), words.tolist()
     low, width = start - band, 2 * band + 1
-    # Per diagonal: (matches, the first matched place, minus the last matched place).
-    best = [(0, 0, 1)] * (width + 1)
-    for i in range(n):
+    none = (0, 0, 0)
+    found = (0, 0, 0, 0)  # gain, first and minus the last matched place, matches
+    best = [none] * (width + 1)  # per diagonal: gain, first matched place, matches
+    for i, word in enumerate(own):
         row: list[tuple[int, int, int]] = []
-        left = (0, 0, 1)
+        left = none
         for d in range(width):
             j = low + i + d
-            diagonal, above = best[d], best[d + 1]
-            here = max(left, above)
-            if 0 <= j < len(words) and words[j] == template[i]:
-                m, first, _ = diagonal
-                here = max(here, (m + 1, first if m else j, -j))
+            here = max((left[0] - 1, left[1], left[2]) if left[2] else none, best[d + 1], none)
+            if 0 <= j < len(others) and others[j] == word:
+                gain, first, m = best[d]
+                mine = (gain + 2, first if m else j, m + 1)
+                here = max(here, mine)
+                found = max(found, (mine[0], mine[1], -j, mine[2]))
             row.append(here)
             left = here
-        best = [*row, (0, 0, 1)]
-    m, first, last = max(best)
-    return m, first, -last
+        best = [*row, none]
+    return found[3], found[1], -found[2]
 
 
 def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, start, end) of the matches in a text, by place; places are code points."""
     lowered = text.lower()
-    words = word_hashes(_WORD.findall(lowered))
+    names = words_of(lowered)
+    words = word_hashes(names)
     gram = grams(words)
     if not len(gram):
         return []
@@ -188,6 +246,16 @@ def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str
         for t, q in index.places[int(gram[p])]:
             candidates.setdefault(t, []).append((p - q, p))
     found = []
+
+    def covered(t: int, match: tuple[int, int, int]) -> float:
+        """Coverage of a match; 0 if its span has other qualifying words or numbers than the template."""
+        m, first, last = match
+        n = len(index.words[t])
+        if m < least * n or m < least * (last - first + 1):
+            return 0.0
+        (marks, numbers), (own, own_numbers) = told_apart(names[first : last + 1]), index.marks[t]
+        return m / max(n, last - first + 1) if marks == own and (numbers == own_numbers or not own_numbers) else 0.0
+
     for t, diagonals in candidates.items():
         template = index.words[t]
         band = max(BAND, int(BAND_SHARE * len(template)))
@@ -209,7 +277,7 @@ def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str
             if match[0] >= least * len(template):
                 own.append(match)
         wide = [x for x in wide if sum(x[1] <= last and first <= x[2] for _, first, last in own) < 2]
-        found += [(m, m / len(template), index.names[t], first, last) for m, first, last in {*wide, *own}]
+        found += [(x[0], c, index.names[t], x[1], x[2]) for x in {*wide, *own} if (c := covered(t, x))]
     if not found:
         return []
     spans = [x.span() for x in _WORD.finditer(text)] if len(lowered) == len(text) else [x.span() for x in _WORD.finditer(lowered)]
@@ -234,14 +302,9 @@ def with_licenses(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
         names = [f.name for f in _SPAN]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows = [
-                    [dict(zip(names, x, strict=True)) for x in scan(t or "", index)]
-                    for t in batch.column(1).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_SPAN))], ["doc_id", "licenses"])
+        for batch in slices(batches, 1):
+            rows = [[dict(zip(names, x, strict=True)) for x in scan(t or "", index)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_SPAN))], ["doc_id", "licenses"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, licenses {_SPANS}")
+    return docs.select("doc_id", F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, licenses {_SPANS}")

@@ -9,7 +9,8 @@ entry but belong to clean texts become exception phrases, whose matches cancel
 the entries inside them. A text's weight per hundred words and its number of
 different hits go through a logistic curve fitted on the same sample.
 
-Sample and lexicon are bounded by parameters, so both can be sent to all tasks;
+The sample of labelled documents that the table has is bounded by a parameter, and what is learned from it by the
+sample, so it can be sent to all tasks;
 scoring is a projection of each row. Defined results: a null text counts as empty
 and gets the score of a text without a hit; repeated rows get equal scores;
 without toxic rows in the sample the lexicon is empty and every score is below
@@ -21,8 +22,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -31,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brainstate.llm.common import numbered, slices, stored
+
 #: Labelled rows that the lexicon is learned from, at most: those with the smallest hashes of their id.
 MAX_SAMPLE = 20_000
-#: Entries of the lexicon and exception phrases, at most: those with the largest weights.
-MAX_ENTRIES = 2_000
+#: Times that a text counts a term in learning: a text that repeats one word doesn't decide alone.
+SATURATION = 3
 #: Toxic texts that an entry needs, at least and as a share of all, and the least log ratio of its rates.
 MIN_TOXIC = 4
 MIN_TOXIC_SHARE = 0.01
@@ -109,7 +114,10 @@ def matched(text: str, automaton: ahocorasick.Automaton) -> tuple[float, int, in
         else:
             excepted.append((start, end))
     if excepted:
-        hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in excepted)}
+        excepted.sort()
+        starts, ends = [a for a, _ in excepted], list(accumulate((b for _, b in excepted), max))
+        # Of the exceptions that begin at a hit or before it, none may end behind it.
+        hits = {s: w for s, w in hits.items() if not ((i := bisect_right(starts, s)) and s < ends[i - 1])}
     return sum(hits.values()), len(hits), max(words, 1)
 
 
@@ -118,8 +126,8 @@ def _features(weight, hits, words):
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, n) of the words and word beginnings of labelled texts, n at most 3 a text."""
-    for batch in batches:
+    """(term, toxic, n) of the words and word beginnings of labelled texts, n saturated a text."""
+    for batch in slices(batches, 0):
         terms, toxic, counts = [], [], []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found: dict[str, int] = {}
@@ -129,7 +137,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found[key] = found.get(key, 0) + 1
             terms += found
             toxic += [label] * len(found)
-            counts += [min(n, 3) for n in found.values()]
+            counts += [min(n, SATURATION) for n in found.values()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(terms, pa.string()), pa.array(toxic, pa.int32()), pa.array(counts, pa.int64())],
             ["term", "toxic", "n"],
@@ -140,6 +148,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE)
     """(text, toxic) of at most max_sample labelled documents."""
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -150,7 +159,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE)
 
 def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
     """Lexicon, exceptions and curve from docs (doc_id, text) and labels (doc_id, toxic)."""
-    sample = sample_of(docs, labels, max_sample)
+    sample = stored(sample_of(docs, labels, max_sample), "sample")
     n_toxic, n_clean = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     n_toxic, n_clean = n_toxic or 0, n_clean or 0
     if not n_toxic or not n_clean:
@@ -170,8 +179,6 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
     )
     rows = (
         terms.filter((F.col("t_docs") >= max(MIN_TOXIC, MIN_TOXIC_SHARE * n_toxic)) & (F.col("weight") >= MIN_WEIGHT))
-        .orderBy(F.desc("weight"), "term")
-        .limit(MAX_ENTRIES)
         .collect()
     )
     weights = {r["term"]: r["weight"] for r in rows}
@@ -194,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
         inside = F.lit(False)
         for size in sorted({len(b) for b in beginnings}):
             inside = inside | F.substring("term", 1, size).isin([b for b in beginnings if len(b) == size])
-        found = clean.filter(inside).orderBy(F.desc("docs"), "term").limit(MAX_ENTRIES).collect()
+        found = clean.filter(inside).collect()
         exceptions = [r["term"] for r in found if r["term"] not in entries]
     model = Model(entries, tuple(exceptions), 0.0, 1.0, 1.0)
     return _fitted(model, sample)
@@ -205,7 +212,7 @@ def _fitted(model: Model, sample: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = [matched(folded(t), automaton) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array([f[i] for f in found], pa.float64()) for i in range(3)), batch.column(1)],
@@ -242,7 +249,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", out: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
-        for batch in batches:
+        for batch in slices(batches, at):
             scores, weights, hits = [], [], []
             for value in batch.column(at).to_pylist():
                 weight, n, words = matched(folded(value or ""), automaton)
@@ -260,6 +267,6 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", out: str = "t
                 ],
                 ["score", "predicted", "weight", "hits"],
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)

@@ -1,59 +1,60 @@
 """Near-duplicate texts by Order MinHash and banded alignment.
 
-Exact copies are first folded into one text. Each text has its k-mers, windows of
-five words labelled with their occurrence number. A sketch takes, for each of several hash
-functions, the few smallest labelled k-mers and keeps them in text order, so texts
-agree on an entry if they share these k-mers in the same order. Texts that agree on an
-entry form a bucket. In each bucket all texts are compared with five hubs: the one whose
-buckets are largest in all, which finds the text that others were copied from, and four that each
-entry draws, the likelier the larger their buckets. This links most of what is similar. Then all members of a
+Each text has its k-mers, windows of five words labelled with their occurrence number. A sketch takes, for each of
+several hash functions, the few smallest labelled k-mers and keeps them in text order, so texts
+agree on an entry if they share these k-mers in the same order. Rows with equal texts are then folded into one node.
+Nodes that agree on an entry form a bucket. In each bucket all are compared with a few hubs: the one whose
+buckets are largest in all, which finds the text that others were copied from, and those that are
+drawn, the likelier the larger their buckets are. This links most of what is similar. Then all members of a
 bucket that are still in different classes are compared: small buckets by a join, large ones in blocks of
-bounded size, after bounds by length and by k-mer counts that no pair at the threshold fails. Pairs are verified
-by aligning the two k-mer sequences inside a band that is wide enough for every
-alignment that reaches the threshold. Verified links are closed to classes by
-alternating star contraction.
+bounded size and of texts of like length, after bounds by length and by word counts that no pair at the threshold
+fails. So no link between texts that share a bucket is lost, however large it is. Verified links are closed to
+classes by alternating star contraction.
 
-The similarity of two texts is c / (m + n - c), where m and n are their numbers of
-k-mers and c is the number of equal labelled k-mers that an order-keeping
-alignment matches. Two similar texts that share a bucket are in one class; with 16 entries
-a link at 0.8 has about 8 shared buckets.
+A pair is verified by aligning the two texts' words inside a band that is wide enough for every
+alignment that reaches the threshold. The similarity of two texts is c / (m + n - c), where m and n are their
+numbers of words and c is the number of equal words that the best order-keeping alignment matches. At the threshold of
+0.8 about a ninth of the words may differ; with 24 entries of three five-word k-mers each, a pair that has a half of
+its k-mers in common shares a bucket with a probability of 0.96, one that has two thirds of them nearly always.
+
+Texts meet the hubs they are compared with in blocks of bounded size, in which the hub's text comes once.
 
 Defined results: a text of fewer words than a k-mer is only equal to exact copies, as
 are blank texts. Rows with a null text are each a class of their own. Repeated rows are
-exact copies. The class id is the smallest doc_id of its class; null ids come last.
+exact copies. The class id is the smallest doc_id of its class; null ids come last. Other columns, whatever their
+names, have no part in it. A table without rows gives none.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brainstate.llm.common import WORD, stored
+from brainstate.llm.common import slices, stored
 
 K = 5
 SIMILARITY = 0.8
 #: Entries of a sketch, and the k-mers that each holds.
-ENTRIES = 16
+ENTRIES = 24
 ORDERED = 3
 #: Hubs that each bucket draws besides its heaviest member.
-DRAWN = 4
+DRAWN = 2
 #: Members of a bucket that a join compares, at most, and members of one of the blocks of larger buckets, about.
 JOINED = 32
 BLOCK = 512
-#: Slots of the k-mer counts that bound the similarity of two texts from above.
+#: Words of the texts that meet a hub in one block, about.
+BLOCK_WORDS = 100_000
+#: Slots of the word counts that bound the similarity of two texts from above.
 SLOTS = 128
 
-_WORDS = re.compile(WORD)
-_SLICE = 1 << 15
-_CACHE = 400_000
-_hashes: dict[str, int] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_PRIME = np.uint64(0x100000001B3)
+_LAST = np.uint64(2**64 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,129 +64,129 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = _mix(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _word_hashes(text: str) -> np.ndarray:
-    words = _WORDS.findall(text)
-    if len(_hashes) > _CACHE:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
-def labelled_kmers(text: str, k: int = K) -> np.ndarray:
-    """Hashes of the text's k-mers with their occurrence numbers, in text order; all differ."""
-    words = _word_hashes(text)
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+_SEEDS = _mix(np.arange(1, ENTRIES + 1, dtype=np.uint64) * _STEP)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of texts without nulls, and for each text and the end of all the number of words before it."""
+    texts = texts.cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    b = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    word = ~((b - np.uint8(9) < 5) | (b == 32))
+    edge = np.zeros(len(b) + 1, bool)  # a text begins or ends here
+    edge[at] = True
+    before, after = np.append(False, word), np.append(word, False)
+    starts = np.flatnonzero(after & (~before | edge))
+    ends = np.flatnonzero(before & (~after | edge))
+    # Words and the gaps between them in turn.
+    cuts = np.column_stack([starts, ends]).ravel() if len(starts) else np.zeros(1, np.int64)
+    all_of = pa.Array.from_buffers(pa.large_binary(), max(len(cuts) - 1, 0), [None, pa.py_buffer(cuts), pa.py_buffer(b)])
+    coded = all_of.dictionary_encode()
+    own = pa.DictionaryArray.from_arrays(pa.array(coded.indices.to_numpy()[::2]), coded.dictionary)
+    return own, np.searchsorted(starts, at)
+
+
+def labelled_kmers(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the k-mers of texts with their occurrence numbers, in text order, those of a text all differ; the
+    number of k-mers before each text and the end of all; and the same for the words: their hashes and numbers."""
+    coded, at = words_of(texts)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    words = hashes[coded.indices.to_numpy()]
+    n = np.diff(at)
+    own = np.repeat(np.arange(len(texts)), np.maximum(n - k + 1, 0))
+    ends = np.append(0, np.cumsum(np.maximum(n - k + 1, 0)))
+    first = np.arange(ends[-1]) + (at[:-1] - ends[:-1])[own]
+    h = np.zeros(ends[-1], np.uint64)
     for j in range(k):
-        h = h * np.uint64(0x100000001B3) + words[j : j + n]
-    h = _mix(h)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    again = np.flatnonzero(s[1:] == s[:-1]) + 1
-    if not len(again):
-        return h
-    number = np.zeros(n, np.int64)
-    new = np.ones(n, bool)
-    new[again] = False
-    starts = np.flatnonzero(new)
-    number[order] = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    return _mix(h + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def sketch(kmers: np.ndarray, entries: int = ENTRIES, ordered: int = ORDERED) -> np.ndarray:
-    """A hash of each entry: its `ordered` smallest k-mers (all, if there are fewer) in text order."""
-    n = len(kmers)
-    if not n:
-        return np.empty(0, np.int64)
-    least = np.empty((entries, 0), np.int64)
-    for at in range(0, n, _SLICE):  # bounds the memory of long texts
-        part = np.arange(at, min(at + _SLICE, n))
-        own = np.broadcast_to(part, (entries, len(part)))
-        least = np.hstack([least, own]) if least.size else own
-        if least.shape[1] > ordered:
-            ranks = _mix(kmers[least] ^ _SEEDS[:entries, None])
-            chosen = np.argpartition(ranks, ordered - 1, axis=1)[:, :ordered]
-            least = np.take_along_axis(least, chosen, axis=1)
-    values = kmers[np.sort(least, axis=1)]
-    key = _SEEDS[:entries].copy()
-    for j in range(values.shape[1]):
-        key = _mix(key * np.uint64(0x100000001B3) + values[:, j])
-    return key.view(np.int64)
-
-
-def slot_counts(kmers: np.ndarray) -> bytes:
-    """Numbers of k-mers by slot, as 16-bit integers; the largest one stands for all that are larger."""
-    counts = np.bincount((kmers >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS)
-    return np.minimum(counts, 0xFFFF).astype("<u2").tobytes()
-
-
-def band_matches(a: np.ndarray, b: np.ndarray, low: int, high: int) -> int:
-    """Most equal pairs that an order-keeping alignment has with low <= j - i <= high."""
-    width = high - low + 1
-    best = np.zeros(width + 1, np.int64)  # best[d]: the row so far up to j = i + low + d; the last is a sentinel
-    for i in range(len(a)):
-        j0 = i + low
-        row = np.full(width, -1, np.int64)
-        first, last = max(j0, 0), min(j0 + width, len(b))
-        if first >= last:
-            if j0 >= len(b):
-                break
-            continue
-        at = slice(first - j0, last - j0)
-        equal = b[first:last] == a[i]
-        # One row up, the same j lies one place to the right; j - 1 lies at the same place.
-        row[at] = np.maximum(best[at.start + 1 : at.stop + 1], best[at] + equal)
-        row[at] = np.maximum.accumulate(row[at])
-        best[:width] = np.maximum(row, 0)
-        best[at.stop : width] = best[at.stop - 1]
-        best[width] = 0
-    return int(best[:width].max(initial=0))
-
-
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two texts by their labelled k-mers; 0 if it can't reach least."""
-    if not len(a) or not len(b):
-        return 0.0
+        h = h * _PRIME + words[first + j]
+    key = _mix(h + own.astype(np.uint64) * _STEP)  # equal for equal k-mers of one text
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    again = np.append(False, s[1:] == s[:-1]) if len(s) else np.zeros(0, bool)
+    starts = np.flatnonzero(~again)
+    number = np.zeros(len(h), np.uint64)
+    number[order] = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    return _mix(h + number * _STEP), ends, words, at
+
+
+def sketches(kmers: np.ndarray, ends: np.ndarray, entries: int = ENTRIES, ordered: int = ORDERED) -> np.ndarray:
+    """A hash of each entry of each text that has k-mers: its `ordered` smallest k-mers (all, if there are fewer) in
+    text order; texts by rows. ends: the number of k-mers before each text and the end of all."""
+    sizes = np.diff(ends)
+    own = np.flatnonzero(sizes)
+    starts, sizes = ends[:-1][own], sizes[own]
+    out = np.empty((len(own), entries), np.int64)
+    for e in range(entries if len(own) else 0):
+        ranks = _mix(kmers ^ _SEEDS[e])
+        places = np.full((ordered, len(own)), len(kmers))
+        for t in range(ordered):
+            some = np.flatnonzero(sizes > t)
+            least = np.minimum.reduceat(ranks, starts)
+            here = np.flatnonzero(ranks == np.repeat(least, sizes))
+            # In a text without other k-mers nothing but taken places is left.
+            whose = np.searchsorted(starts, here, "right") - 1
+            keep = sizes[whose] > t
+            places[t, some] = here[keep]
+            ranks[here[keep]] = _LAST
+        places.sort(axis=0)
+        key = np.full(len(own), _SEEDS[e])
+        for t in range(ordered):
+            some = sizes > t
+            key[some] = _mix(key[some] * _PRIME + kmers[places[t, some]])
+        out[:, e] = key.view(np.int64)
+    return out
+
+
+def slot_counts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of words by slot, a row for each text, as 16-bit integers; the largest stands for all that are larger."""
+    slot = (words >> np.uint64(40)).astype(np.int64) % SLOTS + np.repeat(np.arange(len(at) - 1), np.diff(at)) * SLOTS
+    counts = np.bincount(slot, minlength=SLOTS * (len(at) - 1)).reshape(-1, SLOTS)
+    return np.minimum(counts, 0xFFFF).astype("<u2")
+
+
+def band_matches(a: list, b: list, low: int, high: int) -> int:
+    """Most equal pairs that an order-keeping alignment has with low <= j - i <= high.
+
+    Bit j of a row is 0 where the best alignment so far gains a match at place j of b; the bits of a row come from
+    the row above by one addition, for the matches inside the band.
+    """
+    places: dict = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    band = (1 << (high - low + 1)) - 1
+    row = whole
+    for i, x in enumerate(a):
+        matches = places.get(x)
+        if matches:
+            at = i + low
+            matches &= band << at if at >= 0 else band >> -at
+            gained = row & matches
+            row = (row + gained | row - gained) & whole
+    return len(b) - row.bit_count()
+
+
+def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
+    """Similarity of two texts by their words; 0 if it can't reach least."""
     total = len(a) + len(b)
     need = int(np.ceil(least * total / (1 + least) - 1e-9))
-    if min(len(a), len(b)) < need:
-        return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(i) < need:
+    if not a or not b or min(len(a), len(b)) < need:
         return 0.0
-    along = j[np.argsort(i)]
-    # An alignment with `need` matches skips at most len - need k-mers of either side.
-    low, high = need - len(a), len(b) - need
-    c = len(i) if (along[1:] > along[:-1]).all() else band_matches(a, b, low, high)
+    # An alignment with `need` matches skips at most len - need words of either side.
+    c = band_matches(a, b, need - len(a), len(b) - need)
     return c / (total - c) if c >= need else 0.0
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            done: dict[bytes, tuple[np.ndarray, int, bytes]] = {}
-            keys, sizes, slots = [], [], []
-            digests = part.column(1).to_pylist()
-            for d, text in zip(digests, part.column(2).to_pylist(), strict=True):
-                if d not in done:
-                    kmers = labelled_kmers(text)
-                    done[d] = sketch(kmers), len(kmers), slot_counts(kmers)
-                for out, value in zip((keys, sizes, slots), done[d], strict=True):
-                    out.append(value)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), column, pa.array(sizes, pa.int64()), pa.array(slots, pa.binary())],
-                ["doc_id", "digest", "entries", "size", "slots"],
-            )
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 2 << 20):
+        kmers, ends, words, at = labelled_kmers(batch["text"])
+        flat = sketches(kmers, ends)
+        offsets = np.append(0, np.cumsum(np.where(np.diff(ends) > 0, ENTRIES, 0)))
+        entries = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.ravel(), pa.int64()))
+        slots = pa.array(map(bytes, slot_counts(words, at)), pa.binary())
+        columns = [batch["doc_id"], batch["digest"], entries, pa.array(np.diff(at), pa.int64()), slots]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "entries", "size", "slots"])
 
 
 def _close(least: float):
@@ -215,72 +216,101 @@ def _close(least: float):
     return run
 
 
+def _may_reach(least: float, a: str = "size", b: str = "other_size") -> Column:
+    """Whether texts of these numbers of words can be so similar."""
+    return F.least(a, b) >= F.ceil((F.col(a) + F.col(b)) * (least / (1 + least)) - 1e-6)
+
+
 def _unlinked(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of members of a bucket that have different roots and may reach least, some of them repeated."""
+    # Texts that may reach least lie in one bin of sizes or in neighbouring ones: each stands in its own and the next.
+    bin_of = F.floor(F.log("size") / -float(np.log(least)) + 1e-9).cast("int")
     members = stored(
-        buckets.select("entry", "node")
+        buckets.select("entry", "node", "size")
         .join(roots, "node", "left")
-        .select("entry", "node", F.coalesce("root", "node").alias("root")),
+        .select("entry", F.explode(F.array(bin_of, bin_of + 1)).alias("bin"), "node", F.coalesce("root", "node").alias("root"), "size"),
         "members",
     )
     # The members of a bucket's largest class are only compared with the rest.
-    by_root = members.groupBy("entry", "root").agg(F.count("*").alias("n"))
+    by_root = members.groupBy("entry", "bin", "root").agg(F.count("*").alias("n"))
     mixed = stored(
-        by_root.groupBy("entry")
+        by_root.groupBy("entry", "bin")
         .agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
-        .select("entry", F.col("main")["root"].alias("main"), F.col("main")["n"].alias("n_main"), "n")
+        .select("entry", "bin", F.col("main")["root"].alias("main"), F.col("main")["n"].alias("n_main"), "n")
         .filter(F.col("n") > F.col("n_main")),
         "mixed",
     )
-    features = nodes.select("node", "size", "slots")
-    rows = members.join(mixed, "entry").withColumn("rest", F.col("root") != F.col("main"))
-    small = stored(
-        rows.filter(F.col("n") <= JOINED).join(features.drop("slots"), "node").select("entry", "node", "root", "size", "rest"),
-        "small",
+    rows = members.join(mixed, ["entry", "bin"]).withColumn("rest", F.col("root") != F.col("main"))
+    small = stored(rows.filter(F.col("n") <= JOINED).select("entry", "bin", "node", "root", "size", "rest"), "small")
+    x = small.filter("rest").select(
+        "entry", "bin", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size")
     )
-    x = small.filter("rest").select("entry", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "size")])
-    total = F.col("size_x") + F.col("size")
     joined = (
-        x.join(small, "entry")
-        .filter((F.col("root") != F.col("root_x")) & (F.least("size", "size_x") >= F.ceil(total * (least / (1 + least)) - 1e-6)))
-        .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b"))
+        x.join(small, ["entry", "bin"])
+        .filter((F.col("root") != F.col("other_root")) & _may_reach(least))
+        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     )
     # Blocks of the rest come first; each is compared with itself and all after it, the others only with these.
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     dealt = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
     large = (
         rows.filter(F.col("n") > JOINED)
+        .join(nodes.select("node", "slots"), "node")
         .withColumn("n_r", blocks(F.col("n") - F.col("n_main")))
         .withColumn("n_m", blocks(F.col("n_main")))
         .withColumn("own", F.when(F.col("rest"), dealt(F.col("n_r"))).otherwise(F.col("n_r") + dealt(F.col("n_m"))))
         .withColumn("last", F.when(F.col("rest"), F.col("n_r") + F.col("n_m")).otherwise(F.col("n_r")) - 1)
-        .select("entry", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
-        .join(features, "node")
+        .select("entry", "bin", "node", "root", "size", "slots", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
     )
     return joined.union(
-        large.select("entry", "i", "j", "node", "root", "own", "size", "slots")
-        .groupBy("entry", "i", "j")
+        large.select("entry", "bin", "i", "j", "node", "root", "own", "size", "slots")
+        .groupBy("entry", "bin", "i", "j")
         .applyInArrow(_close(least), "a binary, b binary")
     )
 
 
 def _verified(least: float):
+    """Links (a, b) of hubs and the texts that follow them in their blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kmers = lru_cache(64)(labelled_kmers)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
-                found = [similarity(kmers(x), kmers(y), least) for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"]
-                ).filter(pa.array([s > 0 for s in found], pa.bool_()))
+        hub, words = None, []
+        for batch in slices(batches, "text"):
+            coded, at = words_of(batch["text"])
+            codes, names = coded.indices.to_numpy(), np.array(coded.dictionary.to_pylist(), object)
+            a, b = [], []
+            keys = zip(batch["hub"].to_pylist(), batch["node"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)
+            for of, node, start, end in keys:
+                own = names[codes[start:end]].tolist()
+                if of == node:
+                    hub, words = of, own
+                elif of == hub and similarity(words, own, least) > 0:
+                    a.append(min(of, node))
+                    b.append(max(of, node))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
 
+def _links(pairs: DataFrame, held: DataFrame, least: float, name: str) -> DataFrame:
+    """(a, b) of the pairs (hub, node, size) that reach least. held: (node, text) of their texts."""
+    blocks = stored(
+        pairs.groupBy("hub").agg(F.ceil(F.sum("size") / F.lit(BLOCK_WORDS)).cast("long").alias("n")), "blocks"
+    )
+    rows = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("node"), "n").alias("block"), "node")
+    of_hub = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"), F.col("hub").alias("node"))
+    return stored(
+        rows.union(of_hub)
+        .join(held.hint("merge"), "node")
+        .repartition("hub", "block")
+        .sortWithinPartitions("hub", "block", F.col("hub") != F.col("node"))
+        .select("hub", "node", "text")
+        .mapInArrow(_verified(least), "a binary, b binary"),
+        name,
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node of its component.
 
@@ -312,84 +342,75 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def _rep(node):
+def node_key(doc_id: Column, text: Column) -> Column:
+    """The order of the id and the digest of the text, in one key; null if the text is."""
+    number = F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1)).bitwiseXOR(F.lit(-(2**63)))
+    return F.concat(F.unhex(F.lpad(F.hex(number), 16, "0")), F.unhex(F.md5(text)))
+
+
+def _rep(node: Column) -> Column:
     """The smallest doc_id that a node's first eight bytes hold; null if it was null."""
     number = F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
     return F.nullif(number.bitwiseXOR(F.lit(-(2**63))), F.lit(2**63 - 1))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) that reach least."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # The row with the smallest id stands for its copies: no copy's text moves but its own.
-    wanted = needed.join(nodes.select("node", F.col("digest").alias("of"), F.col("rep").alias("id")), "node")
-    held = stored(
-        texts.join(wanted, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
-        .select("node", "text"),
-        "texts",
-    )
-    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return stored(
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_verified(least), "a binary, b binary, similarity double")
-        .dropDuplicates(["a", "b"]),
-        "links",
-    )
-
-
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) of each row of docs (doc_id, text).
-
-    n_links: verified links of the row's text to other texts, of all pairs that were compared; pairs that are in one
-    class by the hubs' links aren't compared again, so a text may have more similar ones. n_copies: rows with equal text.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = rows.filter(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
-    last = F.lit(2**63 - 1)
-    sortable = F.lpad(F.hex(F.coalesce("rep", last).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+def _found(rows: DataFrame, least: float) -> DataFrame:
+    """(digest, node, root, n_links, n_copies) of each text of rows (doc_id, text); root is null without links."""
+    texts = rows.filter(F.col("text").isNotNull()).withColumn("digest", F.unhex(F.md5("text")))
     nodes = stored(
-        texts.mapInArrow(_sketches, "doc_id long, digest binary, entries array<long>, size long, slots binary")
+        texts.select("doc_id", "digest", "text")
+        .mapInArrow(_sketched, "doc_id long, digest binary, entries array<long>, size long, slots binary")
         .groupBy("digest")
         .agg(
             F.min("doc_id").alias("rep"),
             F.count("*").alias("n_copies"),
             *[F.first(c).alias(c) for c in ("entries", "size", "slots")],
         )
-        .withColumn("node", F.concat(F.unhex(sortable), "digest")),
+        .withColumn("number", F.coalesce("rep", F.lit(2**63 - 1)).bitwiseXOR(F.lit(-(2**63))))
+        .withColumn("node", F.concat(F.unhex(F.lpad(F.hex("number"), 16, "0")), "digest"))
+        .drop("number", "rep"),
         "nodes",
     )
-    entries = nodes.select("node", F.explode("entries").alias("entry"))
+    entries = nodes.select("node", "size", F.explode("entries").alias("entry"))
     sizes = stored(entries.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "sizes")
-    buckets = stored(entries.join(sizes, "entry"), "buckets")
     # A text that others were copied from has the most frequent entry of its copies everywhere, a copy only
     # where it is unchanged: the member whose buckets are largest in all stands for the bucket.
-    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    # More hubs are drawn by each entry, the heavier the likelier, for what only they are similar to.
-    draw = lambda k: F.pmod(F.xxhash64("node", "entry", F.lit(k)), F.lit(1 << 20)) * F.pow("weight", F.lit(2))
+    weights = stored(
+        entries.join(sizes, "entry")
+        .groupBy("node", "size")
+        .agg(F.sum("n").alias("weight"), F.collect_list("entry").alias("entries")),
+        "weights",
+    )
+    buckets = weights.select("node", "size", "weight", F.explode("entries").alias("entry"))
+    # The row with the smallest id stands for its copies, and of repeated rows one: no other copy's text goes on.
+    own = texts.select(node_key(F.col("doc_id"), F.col("text")).alias("node"), "text")
+    held = stored(own.join(weights.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "held")
+    # More hubs are drawn, the heavier the likelier, for what only they are similar to. A node draws the same number in
+    # all its buckets, so that it is the hub of many of them and its neighbours meet few different hubs.
+    draw = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) * F.pow("weight", F.lit(2))
+    hub = F.struct("node", "size")
     hubs = stored(
-        buckets.join(weights, "node")
-        .groupBy("entry")
-        .agg(
-            F.max(F.struct("weight", "node"))["node"].alias("heaviest"),
-            *[F.max(F.struct(draw(k), "node"))["node"].alias(f"hub_{k}") for k in range(DRAWN)],
+        buckets.groupBy("entry").agg(
+            F.max(F.struct("weight", hub.alias("x")))["x"].alias("heaviest"),
+            *[F.max(F.struct(draw(k), hub.alias("x")))["x"].alias(f"hub_{k}") for k in range(DRAWN)],
         ),
         "hubs",
     )
     pairs = stored(
         buckets.join(hubs, "entry")
-        .select("node", F.explode(F.array("heaviest", *[f"hub_{k}" for k in range(DRAWN)])).alias("hub"))
-        .filter(F.col("node") != F.col("hub"))
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .distinct(),
+        .select("node", "size", F.explode(F.array("heaviest", *[f"hub_{k}" for k in range(DRAWN)])).alias("x"))
+        .select("node", "size", F.col("x")["node"].alias("hub"), F.col("x")["size"].alias("other_size"))
+        .filter((F.col("node") != F.col("hub")) & _may_reach(least))
+        .groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .agg(F.min(F.struct("hub", "node", "size")).alias("x"))
+        .select("a", "b", "x.*"),
         "pairs",
     )
-    first = _links(pairs, texts, nodes, least)
+    first = _links(pairs, held, least, "links")
     roots = stored(components(first), "roots")
-    others = stored(_unlinked(buckets, nodes, roots, least).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    second = _links(others, texts, nodes, least)
+    others = _unlinked(buckets, nodes, roots, least).distinct().join(pairs, ["a", "b"], "left_anti")
+    again = others.join(nodes.select(F.col("node").alias("b"), "size"), "b").select(F.col("a").alias("hub"), F.col("b").alias("node"), "size")
+    second = _links(stored(again, "pairs"), held, least, "links")
     # The second links join whole classes of the first ones.
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     joins = (
@@ -400,29 +421,49 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     joined = stored(components(joins), "roots").select(F.col("node").alias("root_1"), F.col("root").alias("root_2"))
     links = first.union(second)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = stored(
-        nodes.select("node", "digest", "rep", "n_copies")
+    return stored(
+        nodes.select("node", "digest", "n_copies")
         .join(roots, "node", "left")
         .withColumn("root_1", F.coalesce("root", "node"))
         .join(joined, "root_1", "left")
-        .withColumn("root", F.coalesce("root_2", "root"))
         .join(counts, "node", "left")
-        .select(
-            "digest",
-            F.when(F.col("root").isNull(), F.col("rep")).otherwise(_rep(F.col("root"))).alias("class_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-            "n_copies",
-        ),
+        .select("digest", "node", F.coalesce("root_2", "root").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"),
         "classes",
     )
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) of each row of docs (doc_id, text).
+
+    n_links: verified links of the row's text to other texts, of all pairs that were compared; pairs that are in one
+    class by the hubs' links aren't compared again, so a text may have more similar ones. n_copies: rows with equal text.
+    """
+    rows = _rows(docs)
     one = F.lit(1).cast("long")
     return (
-        texts.select("doc_id", "digest")
-        .join(found, "digest")
-        .select("doc_id", "class_id", "n_links", "n_copies")
+        rows.filter(F.col("text").isNotNull())
+        .select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+        .join(_found(rows, least), "digest")
+        .select("doc_id", _rep(F.coalesce("root", "node")).alias("class_id"), "n_links", "n_copies")
         .unionByName(
             rows.filter(F.col("text").isNull()).select(
                 "doc_id", F.col("doc_id").alias("class_id"), (one - 1).alias("n_links"), one.alias("n_copies")
             )
         )
     )
+
+
+def without_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Rows of docs (doc_id, text, others), one of each class: the one with the smallest id; of repeated rows one.
+
+    Ids need not be unique: a row stands for its class by its id and its text. Rows with a null text all stay.
+    """
+    key = node_key(F.col("doc_id"), F.col("text"))
+    heads = _found(_rows(docs), least).filter(F.coalesce("root", "node") == F.col("node")).select(F.col("node").alias("_head"))
+    kept = docs.filter(F.col("text").isNotNull()).withColumn("_node", key)
+    kept = kept.join(heads, F.col("_node") == F.col("_head"), "left_semi").dropDuplicates(["_node"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(F.col("text").isNull()))

@@ -2,9 +2,12 @@
 
 import itertools
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import same
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from brainstate.llm import licenses as lc
 from brainstate.llm import near_dup as nd
 from brainstate.llm import quality_query, toxicity_query
 from brainstate.llm.quality import with_quality
-from brainstate.llm.toxicity import Model, folded, learn, matched, with_scores
+from brainstate.llm.toxicity import Model, folded, learn, matched, sample_of, with_scores
 
 
 def words(seed, n):
@@ -79,6 +82,40 @@ def test_exceptions_do_not_cancel_the_next_word():
     assert matched(folded("scumble scumble scums"), model) == (3.0, 1, 3)
 
 
+def plain_match(text, entries, exceptions):
+    """Weight and number of hits by looking for each term at each place."""
+    spans = [(i, i + len(x) - 1) for x in exceptions for i in range(len(text)) if text.startswith(x, i)]
+    hits = {}
+    for x, weight in entries.items():
+        for i in range(len(text)):
+            if text.startswith(x, i) and not any(a <= i < b for a, b in spans):
+                hits[i] = max(weight, hits.get(i, 0))
+    return pytest.approx(sum(hits.values())), len(hits), max(text.count(" ") - 1, 1)
+
+
+def test_matching_equals_plain_search():
+    r = random.Random(2)
+    for _ in range(300):
+        word = lambda n: "".join(r.choice("ab") for _ in range(r.randint(1, n)))
+        entries = {f" {word(3)}{r.choice(['', ' '])}": r.choice([1.0, 2.5]) for _ in range(4)}
+        exceptions = tuple({f" {word(4)} {r.choice(['', word(2) + ' '])}" for _ in range(4)} - set(entries))
+        text = folded(" ".join(word(4) for _ in range(r.randrange(25))))
+        assert matched(text, Model(entries, exceptions, 0, 1, 1).automaton()) == plain_match(text, entries, exceptions)
+
+
+def test_long_texts_are_matched_in_linear_time():
+    model = Model({" scum": 3.0}, (" scumble ",), 0, 1, 1).automaton()
+    began = time.process_time()
+    assert matched(folded("scum scumble " * 100_000), model)[:2] == (300_000.0, 100_000)
+    assert time.process_time() - began < 8
+
+
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    docs = documents(spark, [prose(i) for i in range(30)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, toxic int")
+    assert sample_of(docs, labels, 40).count() == 30 and sample_of(docs, labels, 10).count() == 10
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic", F.lit(1).alias("score"))
@@ -101,17 +138,63 @@ def test_toxicity_edges(spark):
     none = learn(docs, labels.filter("toxic = 0"))
     assert not any(r.toxicity.predicted for r in with_scores(docs, none).collect())
     assert with_scores(documents(spark, []), learn(documents(spark, []), labels)).count() == 0
+    odd = docs.withColumnRenamed("quality", "a.b").withColumn("toxicity", F.lit(1))
+    assert with_scores(odd, model).filter("toxicity.predicted = 1").select("`a.b`").count() == 13
+
+
+def table_of(a, b, low, high):
+    """Longest common subsequence of a and b by a table, with matches inside a band alone."""
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            own = a[i] == b[j] and low <= j - i <= high
+            table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + own)
+    return table[-1, -1]
 
 
 def test_band_matches_is_the_longest_common_subsequence():
     r = np.random.default_rng(0)
-    for _ in range(60):
-        a, b = r.permutation(12)[: r.integers(1, 12)], r.permutation(12)[: r.integers(1, 12)]
-        table = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + (a[i] == b[j]))
-        assert nd.band_matches(a.astype(np.uint64), b.astype(np.uint64), -len(a), len(b)) == table[-1, -1]
+    for _ in range(400):
+        a, b = (r.integers(0, r.integers(2, 9), r.integers(1, 14)).tolist() for _ in range(2))
+        low = int(r.integers(-len(a), 2))
+        high = int(r.integers(max(low, -1), len(b) + 1))
+        assert nd.band_matches(a, b, low, high) == table_of(a, b, low, high)
+        c = table_of(a, b, -len(a), len(b))
+        true = c / (len(a) + len(b) - c)
+        assert nd.similarity(a, b, 0.6) == (pytest.approx(true) if true >= 0.6 else 0)
+
+
+def plain_kmers(text):
+    """Labelled k-mers of a text, by a dictionary."""
+    w, seen, out = re.findall(r"[^\x20\x09-\x0D]+", text), Counter(), []
+    for i in range(len(w) - nd.K + 1):
+        k = tuple(w[i : i + nd.K])
+        out.append((k, seen[k]))
+        seen[k] += 1
+    return out
+
+
+def test_kmers_and_sketches_of_many_texts_at_once():
+    r = random.Random(5)
+    texts = [" ".join(r.choice("ab\n") for _ in range(r.randrange(25))) for _ in range(300)] + ["", " ", "a\x0bb  c\td é 日 f"]
+    kmers, ends, words, at = nd.labelled_kmers(pa.array(["x y", *texts]).slice(1))
+    labels = {}
+    for text, a, b, start, end in zip(texts, ends[:-1], ends[1:], at[:-1], at[1:], strict=True):
+        assert end - start == len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        for label, h in zip(plain_kmers(text), kmers[a:b].tolist(), strict=True):
+            assert labels.setdefault(label, h) == h
+    assert len(set(labels.values())) == len(labels)
+    rows = iter(nd.sketches(kmers, ends))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        if a < b:
+            own, row = kmers[a:b], next(rows)
+            for e, seed in enumerate(nd._SEEDS):
+                chosen = sorted(np.argsort(nd._mix(own ^ seed))[: nd.ORDERED])
+                key = seed
+                for i in chosen:
+                    key = nd._mix(np.array([key * nd._PRIME + own[i]]))[0]
+                assert key.astype(np.int64) == row[e]
+    assert nd.slot_counts(words, at).sum(axis=1).tolist() == np.diff(at).tolist()
 
 
 def edited(text, seed, n):
@@ -121,9 +204,22 @@ def edited(text, seed, n):
     return " ".join(w)
 
 
+def similar_pairs(texts):
+    """All pairs of places of similar texts, after a bound by the words that they share."""
+    words = [t.split() for t in texts]
+    bags = [Counter(w) for w in words]
+    out = []
+    for i, a in enumerate(words):
+        for j in range(i):
+            b, need = words[j], nd.SIMILARITY * (len(a) + len(words[j])) / (1 + nd.SIMILARITY) - 1e-9
+            if min(len(a), len(b)) >= need and (bags[i] & bags[j]).total() >= need and nd.similarity(a, b):
+                out.append((i, j))
+    return out
+
+
 def brute_classes(rows):
+    """Class of each row: similar texts of five words or more, and equal ones."""
     texts = sorted({t for _, t in rows if t is not None})
-    kmers = {t: nd.labelled_kmers(t) for t in texts}
     root = {t: t for t in texts}
 
     def find(t):
@@ -131,11 +227,9 @@ def brute_classes(rows):
             t = root[t]
         return t
 
-    links = Counter()
-    for i, a in enumerate(texts):
-        for b in texts[:i]:
-            if nd.similarity(kmers[a], kmers[b]) >= nd.SIMILARITY:
-                root[find(a)] = find(b)
+    long = [t for t in texts if len(t.split()) >= nd.K]
+    for i, j in similar_pairs(long):
+        root[find(long[i])] = find(long[j])
     ids = {}
     for i, t in rows:
         if t is not None:
@@ -176,19 +270,55 @@ def test_similar_pairs_of_a_large_group_without_its_source(spark):
         for _ in range(2):
             w = list(base)
             for slot in slots:
-                w[20 * slot : 20 * slot + 4] = [f"own{len(texts)}x{slot}x{k}" for k in range(4)]
+                w[20 * slot : 20 * slot + 8] = [f"own{len(texts)}x{slot}x{k}" for k in range(8)]
             texts.append(" ".join(w))
     rows = nd.classes(documents(spark, texts)).collect()
     assert {r.doc_id: r.class_id for r in rows} == {i: i - i % 2 for i in range(len(texts))}
     assert all(r.n_links == 1 for r in rows)
 
 
+def test_recall_on_given_documents(spark):
+    """Nine tenths and more of the similar pairs, found by brute force, are in one class, and no other text is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    texts = [t or "" for _, t in rows]
+    pairs = [(i, j) for i, j in similar_pairs(texts) if texts[i] != texts[j]]
+    found = [got[rows[i][0]] == got[rows[j][0]] for i, j in pairs]
+    assert len(pairs) > 50 and sum(found) >= 0.95 * len(found)
+    true = brute_classes(rows)
+    assert all(true[a] == true[b] for a, b in got.items())  # of a class are only rows that brute force puts in one
+
+
+def test_texts_with_and_without_repeats_meet(spark):
+    base = prose(41, 200)
+    again = base + " " + base[: base.index(".") + 1]
+    got = [r.class_id for r in nd.classes(documents(spark, [base, again])).collect()]
+    assert got == [0, 0]
+
+
 def test_near_duplicates_edges(spark):
     assert nd.classes(documents(spark, [])).count() == 0
     again = nd.classes(documents(spark, [prose(1)] * 3, [5, 5, None])).collect()
     assert [r.class_id for r in again] == [5, 5, 5]
 
 
+def test_many_repeated_rows(spark):
+    texts = [prose(1, 200), edited(prose(1, 200), 2, 4)]
+    rows = nd.classes(documents(spark, texts * 1000, [3, 4] * 1000)).collect()
+    assert len(rows) == 2000 and {(r.class_id, r.n_links, r.n_copies) for r in rows} == {(3, 1, 1000)}
+
+
+def test_one_of_each_class_stays(spark):
+    """By id and text: one id may have several texts, a row may be repeated, and null texts all stay."""
+    a, b = prose(1, 200), prose(2, 200)
+    texts = [a, edited(a, 1, 3), b, edited(b, 1, 3), b, None, None, ""]
+    kept = nd.without_copies(documents(spark, texts, [7, 8, 7, 9, 7, 1, 1, None]))
+    assert kept.columns == ["doc_id", "text", "quality", "class_id"]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(7, a): 1, (7, b): 1, (1, None): 2, (None, ""): 1}
+    assert nd.without_copies(documents(spark, [])).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (300, 301)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -218,6 +348,59 @@ def test_repeated_license_lines(line, times):
     assert all(f[1] == 1 for f in found)
 
 
+@pytest.mark.parametrize("name, line", [*lc.TEMPLATES])
+def test_each_template_has_its_own_name(name, line):
+    for text in (line, f"{prose(3)}\n{line.upper()}\n{prose(4)}"):
+        assert [(f[0], f[1]) for f in lc.scan(text, lc.Index(lc.TEMPLATES))] == [(name, 1.0)]
+
+
+CONFUSABLE = {
+    "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+    lc.GNU_NOTICE.format("Affero General", "3"): ["AGPL-3.0"],
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"],
+    "This work is licensed under the GNU Library General Public License, version 2.": [],
+    "This work is licensed under the GNU General Public License, version 4.": [],
+    "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+    "Licensed under CC BY 2.0.": [],
+    "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"],
+    "This work is licensed under the Creative Commons Attribution-Non-Commercial 4.0 International License.": [],
+    "Licensed under the Apache License, Version 1.1.": [],
+    "Licensed under the Apache License, Version 2.": ["Apache-2.0"],
+    lc.BSD_2_NOTICE: ["BSD-2-Clause"],
+    f"{lc.BSD_2_NOTICE} 3. {lc.BSD_3_CLAUSE}": ["BSD-3-Clause"],
+}
+
+
+@pytest.mark.parametrize("text", CONFUSABLE)
+def test_confusable_licenses(text):
+    assert [f[0] for f in lc.scan(f"Some words. {text} More words.", lc.Index(lc.TEMPLATES))] == CONFUSABLE[text]
+
+
+def test_scan_equals_alignment_of_all_templates():
+    """Without fingerprints and band: of all templates' whole alignments, those that don't overlap better ones."""
+    index, r = lc.Index(lc.TEMPLATES), random.Random(8)
+    for k in range(60):
+        own = r.choice(lc.TEMPLATES)[1].split()
+        for _ in range(r.randrange(4)):
+            i = r.randrange(len(own))
+            own[i : i + r.randrange(2)] = r.choice([["other"], ["Lesser"], ["3.0"], []])
+        text = f"{prose(k, 30)} {' '.join(own)} {prose(k + 100, 30)}"
+        names = lc.words_of(text.lower())
+        words = lc.word_hashes(names)
+        found = []
+        for t, template in enumerate(index.words):
+            m, first, last = lc.align(template, words, 0, len(words) + len(template))
+            marks, numbers = lc.told_apart(names[first : last + 1])
+            n = max(len(template), last - first + 1)
+            if m >= lc.MIN_COVERAGE * n and marks == index.marks[t][0] and (numbers == index.marks[t][1] or not index.marks[t][1]):
+                found.append((-m, -m / n, last - first, first, index.names[t], last))
+        best = []
+        for x in sorted(found):
+            if all(x[5] < y[3] or y[5] < x[3] for y in best):
+                best.append(x)
+        assert {(x[4], -x[1]) for x in best} == {(f[0], f[1]) for f in lc.scan(text, index)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50])
 def test_winnowing_keeps_one_of_each_window(n):
     gram = np.random.default_rng(n).integers(0, 5, n).astype(np.uint64)
@@ -232,3 +415,5 @@ def test_license_edges(spark):
     got = lc.with_licenses(documents(spark, texts)).orderBy("doc_id").collect()
     assert [[x.license for x in r.licenses] for r in got] == [[], [], ["CC-BY-NC-4.0"], ["CC-BY-NC-4.0"]]
     assert lc.with_licenses(documents(spark, [])).count() == 0
+    again = lc.with_licenses(documents(spark, [texts[2]] * 3, [1, 1, None])).collect()
+    assert len(again) == 3 and all(r.licenses == again[0].licenses for r in again)

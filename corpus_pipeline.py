@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brainstate.llm.common import stored, table
-from brainstate.llm.near_dup import classes
+from brainstate.llm.near_dup import without_copies
 from brainstate.llm.packing import pack_documents
 from brainstate.llm.quality import with_quality
 from brainstate.llm.toxicity import learn, with_scores
@@ -36,11 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near-duplicates, once."""
-    found = classes(docs.select("doc_id", "text"))
-    ones = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    # Rows that repeat a kept id lie in one task after the join; no second shuffle is needed to drop them.
-    kept = docs.join(ones, docs["doc_id"].eqNullSafe(ones["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    return without_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ BLOCK = 512
 #: Words of the texts that meet a hub in one block, about.
 BLOCK_WORDS = 100_000
 #: Slots of the word counts that bound the similarity of two texts from above.
-SLOTS = 128
+SLOTS = 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)

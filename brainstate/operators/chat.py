@@ -105,6 +105,13 @@ def delete_session(sessions: DataFrame, deleted: DataFrame, users: DataFrame) ->
     return rows.join(now.select("user_id", "now"), "user_id").withColumn("is_current", F.col("session_id") == F.col("now")).drop("now")
 
 
+def greeting_messages(sessions: DataFrame, before: DataFrame) -> DataFrame:
+    """CH8: the first message (user_id, session_id, turn, role, text) of each of sessions that wasn't there before."""
+    return sessions.join(before, ["user_id", "session_id"], "left_anti").select(
+        "user_id", "session_id", F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.lit(GREETING).alias("text")
+    )
+
+
 def session_title(messages: DataFrame) -> DataFrame:
     """CH9: (session_id, title) by the last user message that came while the session had one message at most."""
     first = messages.filter((F.col("role") == "user") & (F.col("turn") <= 1))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brainstate.functions.vectors import cosine_distance, norm
+from brainstate.functions.vectors import norm
 
 #: Texts for an empty memory and for no similar one.
 NO_HISTORY = "无相关历史记录。"
@@ -14,23 +16,53 @@ PROCESSING = " (AI 归因中...)"
 SEPARATOR = "\n\n---\n\n"
 
 
-def nearest_prior(rows: DataFrame, order: str = "mem_seq", vector: str = "vector", parts: int = 8) -> DataFrame:
+def _nearest_of_blocks(table: pa.Table) -> pa.Table:
+    """(session_id, seq, d, past): for the rows of a pair of blocks the nearest earlier ones of the other block."""
+    table = table.sort_by("seq")
+    own, seq = table["own"].to_numpy(), table["seq"].to_numpy()
+    vectors = np.array(table["v"].to_pylist(), float)
+    vectors /= np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    first, last = own.min(), own.max()
+    asked, past, d = [], [], []
+    for mine, others in {(first, last), (last, first)}:
+        rows, memory = np.flatnonzero(own == mine), np.flatnonzero(own == others)
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            # Each product is summed in one order, so that equal vectors are equally far.
+            distance = 1.0 - np.einsum("ik,jk->ij", vectors[some], vectors[memory])
+            distance[seq[memory] >= seq[some][:, None]] = np.inf
+            best = distance.argmin(axis=1)  # of equal ones the earliest
+            least = distance[np.arange(len(some)), best]
+            found = np.isfinite(least)
+            asked.append(some[found])
+            past.append(memory[best[found]])
+            d.append(least[found])
+    rows, memory = np.concatenate(asked), np.concatenate(past)
+    columns = [table["session_id"].take(rows), table["seq"].take(rows), pa.array(np.concatenate(d)), table["seq"].take(memory)]
+    return pa.table(columns, ["session_id", "seq", "d", "past"])
+
+
+def nearest_prior(rows: DataFrame, order: str = "mem_seq", vector: str = "vector", block: int = 2048) -> DataFrame:
     """RT2: (session_id, <order>, past, distance): for each row the nearest of those before it in its session.
 
     Rows (session_id, <order>, vector); zero vectors match nothing, ties go to the earliest, and the first row
-    gets null. Sessions are cut into `parts` salts on the searched side, so that one long session is
-    spread; each salt keeps its best and a second aggregation takes the best of them.
+    gets null. The search is exact. A session is cut into blocks of about `block` rows; each pair of blocks is one
+    group, compared by products of matrices, so a long session is spread over many groups of bounded size. Each keeps
+    the best of a row, and the best of these are the result.
     """
-    made = rows.select("session_id", F.col(order).alias("seq"), F.col(vector).alias("v")).withColumn("n", norm(F.col("v")))
-    mem = made.filter("n > 0").select(
-        "session_id", F.col("seq").alias("past"), F.col("v").alias("pv"), F.col("n").alias("pn"),
-        F.pmod(F.xxhash64("seq"), F.lit(parts)).alias("salt"),
-    )
-    asked = made.filter("n > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    made = rows.select("session_id", F.col(order).alias("seq"), F.col(vector).alias("v"))
+    known = made.filter(norm(F.col("v")) > 0)
+    counts = known.groupBy("session_id").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
+    dealt = (
+        known.join(counts, "session_id")
+        .withColumn("own", F.pmod(F.xxhash64("seq"), F.col("n")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .select("session_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "seq", "v")
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in made.schema.fields}
     near = (
-        asked.join(mem, ["session_id", "salt"])
-        .filter("past < seq")
-        .withColumn("d", cosine_distance(F.col("v"), F.col("pv"), F.col("n"), F.col("pn")))
+        dealt.groupBy("session_id", "i", "j")
+        .applyInArrow(_nearest_of_blocks, f"session_id {kinds['session_id']}, seq {kinds['seq']}, d double, past {kinds['seq']}")
         .groupBy("session_id", "seq")
         .agg(F.min(F.struct("d", "past")).alias("best"))
     )
@@ -44,12 +76,12 @@ def new_trials_only(trials: DataFrame, memory: DataFrame) -> DataFrame:
     return trials.join(memory, ["session_id", "trial_id"], "left_anti")
 
 
-def similar_state_context(events: DataFrame, threshold: float = 0.2, parts: int = 8) -> DataFrame:
+def similar_state_context(events: DataFrame, threshold: float = 0.2, block: int = 2048) -> DataFrame:
     """RT4: events (session_id, start_ts, vector, context) with similar_context, that of the nearest earlier event.
 
     Only a distance under the threshold counts. The event itself isn't stored yet when it asks.
     """
-    near = nearest_prior(events, "start_ts", "vector", parts)
+    near = nearest_prior(events, "start_ts", "vector", block)
     past = events.select("session_id", F.col("start_ts").alias("past"), F.col("context").alias("past_context"))
     close = near.filter(F.col("distance") < threshold).join(past, ["session_id", "past"])
     out = events.join(close.select("session_id", "start_ts", "distance", "past_context"), ["session_id", "start_ts"], "left")

@@ -328,8 +328,14 @@ def ch11_current_session(spark, d):
 
 
 def _written(spark, d):
+    """All conversations, written as one store for each hundred of them, and read back."""
     folder = new_folder(spark, "chat")
-    _store(spark, d).write.json(folder)
+    rows = t.messages(spark, d).select(
+        F.floor(F.col("session_id") / 100).alias("store"), F.col("session_id").alias("session_order"),
+        F.col("session_id").cast("string").alias("session_id"), F.concat(F.lit("title "), F.col("session_id").cast("string")).alias("title"),
+        "turn", "role", "text",
+    )
+    io.write_chat_store(rows, folder, 1, None, "store")
     return io.read_chat_store(spark, folder)
 
 
@@ -371,22 +377,23 @@ def ch4_chat_payload(spark, d):
 
 
 @query(
-    f"""with {_LAST}, b as (select c.*, row_number() over (partition by conv_id order by turn desc) as back
+    f"""with {st._TIMELINE}, {_LAST}, b as (select c.*, row_number() over (partition by conv_id order by turn desc) as back
       from conversations c join last on conv_id = session_id and turn < mt),
     h as (select conv_id, count(*) as n, string_agg(role, ',' order by turn) as roles from b where back <= 4 and role in ('user', 'assistant') group by 1)
-    select session_id, 2 + coalesce(n, 0) as n_messages, 'system,' || coalesce(roles || ',', '') || 'user' as roles, length(q) + 8 as n_chars
-    from last left join h on conv_id = session_id where role = 'user'"""
+    select last.session_id, 2 + coalesce(n, 0) as n_messages, 'system,' || coalesce(roles || ',', '') || 'user' as roles,
+      length(q) + length(coalesce(timeline, '无相关历史记录。')) as n_chars, md5(coalesce(timeline, '无相关历史记录。')) as timeline_md5
+    from last left join h on conv_id = last.session_id left join tl on tl.session_id = last.session_id where role = 'user'"""
 )
 def ch5_rag_prompt(spark, d):
+    """The timeline of a conversation is that of the user with its number."""
     payload = ch.chat_payload(t.messages(spark, d))
-    none = rt.timeline_text(
-        spark.createDataFrame([], "session_id long, place int, document string"), payload.select("session_id")
-    )
-    out = ch.rag_prompt(payload, none)
+    recent = rt.recent_timeline(st._closed(spark, d).withColumn("ts", F.col("start_ts")))
+    timelines = rt.timeline_text(recent, payload.select("session_id"))
+    out = ch.rag_prompt(payload, timelines)
     first, last = F.element_at("messages", 1)["content"], F.element_at("messages", -1)["content"]
     return out.select(
         "session_id", F.size("messages").cast("long").alias("n_messages"),
-        F.array_join(F.col("messages")["role"], ",").alias("roles"), (F.length(first) + F.length(last)).cast("long").alias("n_chars"),
+        F.array_join(F.col("messages")["role"], ",").alias("roles"), (F.length(first) + F.length(last)).cast("long").alias("n_chars"), F.md5(first).alias("timeline_md5"),
     )
 
 
@@ -417,6 +424,18 @@ def ch7_delete_message(spark, d):
 _SESSIONS = "ses as (select distinct conv_id // 4 as user_id, 'session_' || conv_id as session_id, conv_id as session_order, 't' || conv_id as title from conversations)"
 
 
+def _after_deletion(spark, d):
+    """Sessions before and after some are deleted."""
+    one = t.messages(spark, d).select("session_id").distinct()
+    sessions = one.select(
+        F.floor(F.col("session_id") / 4).alias("user_id"), F.concat(F.lit("session_"), F.col("session_id").cast("string")).alias("session_id"),
+        F.col("session_id").alias("session_order"), F.concat(F.lit("t"), F.col("session_id").cast("string")).alias("title"),
+    )
+    gone = sessions.filter("session_order % 4 = 3 or user_id % 5 = 0").select("user_id", "session_id")
+    users = sessions.groupBy("user_id").agg(F.max_by("session_id", "session_order").alias("current_session_id")).withColumn("session_counter", F.lit(40))
+    return sessions, ch.delete_session(sessions, gone, users)
+
+
 @query(
     f"""with {_SESSIONS}, lft as (select * from ses where not (session_order % 4 = 3 or user_id % 5 = 0)),
     us as (select user_id, arg_max(session_id, session_order) as cur, 40 as counter from ses group by 1),
@@ -427,14 +446,17 @@ _SESSIONS = "ses as (select distinct conv_id // 4 as user_id, 'session_' || conv
     select rows.*, session_id = now as is_current from rows join now using (user_id)"""
 )
 def ch8_delete_session(spark, d):
-    one = t.messages(spark, d).select("session_id").distinct()
-    sessions = one.select(
-        F.floor(F.col("session_id") / 4).alias("user_id"), F.concat(F.lit("session_"), F.col("session_id").cast("string")).alias("session_id"),
-        F.col("session_id").alias("session_order"), F.concat(F.lit("t"), F.col("session_id").cast("string")).alias("title"),
-    )
-    gone = sessions.filter("session_order % 4 = 3 or user_id % 5 = 0").select("user_id", "session_id")
-    users = sessions.groupBy("user_id").agg(F.max_by("session_id", "session_order").alias("current_session_id")).withColumn("session_counter", F.lit(40))
-    return ch.delete_session(sessions, gone, users).select("user_id", "session_id", "session_order", "title", "is_current")
+    return _after_deletion(spark, d)[1].select("user_id", "session_id", "session_order", "title", "is_current")
+
+
+@query(
+    f"""with {_SESSIONS}, lft as (select * from ses where not (session_order % 4 = 3 or user_id % 5 = 0))
+    select distinct user_id, 'session_41' as session_id, 0::bigint as turn, 'assistant' as role, '你好！开启了新的认知检索会话。' as text
+    from ses where user_id not in (select user_id from lft)"""
+)
+def ch8_greeting(spark, d):
+    before, after = _after_deletion(spark, d)
+    return ch.greeting_messages(after, before)
 
 
 @query(

@@ -362,7 +362,13 @@ def sc4_cn_duration(spark, d):
 
 @query(f"with {_DOCS} select session_id, evt_id, epoch_us(start_ts) as us, length(open_doc) as n, round(value, 6) as v from docs")
 def io5_append_memory(spark, d):
-    eeg, text = io.memory_rows(_memory(spark, d))
+    """Both memories, appended in two parts and read back."""
+    folder = new_folder(spark, "memory")
+    paths = f"{folder}/eeg", f"{folder}/text"
+    rows = _memory(spark, d)
+    for part in ("session_id % 2 = 0", "session_id % 2 <> 0"):
+        io.append_memory(rows.filter(part), *paths)
+    eeg, text = map(spark.read.parquet, paths)
     both = eeg.join(text.select("session_id", "evt_id", "document"), ["session_id", "evt_id"])
     return both.select("session_id", "evt_id", us("ts").alias("us"), F.length("document").cast("long").alias("n"), F.round(F.element_at("embedding", 1), 6).alias("v"))
 

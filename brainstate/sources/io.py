@@ -31,20 +31,23 @@ def read_chat_store(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.CHAT_STORE)
 
 
-def write_chat_store(messages: DataFrame, path: str, counter: int, current: str) -> None:
-    """IO4: messages (session_order, session_id, title, turn, role, text) as one nested JSON document.
+def write_chat_store(messages: DataFrame, path: str, counter: int, current: str | None, store: str | None = None) -> None:
+    """IO4: messages (session_order, session_id, title, turn, role, text) as nested JSON documents.
 
-    The format is a single document, so its maker gets all sessions of one store; a store is one user's.
+    The format is a document for each store. store: the column that tells stores apart, one for each user; without
+    it, all messages are one user's and make one document.
     """
+    keys = [store] if store else []
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     said = F.transform(turns, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    sessions = messages.groupBy("session_order", "session_id", "title").agg(said.alias("messages"))
+    sessions = messages.groupBy(*keys, "session_order", "session_id", "title").agg(said.alias("messages"))
     entry = F.struct("session_order", "session_id", F.struct("title", "messages").alias("value"))
     ordered = F.array_sort(F.collect_list(entry))
     pairs = F.transform(ordered, lambda e: F.struct(e["session_id"].alias("key"), e["value"].alias("value")))
-    sessions.agg(F.map_from_entries(pairs).alias("chat_sessions")).select(
-        "chat_sessions", F.lit(counter).alias("session_counter"), F.lit(current).alias("current_session_id")
-    ).coalesce(1).write.mode("overwrite").json(path)
+    documents = sessions.groupBy(*keys).agg(F.map_from_entries(pairs).alias("chat_sessions")).select(
+        "chat_sessions", F.lit(counter).alias("session_counter"), F.lit(current).cast("string").alias("current_session_id")
+    )
+    documents.write.mode("overwrite").json(path)
 
 
 def memory_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brainstate.functions import text as sc
@@ -71,3 +72,21 @@ def test_new_session_when_none_is_left(spark):
     users = spark.createDataFrame([("u", "s1", 7)], "user_id string, current_session_id string, session_counter int")
     out = ch.delete_session(sessions, sessions.select("user_id", "session_id"), users).collect()
     assert [(r.session_id, r.title, r.is_current) for r in out] == [("session_8", ch.NEW_TITLE, True)]
+
+
+def test_nearest_of_many_blocks_equals_brute_force(spark):
+    r = np.random.default_rng(1)
+    vectors = np.round(r.normal(size=(300, 5)), 1)
+    vectors[r.integers(0, 300, 40)] = vectors[7]  # ties
+    vectors[[3, 90]] = 0
+    rows = [(int(i % 2), int(i), v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "session_id long, mem_seq long, vector array<double>")
+    for block in (7, 2048):
+        for x in nearest_prior(df, block=block).collect():
+            past = [j for j in range(x.mem_seq) if j % 2 == x.session_id and vectors[j].any()] if vectors[x.mem_seq].any() else []
+            d = {j: 1 - vectors[j] @ vectors[x.mem_seq] / np.linalg.norm(vectors[j]) / np.linalg.norm(vectors[x.mem_seq]) for j in past}
+            assert (x.past is None) == (not past)
+            if past:
+                near = min(d.values())
+                assert x.past == min(j for j in past if d[j] < near + 1e-12) and abs(x.distance - near) < 1e-12
+    assert nearest_prior(df.limit(0)).count() == 0

@@ -46,18 +46,22 @@ def rolling_mean(metrics: DataFrame, column: str, n: int = 60) -> DataFrame:
 def poll_metrics(metrics: DataFrame, columns: list[str], seconds: int = 1) -> DataFrame:
     """DW2: ticks of each session from its first whole tick on, with the latest values at or before each."""
     step = seconds * 1_000_000
-    span = metrics.groupBy("session_id").agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b"))
-    ticks = span.select(
+    # A point stands for the ticks from its time to before the next point's, the last one for the tick after it too.
+    # They are made an hour of ticks at a time, so that no row holds the ticks of a long gap.
+    w = Window.partitionBy("session_id").orderBy("us")
+    tick = lambda us: F.ceil(us / F.lit(step)).cast("long")
+    rows = metrics.select("session_id", F.unix_micros("ts").alias("us"), *columns)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(
         "session_id",
-        F.explode(
-            F.sequence(F.ceil(F.col("a") / step) * step, F.ceil(F.col("b") / step) * step, F.lit(step))
-        ).alias("us"),
-    )
-    none = [F.lit(None).cast(metrics.schema[c].dataType).alias(c) for c in columns]
-    rows = metrics.select("session_id", F.unix_micros("ts").alias("us"), F.lit(0).alias("tick"), *columns)
-    both = rows.unionByName(ticks.select("session_id", "us", F.lit(1).alias("tick"), *none))
-    w = Window.partitionBy("session_id").orderBy("us", "tick").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns}).filter("tick = 1").drop("tick")
+        tick(F.col("us")).alias("first"),
+        F.coalesce(tick(F.lead("us").over(w)), tick(F.col("us")) + 1).alias("end"),
+        *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns],
+    ).filter("first < end")
+    runs = rows.withColumn("from", F.explode(F.sequence("first", F.col("end") - 1, F.lit(3600).cast("long"))))
+    ticks = F.sequence("from", F.least(F.col("from") + 3600, F.col("end")) - 1)
+    out = runs.withColumn("tick", F.explode(ticks))
+    return out.select("session_id", (F.col("tick") * step).alias("us"), *columns)
 
 
 def carry_forward(polls: DataFrame, columns: list[str]) -> DataFrame:

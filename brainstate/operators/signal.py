@@ -133,8 +133,22 @@ def psd_long(features: DataFrame, fs: float = FS, n_fft: int = 500) -> DataFrame
     return features.select("session_id", "win_id", F.inline(pairs)).toDF("session_id", "win_id", "freq", "power")
 
 
-def band_power(psd: DataFrame) -> DataFrame:
-    """SP4: (session_id, win_id, theta, alpha, beta) from (session_id, win_id, freq, power)."""
+def band_power(features: DataFrame, fs: float = FS, n_fft: int = 500) -> DataFrame:
+    """SP4: (session_id, win_id, theta, alpha, beta) from (session_id, win_id, psd), the mean densities.
+
+    A trapezoid rule is a sum of the bins by fixed weights, so each window's powers come from its own row.
+    """
+    freqs, kept = welch_frequencies(fs, n_fft)
+    bins = int(kept.sum())
+    columns = []
+    for (name, _, _), weights in zip(BANDS, band_means(freqs[kept], np.eye(bins)), strict=True):
+        terms = F.zip_with("psd", F.array(*[F.lit(float(x)) for x in weights]), lambda p, x: p * x)
+        columns.append(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x).alias(name))
+    return features.select("session_id", "win_id", *columns)
+
+
+def band_power_long(psd: DataFrame) -> DataFrame:
+    """SP4 of the long form (session_id, win_id, freq, power), whose bins are shuffled to their windows."""
     band = F.lit(None).cast("string")
     width = F.lit(None).cast("double")
     for name, low, high in BANDS:

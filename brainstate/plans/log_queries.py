@@ -14,7 +14,7 @@ from brainstate.operators import trials as tr
 from brainstate.plans import state_queries as st
 from brainstate.plans import tables as t
 from brainstate.sources import io
-from brainstate.sources.shared import new_folder
+from brainstate.sources.shared import new_folder, stored
 from brainstate.streaming import streams
 
 QUERIES, SQL = {}, {}
@@ -152,7 +152,7 @@ def tr6_trial_features(spark, d):
     from g left join q on q.session_id = g.session_id and q.trial_id = g.trial_id and rn = 1"""
 )
 def tr7_trial_report(spark, d):
-    trials = tr.trial_features(tr.erd_percent(tr.epoch_variance(_cut(spark, d))).filter(_ENOUGH))
+    trials = stored(tr.trial_features(tr.erd_percent(tr.epoch_variance(_cut(spark, d))).filter(_ENOUGH)), "trials")
     near = rt.nearest_prior(trials, "trial_id").withColumnRenamed("past", "past_id")
     return tr.trial_report(trials, near).select("session_id", "trial_id", "past_id", (F.col("memory_text") == tr.NO_MEMORY).alias("no_memory"))
 
@@ -201,7 +201,7 @@ def tr6_trial_features_all(spark, d):
 @query()
 def tr7_trial_report_all(spark, d):
     """Without SQL: bases without variance make parallel vectors, whose order by distance is noise; tested by brute force."""
-    trials = tr.trial_features(_erd_all(spark, d))
+    trials = stored(tr.trial_features(_erd_all(spark, d)), "trials")
     near = rt.nearest_prior(trials, "trial_id").withColumnRenamed("past", "past_id")
     return tr.trial_report(trials, near).select("session_id", "trial_id", "past_id", "distance", (F.col("memory_text") == tr.NO_MEMORY).alias("no_memory"))
 

@@ -95,12 +95,33 @@ def sp3_mean_psd(spark, d):
     return rounded(out, ["power"], 4)
 
 
+#: Three channels, the recordings of which are sessions of their own in SQL.
+_CHANNELS = {"0": "value", "1": "value * value / 100", "2": "100 - value"}
+_SMP_OF = " union all ".join(
+    f"""select event_type || '|{k}' as session_id, row_number() over (partition by event_type order by ts, event_id) - 1 as idx, ts, {x} as v
+    from events"""
+    for k, x in _CHANNELS.items()
+)
+_PSD_OF = _PSD.replace(_SMP, f"smp as ({_SMP_OF})")
+
+
+@query(
+    f"""with {_PSD_OF} select split_part(session_id, '|', 1) as session_id, win_id, freq, round(avg(power), 3) as power
+    from psd group by 1, 2, 3"""
+)
+def sp3_mean_over_channels(spark, d):
+    """The mean of three different channels for each window."""
+    value = F.element_at("ch", 1)
+    rows = t.samples(spark, d).withColumn("ch", F.array(value, value * value / 100, 100 - value))
+    return rounded(sp.psd_long(sp.window_features(rows, t.FS, t.WINDOW, t.HOP, t.N_FFT), t.FS, t.N_FFT), ["power"], 3)
+
+
 _BANDS = "round(theta, 4) as theta, round(alpha, 4) as alpha, round(beta, 4) as beta"
 
 
 @query(f"with {_PSD} select session_id, win_id, {_BANDS} from ft3")
 def sp4_band_power(spark, d):
-    return rounded(sp.band_power(sp.psd_long(_features(spark, d), t.FS, t.N_FFT)), ["theta", "alpha", "beta"], 4)
+    return rounded(sp.band_power(_features(spark, d), t.FS, t.N_FFT), ["theta", "alpha", "beta"], 4)
 
 
 @query(f"with {_PSD} select session_id, win_id, list_value(round(theta, 4), round(alpha, 4), round(beta, 4)) as vector from ft3")
@@ -206,27 +227,27 @@ def cl6_classify_model(spark, d):
 # Episodes: events of a user as hops.
 
 _HOPS = """hops as (
-  select user_id as session_id, ts, value, case event_type when 'click' then 'focus' when 'view' then 'calm'
+  select user_id as session_id, ts, event_id, value, case event_type when 'click' then 'focus' when 'view' then 'calm'
          when 'purchase' then 'happy' when 'error' then 'distress' else 'neutral' end as label
   from events),
 e as (select *, sum((label = 'neutral')::int) over w as epoch,
-             min(case when label = 'neutral' then ts end) over (partition by session_id order by ts
+             min(case when label = 'neutral' then ts end) over (partition by session_id order by ts, event_id
                  rows between current row and unbounded following) as reset_ts,
              case when label = lag(label) over w then 0 else 1 end as chg
-      from hops window w as (partition by session_id order by ts)),
-r as (select *, sum(chg) over (partition by session_id order by ts) as run_id from e),
-n as (select *, row_number() over (partition by session_id, run_id order by ts) as hop_no,
+      from hops window w as (partition by session_id order by ts, event_id)),
+r as (select *, sum(chg) over (partition by session_id order by ts, event_id) as run_id from e),
+n as (select *, row_number() over (partition by session_id, run_id order by ts, event_id) as hop_no,
              min(ts) over (partition by session_id, run_id) as run_start from r),
 k as (select session_id, epoch, run_id, label, min(run_start) as run_start,
              min(case when hop_no > 1 and epoch_us(ts) - epoch_us(run_start) >= 21600000000 then ts end) as confirm_ts,
              min(reset_ts) as reset_ts
       from n where label <> 'neutral' group by all having confirm_ts is not null),
 s as (select * from (select *, lag(label) over w as pl, lag(epoch) over w as pe from k
-                     window w as (partition by session_id order by confirm_ts))
+                     window w as (partition by session_id order by confirm_ts, run_id))
       where not coalesce(pl = label and pe = epoch, false)),
 o as (select session_id, 'evt_' || (epoch_us(confirm_ts) // 1000000) as evt_id, label as state, confirm_ts as start_ts,
              coalesce(case when lead(epoch) over w = epoch then lead(confirm_ts) over w end, reset_ts) as end_ts
-      from s window w as (partition by session_id order by confirm_ts)),
+      from s window w as (partition by session_id order by confirm_ts, run_id)),
 epi as (select o.*, (epoch_us(end_ts) - epoch_us(start_ts)) // 1000000 as duration_sec, h.value
         from o join hops h on h.session_id = o.session_id and h.ts = o.start_ts)"""
 

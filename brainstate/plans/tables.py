@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brainstate.sources.shared import stored
+
 #: Event types as labels; one-hop gaps are hours, so a state is sustained for six.
 LABELS = {"click": "focus", "view": "calm", "purchase": "happy", "error": "distress"}
 SUSTAIN = 21_600.0
@@ -23,7 +25,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_hops(df: DataFrame) -> DataFrame:
     pairs = [F.lit(x) for pair in LABELS.items() for x in pair]
     label = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("event_type")), F.lit("neutral"))
-    return df.select(F.col("user_id").alias("session_id"), "ts", label.alias("label"), F.array("value").alias("vector"))
+    return df.select(
+        F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("sample_idx"), label.alias("label"), F.array("value").alias("vector")
+    )
 
 
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +45,32 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One recording for each event type, with one channel."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return events(spark, sf_dir).select(
-        F.col("event_type").alias("session_id"),
-        (F.row_number().over(w) - 1).cast("long").alias("sample_idx"),
-        "ts",
-        F.array("value").alias("ch"),
+    """One recording for each event type, with one channel.
+
+    Events are numbered in ranges of the order, so no task holds all of a type: a number is the place in the range and
+    the rows of the type in the ranges before, of which there are as many as shuffle partitions.
+    """
+    order = "event_type", "ts", "event_id"
+    ranges = stored(
+        events(spark, sf_dir)
+        .select(*order, "value")
+        .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+        .withColumn("range", F.spark_partition_id()),
+        "ranges",
+    )
+    before = Window.partitionBy("event_type").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("event_type", "range").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    w = Window.partitionBy("event_type", "range").orderBy("ts", "event_id")
+    return (
+        ranges.withColumn("place", F.row_number().over(w) - 1)
+        .join(counts, ["event_type", "range"])
+        .select(
+            F.col("event_type").alias("session_id"),
+            (F.col("before") + F.col("place")).cast("long").alias("sample_idx"),
+            "ts",
+            F.array("value").alias("ch"),
+        )
     )
 
 

@@ -79,12 +79,12 @@ def stream_episodes(hops: DataFrame, sustain: float = 3.0) -> DataFrame:
     """ST2: the log of starts and ends (session_id, action, evt_id, at_us, state) of a stream of hops.
 
     Each session keeps four values. Hops of one session must come in order from batch to batch; inside a batch
-    they are sorted.
+    they are sorted by time, and by sample_idx if they have that column.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = Debounce(sustain, tuple(state.get) if state.exists else (None, None, None, None))
-        rows = pd.concat(list(batches)).sort_values("us")
+        rows = pd.concat(list(batches)).sort_values(["us", "tie"])
         out = [
             (key[0], *action)
             for us, label in zip(rows["us"].tolist(), rows["label"].tolist(), strict=True)
@@ -94,8 +94,9 @@ def stream_episodes(hops: DataFrame, sustain: float = 3.0) -> DataFrame:
         yield pd.DataFrame(out, columns=["session_id", "action", "evt_id", "at_us", "state"])
 
     kind = hops.schema["session_id"].dataType.simpleString()
+    tie = F.col("sample_idx") if "sample_idx" in hops.columns else F.lit(0)
     return (
-        hops.select("session_id", F.unix_micros("ts").alias("us"), "label")
+        hops.select("session_id", F.unix_micros("ts").alias("us"), tie.cast("long").alias("tie"), "label")
         .groupBy("session_id")
         .applyInPandasWithState(
             run,

@@ -8,8 +8,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from brainstate.functions.scoring import classify
+from brainstate.operators.dashboard import poll_metrics
 from brainstate.operators.episodes import episodes
-from brainstate.operators.signal import average_reference, bandpass, bandpass_mu, window_features
+from brainstate.operators.signal import (
+    average_reference, band_power, band_power_long, bandpass, bandpass_mu, psd_long, window_features,
+)
 from brainstate.streaming.streams import Debounce
 
 START = dt.datetime(2024, 1, 1)
@@ -85,6 +88,48 @@ def found_episodes(spark, sessions, sustain=3.0):
     return sorted((r.session_id, r.state, at(r.start_ts), at(r.end_ts)) for r in df.collect())
 
 
+def test_hops_of_equal_times_follow_their_index(spark):
+    """Three hops share each time; the loop reads them by sample_idx."""
+    rng = np.random.default_rng(5)
+    rows, expected = [], []
+    for s in range(12):
+        machine, opened = Debounce(1.0), []
+        labels = np.repeat(rng.choice(["A", "B", "neutral"], 30, p=[0.5, 0.4, 0.1]), rng.integers(1, 9, 30)).tolist()
+        for i, label in enumerate(labels):
+            rows.append((s, START + dt.timedelta(seconds=i // 3), i, label))
+            for action, _, us, state in machine.step(i // 3 * 1_000_000, label):
+                if action == "start":
+                    opened.append([s, state, us / 1e6, None])
+                else:
+                    opened[-1][3] = us / 1e6
+        expected += map(tuple, opened)
+    rng.shuffle(rows)
+    hops = spark.createDataFrame([tuple(r) for r in rows], "session_id long, ts timestamp, sample_idx long, label string")
+    at = lambda x: None if x is None else (x - START).total_seconds()
+    got = [(r.session_id, r.state, at(r.start_ts), at(r.end_ts)) for r in episodes(hops, 1.0).collect()]
+    assert len(got) > 20
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_band_power_equals_its_long_form(spark):
+    features = window_features(recorded(spark)).select("session_id", "win_id", "psd", "vector").cache()
+    short = {r.session_id: (r.theta, r.alpha, r.beta) for r in band_power(features).collect()}
+    long = {r.session_id: (r.theta, r.alpha, r.beta) for r in band_power_long(psd_long(features)).collect()}
+    for r in features.collect():
+        assert np.allclose(short[r.session_id], r.vector) and np.allclose(long[r.session_id], r.vector)
+
+
+def test_ticks_over_a_long_gap(spark):
+    """A gap of three hours of seconds, points between ticks, two points in one tick, nulls."""
+    points = [(0.5, 1.0), (2.2, None), (2.7, 3.0), (4.0, 4.0), (10_804.5, 5.0)]
+    rows = [("s", START + dt.timedelta(seconds=t), v) for t, v in points]
+    made = poll_metrics(spark.createDataFrame(rows, "session_id string, ts timestamp, v double"), ["v"]).collect()
+    base = int(START.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = sorted((r.us // 1_000_000 - base, r.v) for r in made)
+    expected = [(k, [v for t, v in points if t <= k and v is not None][-1]) for k in range(1, 10_806)]
+    assert got == expected
+
+
 def named(text):
     return [(i, {"n": "neutral"}.get(x, x)) for i, x in enumerate(text) if x != " "]
 

@@ -90,11 +90,36 @@ def tr1_average_reference(spark, d):
     return out.select("vec_id", F.round(F.get("ch", F.lit(7)), 6).alias("c3"), (F.round(total, 6) + 0.0).alias("total"))
 
 
-@query()
+#: The filter of each block as a sum over all samples: the kernel is the inverse transform of the squared gain.
+_MU = f"""{st._SMP},
+dealt as (select session_id, idx, v, unnest(range(greatest(0, (idx - 512) // 1024), (idx + 512) // 1024 + 1)) as b from smp),
+whole as (select session_id, b, min(idx) as a, count(*) as n, least(512, count(*) - 1) as p from dealt group by session_id, b
+          having max(idx // 1024) >= b),
+blk as (select *, (1 << ceil(log2(n + 3 * p + 1))::int)::bigint as size from whole),
+pos as (select d.session_id, d.b, d.idx - k.a as i, d.v, k.n, k.p, k.size,
+              first_value(v) over w as v0, last_value(v) over w as v1
+       from dealt d join blk k using (session_id, b)
+       window w as (partition by d.session_id, d.b order by d.idx rows between unbounded preceding and unbounded following)),
+x as (select session_id, b, size, i + p as j, v from pos
+      union all select session_id, b, size, p - i, 2 * v0 - v from pos where i between 1 and p
+      union all select session_id, b, size, p + n + (n - 2 - i), 2 * v1 - v from pos where i between n - 1 - p and n - 2),
+gain as (select size, k, case when k = 0 then 0 else 1 / (1 + pow((f * f - lo * hi) / (f * (hi - lo)), 8)) end as g
+         from (select size, k, tan(pi() * least(k * 64.0::double / size, 32 * (1 - 1e-9::double)) / 64) as f, tan(pi() * 8 / 64) as lo,
+                      tan(pi() * 12 / 64) as hi
+               from (select size, unnest(range(0, size // 2 + 1)) as k from (select distinct size from blk)))),
+ker as (select size, m, sum(g * cos(2 * pi() * ((k * m) % size) / size) * case when k = 0 or k = size // 2 then 1 else 2 end) / size as h
+        from gain join (select size, unnest(range(0, size)) as m from (select distinct size from blk)) using (size) group by size, m),
+own as (select session_id, b, size, i + p as o, i + k.a as idx from pos join blk k using (session_id, b, size, p) where (i + k.a) // 1024 = b)"""
+
+
+@query(
+    f"""with {_MU} select own.session_id, own.idx as sample_idx, round(sum(x.v * ker.h), 6) + 0.0 as value
+    from own join x using (session_id, b) join ker on ker.size = own.size and ker.m = (own.o - x.j + own.size) % own.size group by all"""
+)
 def tr2_bandpass_mu(spark, d):
-    """Band-pass of the recordings; an iterated numeric filter, tested by its gain and against whole sessions."""
+    """Band-pass of the recordings; also tested by its gain and against whole sessions."""
     out = sp.bandpass_mu(t.samples(spark, d), t.FS, block_seconds=16.0, halo_seconds=8.0)
-    return out.select("session_id", "sample_idx", F.round(F.get("ch", F.lit(0)), 6).alias("value"))
+    return out.select("session_id", "sample_idx", (F.round(F.get("ch", F.lit(0)), 6) + 0.0).alias("value"))
 
 
 _EPOCHS = {"base": (-1.5, -0.5), "task": (0.5, 4.0)}
@@ -564,7 +589,7 @@ def st3_stream_memory_sink(spark, d):
     folder = new_folder(spark, "memory")
     actions = streams.stream_episodes(t.as_hops(_event_stream(spark, d)), t.SUSTAIN)
     streams.stream_memory_sink(actions, f"{folder}/rows", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return streams.memory_of(spark.read.schema(actions.schema).parquet(f"{folder}/rows/batch=*"))
+    return streams.memory(spark, f"{folder}/rows", "long")
 
 
 @query("select user_id as session_id, epoch_us(max(ts)) as us, arg_max(value, ts) as value from events group by 1")

@@ -15,7 +15,7 @@ from brainstate.operators import retrieval as rt
 from brainstate.operators import signal as sp
 from brainstate.plans import tables as t
 from brainstate.sources import io
-from brainstate.sources.shared import new_folder
+from brainstate.sources.shared import new_folder, stored
 
 QUERIES, SQL = {}, {}
 
@@ -402,6 +402,19 @@ def io6_close_memory(spark, d):
     return io.close_memory(text, ends).select("session_id", "evt_id", "document", "context")
 
 
+@query(f"with {_DOCS} select session_id, evt_id, document, document as context from closed")
+def io6_close_stored_memory(spark, d):
+    """The same on a store: the ends come in two parts, each of which rewrites the buckets of its sessions."""
+    path = new_folder(spark, "memory")
+    rows = stored(_memory(spark, d), "events")
+    _, text = io.memory_rows(rows)
+    io.write_version(text, path, 0)
+    ends = rows.filter(F.col("end_ts").isNotNull()).select("session_id", "evt_id", "end_ts", "duration_sec")
+    for version, part in ((1, "session_id % 5 = 0"), (2, "session_id % 5 <> 0")):
+        io.close_stored(spark, path, text.schema, ends.filter(part), version)
+    return io.newest(spark, path, text.schema).select("session_id", "evt_id", "document", "context")
+
+
 @query(f"with {_DOCS} select session_id, evt_id, open_doc as document from docs where session_id % 3 = 0 and state = 'focus'")
 def io7_get_memory(spark, d):
     rows = _memory(spark, d)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brainstate import schemas
 from brainstate.functions.text import memory_text_close
 
+#: Buckets of sessions in a store of versions.
+BUCKETS = 64
+
 
 def read_sample_stream(spark: SparkSession, path: str, schema: str = schemas.SAMPLES) -> DataFrame:
     """IO1: samples as a stream of files; another source with the same columns can take its place."""
@@ -71,6 +75,46 @@ def close_memory(memory: DataFrame, ends: DataFrame, column: str = "document") -
     return out.withColumn(column, filled).withColumn("context", F.when(F.col("end_ts").isNotNull(), F.col(column)).otherwise(F.col("context"))).drop("end_ts", "duration_sec")
 
 
+def bucket_of(buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_version(rows: DataFrame, path: str, version: int, buckets: int = BUCKETS) -> None:
+    """IO6: whole buckets of sessions as a version of a store; a version that is written again replaces itself.
+
+    Older versions of these buckets aren't changed, so a job that fails halfway loses nothing; what is older than the
+    version before the newest may be deleted.
+    """
+    dealt = rows.select("*", bucket_of(buckets)).hint("rebalance", "bucket")  # few files a bucket, large ones split
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
+
+
+def newest(spark: SparkSession, path: str, schema: StructType, below: int | None = None) -> DataFrame:
+    """IO6: rows of schema and their bucket, of each bucket's newest version (below a given one); none without a store."""
+    whole = StructType([*schema.fields]).add("version", "long").add("bucket", "integer")
+    try:
+        rows = spark.read.schema(whole).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], whole)
+    if below is not None:
+        rows = rows.filter(F.col("version") < below)
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(last, ["bucket", "version"], "left_semi").drop("version")
+
+
+def touched(spark: SparkSession, path: str, schema: StructType, keys: DataFrame, version: int, buckets: int = BUCKETS) -> DataFrame:
+    """IO6: rows of the buckets that hold sessions of keys, as they were before a version."""
+    wanted = keys.select(bucket_of(buckets)).distinct()  # at most one row for each bucket
+    return newest(spark, path, schema, version).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+
+
+def close_stored(spark: SparkSession, path: str, schema: StructType, ends: DataFrame, version: int, buckets: int = BUCKETS) -> None:
+    """IO6: close_memory on a store; only buckets with sessions of ends are read and written again, as a new version."""
+    write_version(close_memory(touched(spark, path, schema, ends, version, buckets), ends), path, version, buckets)
+
+
 def get_memory(memory: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """IO7: all rows, or those of ids (session_id, evt_id)."""
     return memory if ids is None else memory.join(ids, ["session_id", "evt_id"], "left_semi")

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from brainstate.functions.scoring import NEUTRAL, classify
 from brainstate.operators.signal import band_means, feature_vector, welch_frequencies, welch_psd
+from brainstate.sources import io
 
 
 def stream_features(
@@ -108,13 +110,32 @@ def stream_episodes(hops: DataFrame, sustain: float = 3.0) -> DataFrame:
     )
 
 
-def stream_memory_sink(actions: DataFrame, path: str, checkpoint: str):
-    """ST3: a writer of a stream of actions; a batch that runs again overwrites its own folder."""
+def merge_actions(batch: DataFrame, path: str, batch_id: int, buckets: int = io.BUCKETS) -> None:
+    """ST3: a batch of actions merged into the store of memories by (session_id, evt_id).
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return actions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    Starts are added and ends close their event; only the buckets of sessions that the batch names are read and
+    written. The batch is a version of the store, so one that runs again gives the same.
+    """
+    batch = batch.persist()  # computed once, as its states are
+    try:
+        new = memory_of(batch)
+        old = io.touched(batch.sparkSession, path, new.schema, new, batch_id, buckets)
+        last = [F.max(c).alias(c) for c in ("state", "start_us", "end_us")]
+        io.write_version(old.unionByName(new).groupBy("session_id", "evt_id").agg(*last), path, batch_id, buckets)
+    finally:
+        batch.unpersist()
+
+
+def stream_memory_sink(actions: DataFrame, path: str, checkpoint: str, buckets: int = io.BUCKETS):
+    """ST3: a writer of a stream of actions into the store at path, which memory reads."""
+    merge = lambda batch, batch_id: merge_actions(batch, path, batch_id, buckets)
+    return actions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def memory(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
+    """ST3: the store's events (session_id of a kind, evt_id, state, start_us, end_us) as of the last batch."""
+    schema = f"session_id {kind}, evt_id string, state string, start_us long, end_us long"
+    return io.newest(spark, path, StructType.fromDDL(schema)).drop("bucket")
 
 
 def memory_of(actions: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ from brainstate.llm import (
     licenses_query,
     lm_query,
     media_query,
+    merkle_query,
     near_dup_query,
+    negatives_query,
     packing_query,
     pieces_query,
     quality_query,
+    ring_query,
     toxicity_query,
     warc_query,
 )
@@ -30,6 +33,9 @@ _MODULES = (
     near_dup_query,
     warc_query,
     licenses_query,
+    merkle_query,
+    ring_query,
+    negatives_query,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.NAME: m.query for m in _MODULES}

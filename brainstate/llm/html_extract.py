@@ -7,8 +7,12 @@ series are smoothed over the blocks in page order, fused with the share of text
 outside links, and paths below a share of the best fused score are dropped. An article or main
 element is held against the same share by the sum of its paths, and all blocks of a chosen one are kept. On
 a page without one, so are the blocks beside and below those of the best path, but for those that are only links.
-Containers whose tag or class says that they are furniture (menus, footers,
-adverts, forms, reader comments) have no part in the scores. A heading is kept with
+Containers whose tag or class says that they are furniture (menus, footers, adverts, forms, reader
+comments) have no part in the scores. A class says so by a part of one of its words ("site-footer", "ad_top"), but not
+if "no", "has" and the like stand before it ("no-sidebar"). What a class says isn't held against html, body, main and
+article, nor against what holds the page's content: of all article and main elements those inside of the fewest
+containers that are marked by class lift the marks of these; on a page without one, elements whose class is
+a content word do. Reader comments stay out whatever holds them, also as articles of their own. A heading is kept with
 the content of its container.
 
 The work is a projection of each row, so it moves no data. Defined results: a
@@ -44,7 +48,9 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var img wbr".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE = frozenset("head nav footer aside form button dialog menu label fieldset figcaption address".split())
+FURNITURE = frozenset("head nav footer aside button dialog menu label fieldset figcaption address".split())
+#: Furniture, unless it holds the page's content.
+MARKED = frozenset(["form"])
 CONTENT = frozenset("article main".split())
 #: Furniture outside of content, text inside of it.
 TEXT_IN_CONTENT = frozenset("figcaption address label".split())
@@ -58,18 +64,31 @@ CLOSED_BY = {
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option", "optgroup"]),
 }
-#: Words in a class or id that mark furniture.
-FURNITURE_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|footer|cookies?|"
-    r"consent|notice|alert|comments?|replies|respond|share|sharing|social|related|breadcrumbs?|subscribe|"
-    r"newsletter|login|signup|popup|modal|widget)(?:$|[\s_-])",
+#: Elements whose class isn't asked.
+UNASKED = frozenset("html body main article".split())
+#: Words in a class or id that mark furniture, reader comments, and an article that is a comment.
+FURNITURE_WORDS = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|footer|cookies?|consent|notice|alert|share|sharing|social|"
+    r"related|breadcrumbs?|subscribe|newsletter|login|signup|popup|modal|widget"
+)
+COMMENT_WORDS = r"comments?|commentlist|replies|respond|disqus"
+COMMENT_ARTICLE = re.compile(r"\s(?:comment|reply)(?:[\s_-]|$)", re.I)
+#: Words before a mark that turn it around, and after a comment's that tell a state.
+_NOT = "".join(rf"(?<![\s_-]{word}[_-])" for word in ("no", "not", "has", "with", "without", "hide", "show"))
+_STATE = r"(?![_-](?:open|closed|on|off|enabled|disabled)(?:\s|$))"
+FURNITURE_CLASS = re.compile(rf"[\s_-]{_NOT}(?:{FURNITURE_WORDS})(?=[\s_-]|$)", re.I)
+COMMENT_CLASS = re.compile(rf"[\s_-]{_NOT}(?:{COMMENT_WORDS})(?=[\s_-]|$){_STATE}", re.I)
+#: Whole words in a class or id of what holds a page's content.
+CONTENT_CLASS = re.compile(
+    r"\s(?:content|main|main-content|page-content|article|article-body|article-content|post|post-body|post-content|entry|entry-content|story|"
+    r"story-body)(?=\s|$)",
     re.I,
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 #: A header by its class, and one that belongs to an article.
-HEADER_CLASS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
-OWN_HEADER_CLASS = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content)[_-]+header(?:$|[\s_-])", re.I)
+HEADER_CLASS = re.compile(rf"[\s_-]{_NOT}header(?=[\s_-]|$)", re.I)
+OWN_HEADER_CLASS = re.compile(r"[\s_-](?:article|entry|post|story|content)[_-]+header(?=[\s_-]|$)", re.I)
 
 _OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 #: What a tag has up to its end; quotes count only where a value begins. Nothing is tried twice.
@@ -79,42 +98,103 @@ _MARKS = frozenset("class id role".split())
 
 
 class _Open:
-    """An open element: its tag, the block path it makes, its role, and the path of the outermost content element."""
+    """An open element: its tag, the number of its block path, whether it is furniture, the number of the path of the
+    outermost content element, and the number of the innermost container around it that is marked by class."""
+
+    __slots__ = ("content", "dropped", "mark", "path", "tag")
+
+    def __init__(self, tag: str, path: int, dropped: bool, content: int, mark: int):
+        self.tag, self.path, self.dropped, self.content, self.mark = tag, path, dropped, content, mark
+
 
-    __slots__ = ("content", "dropped", "path", "tag")
+class _Page:
+    """The parts of a page. Number 0 is the root's path, and no content element or mark.
 
-    def __init__(self, tag: str, path: str, dropped: bool, content: str):
-        self.tag, self.path, self.dropped, self.content = tag, path, dropped, content
+    blocks: (path, text, length of linked text, whether it is a heading, path of the content element, mark) outside
+    furniture. parents: the path around each path. Paths and marks come after what is around them.
+    """
 
+    def __init__(self):
+        self.blocks: list[tuple[int, str, int, bool, int, int]] = []
+        self.parents, self.tags, self._numbers = [0], [""], {}
+        self._around, self._depths = [0], [0]  # of marks
+        self._holders: tuple[list[int], list[int]] = [], []  # marks around articles, and around content classes
+
+    def path(self, parent: int, tag: str, name: str) -> int:
+        number = self._numbers.setdefault((parent, tag, name), len(self.parents))
+        if number == len(self.parents):
+            self.parents.append(parent)
+            self.tags.append(tag)
+        return number
+
+    def entered(self, top: _Open, tag: str, attributes: str) -> _Open:
+        if tag in INLINE:
+            return _Open(tag, top.path, top.dropped, top.content, top.mark)
+        names = [a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in _MARKS] if attributes else []
+        dropped = top.dropped or tag in FURNITURE and not (top.content and tag in TEXT_IN_CONTENT) or tag == "header" and not top.content
+        marked, mark, content = tag in MARKED, top.mark, tag in CONTENT
+        for name in (f" {x}" for x in names):
+            if tag in UNASKED:
+                dropped = dropped or tag == "article" and COMMENT_ARTICLE.search(name) is not None
+            else:
+                dropped = dropped or COMMENT_CLASS.search(name) is not None
+                marked = marked or FURNITURE_CLASS.search(name) is not None
+                marked = marked or not top.content and HEADER_CLASS.search(name) is not None and not OWN_HEADER_CLASS.search(name)
+        if marked and not dropped:
+            mark = len(self._around)
+            self._around.append(top.mark)
+            self._depths.append(self._depths[top.mark] + 1)
+        if not dropped:
+            if content:
+                self._holders[0].append(mark)
+            elif tag != "body" and any(CONTENT_CLASS.search(f" {x}") for x in names):
+                self._holders[1].append(mark)
+        path = self.path(top.path, tag, names[0] if names else "")
+        return _Open(tag, path, dropped, top.content or (path if content else 0), mark)
 
-def _entered(top: _Open, tag: str, attributes: str) -> _Open:
-    if tag in INLINE:
-        return _Open(tag, top.path, top.dropped, top.content)
-    marks = [a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in _MARKS] if attributes else []
-    furniture = tag in FURNITURE and not (top.content and tag in TEXT_IN_CONTENT) or tag == "header" and not top.content
-    if tag not in ("html", "body"):
-        furniture = furniture or any(map(FURNITURE_CLASS.search, marks))
-        headers = [] if top.content else filter(HEADER_CLASS.search, marks)
-        furniture = furniture or any(not OWN_HEADER_CLASS.search(m) for m in headers)
-    path = f"{top.path}/{tag}" + (f".{marks[0]}" if marks else "")
-    return _Open(tag, path, top.dropped or furniture, top.content or (path if tag in CONTENT else ""))
+    def furniture(self) -> list[bool]:
+        """Whether each mark holds."""
+        holders = self._holders[0] or self._holders[1]
+        out = [False] + [True] * (len(self._around) - 1)
+        least = min((self._depths[m] for m in holders), default=0)
+        for mark in holders:
+            while self._depths[mark] <= least and out[mark]:
+                out[mark] = False
+                mark = self._around[mark]
+        for mark in range(1, len(out)):
+            out[mark] = out[mark] or out[self._around[mark]]
+        return out
 
 
-def blocks(html: str) -> list[tuple[str, str, int, bool, str]]:
-    """Path, text, length of linked text, whether it is a heading, and the path of the content element, of each
-    block outside furniture."""
-    stack = [_Open("", "", False, "")]
-    out: list[tuple[str, str, int, bool, str]] = []
+def read(html: str) -> _Page:
+    """The blocks of a page and their paths."""
+    page = _Page()
+    stack = [_Open("", 0, False, 0, 0)]
+    outer = [0]  # places on the stack of elements that aren't inline
+    opened: dict[str, int] = {}  # those by tag
+    inline: list[dict[str, int]] = [{}]  # inline elements by tag, in each of these
     parts: list[str] = []
     linked = links = at = 0
 
+    def closed(depth: int) -> None:
+        """The elements from a place on are closed."""
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            if tag in INLINE:
+                inline[-1][tag] -= 1
+            else:
+                opened[tag] -= 1
+                outer.pop()
+                inline.pop()
+
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text and not stack[-1].dropped:
                 heading = any(x.tag in HEADINGS for x in stack[-3:])
-                out.append((stack[-1].path, text, min(linked, len(text)), heading, stack[-1].content))
+                top = stack[-1]
+                page.blocks.append((top.path, text, min(linked, len(text)), heading, top.content, top.mark))
             parts.clear()
         linked = 0
 
@@ -154,12 +234,11 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, str]]:
                 continue
             else:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if tag in INLINE and stack[depth].tag not in INLINE:
-                    break
+            if (inline[-1] if tag in INLINE else opened).get(tag):
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                closed(depth)
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
@@ -175,17 +254,19 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, str]]:
         else:
             flush()
             links = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = stack[depth].tag
-                if open_tag == "p" or tag in CLOSED_BY.get(open_tag, ()):
-                    del stack[depth:]
-                    break
-                if open_tag not in INLINE:
-                    break
+            around = stack[outer[-1]].tag
+            if around == "p" or tag in CLOSED_BY.get(around, ()):
+                closed(outer[-1])
         if not attributes.endswith("/"):
-            stack.append(_entered(stack[-1], tag, attributes))
+            stack.append(page.entered(stack[-1], tag, attributes))
+            if tag in INLINE:
+                inline[-1][tag] = inline[-1].get(tag, 0) + 1
+            else:
+                opened[tag] = opened.get(tag, 0) + 1
+                outer.append(len(stack) - 1)
+                inline.append({})
     flush()
-    return out
+    return page
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -199,9 +280,11 @@ def _smoothed(values: list[float]) -> list[float]:
 
 def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by line feeds."""
-    found = blocks(html or "")
-    sums: dict[str, list[float]] = {}
-    roots: dict[str, str] = {}
+    page = read(html or "")
+    furniture = page.furniture()
+    found = [x[:5] for x in page.blocks if not furniture[x[5]]]
+    sums: dict[int, list[float]] = {}
+    roots: dict[int, int] = {}
     for path, text, linked, heading, root in found:
         roots[path] = root
         if not heading:
@@ -215,26 +298,33 @@ def main_text(html: str | None) -> str:
     body = [x[0] for x in found if not x[3]]
     text_ratio = _smoothed([sums[p][0] / sums[p][3] for p in body])
     mark_ratio = _smoothed([sums[p][1] / sums[p][3] for p in body])
-    fused: dict[str, float] = {}
+    fused: dict[int, float] = {}
     for path, t, m in zip(body, text_ratio, mark_ratio, strict=True):
         own = t * (1 + m) * (1 - sums[path][2] / sums[path][0])
         fused[path] = fused.get(path, 0.0) + own / sums[path][3]
     least = MIN_SHARE * max(fused.values())
     kept = {p for p, v in fused.items() if v >= least and v > 0}
-    sum_of: dict[str, float] = {}
+    sum_of: dict[int, float] = {}
     for p, v in fused.items():
         sum_of[roots[p]] = sum_of.get(roots[p], 0.0) + v
     chosen = {root for root, v in sum_of.items() if root and v >= least and v > 0}
-    home = max(fused, key=fused.__getitem__).rsplit("/", 1)[0]
-    below = f"{home}/" if not chosen and kept and home.rsplit("/", 1)[-1].split(".")[0] not in ("", "html", "body") else None
-    homes = {p.rsplit("/", 1)[0] for p in kept}
+    home = page.parents[max(fused, key=fused.__getitem__)]
+    whole = not chosen and kept and page.tags[home] not in ("", "html", "body")
+    below = [False] * len(page.parents)  # whether a path is below the best one's container
+    for p in range(1, len(below)):
+        below[p] = below[page.parents[p]] or page.parents[p] == home
+    around = set()  # paths around those that are kept, and these
+    for p in kept:
+        while p not in around:
+            around.add(p)
+            p = page.parents[p]
     return "\n".join(
         text
         for path, text, linked, heading, root in found
         if path in kept
         or root in chosen
-        or below and path.startswith(below) and linked < len(text)
-        or heading and any(h.startswith(path.rsplit("/", 1)[0]) for h in homes)
+        or whole and below[path] and linked < len(text)
+        or heading and page.parents[path] in around
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -120,6 +121,52 @@ def test_bad_markup_takes_linear_time(part):
     assert time.process_time() - began < 8
 
 
+DEEP = ["<div>" * 60_000, "<b>" * 50_000 + "</i>" * 37_500, "<div>" * 30_000 + "</section>" * 15_000, "<div>" + "<b>" * 50_000 + "<div></div>" * 13_000,
+        "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<div class=ad>" * 20_000 + "<article>x"]
+
+
+@pytest.mark.parametrize("page", DEEP, ids=range(len(DEEP)))
+def test_deep_pages_take_linear_time_and_memory(page):
+    tracemalloc.start()
+    began = time.process_time()
+    main_text(page[: len(page) // 2])
+    half, half_s = tracemalloc.get_traced_memory()[1], time.process_time() - began
+    tracemalloc.reset_peak()
+    began = time.process_time()
+    main_text(page)
+    whole, whole_s = tracemalloc.get_traced_memory()[1], time.process_time() - began
+    tracemalloc.stop()
+    assert whole < 100e6 and whole < 2.6 * half + 1e6
+    assert whole_s < 3.5 * half_s + 1
+
+
+LONG = "Long text, with marks, and more of it. " * 5
+
+
+@pytest.mark.parametrize(
+    ("html", "n"),
+    [
+        ('<div class="page no-sidebar"><article>{}</article></div>', 1),
+        ('<article class="post alert-news">{}</article>', 1),
+        ('<body class="nav-open"><div class="site widget"><main>{}</main><div class="related"><article>{}</article></div></div></body>', 1),
+        ('<div class="layout right-sidebar"><div class="content">{}</div><div class="sidebar">{}</div></div>', 1),
+        ('<form id="aspnetForm"><div class="main">{}</div><div class="site-footer">{}</div></form>', 1),
+        ('<article>{}<div id="disqus_thread">{}</div></article>', 1),
+        ('<article>{}</article><div id="comments" class="comments-area"><article class="comment-body">{}</article></div>', 1),
+        ('<article>{}<article class="comment even">{}</article></article>', 1),
+        ('<div class="post comments-open">{}</div>', 1),
+        ('<article>{}</article><form>{}</form><div class="social-share">{}</div>', 1),
+        ('<nav>{}</nav><div class="ad">{}</div>', 0),
+        ('<div class="ad-wrapper">{}</div><div class="promo">{}</div>', 0),
+    ],
+)
+def test_wrappers_of_themes(html, n):
+    """The first text is the article."""
+    texts = [f"{name} {LONG}".strip() for name in ("one", "two", "three")]
+    got = main_text(html.format(*(f"<p>{x}</p>" for x in texts)))
+    assert got == "\n".join(texts[:n])
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "plain", "<script>", "<!-- x", "</p></b>", "<p>a<p>b", "<b><i>x</b></i>" * 50, "<div>" * 3000 + "deep"])
 def test_broken_pages(html):
     assert isinstance(main_text(html), str)

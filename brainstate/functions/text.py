@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Markers of the memory text.
+#: Lines of the memory text, and what an open one ends with.
+END_LINE, TOTAL_LINE = "【结束时间】: ", "【持续总时长】: "
 OPEN_MARK = "[状态持续中...]"
 TIME_FORMAT = "yyyy'年'MM'月'dd'日' HH'时'mm'分'ss'秒'"
 DATA_URL = "data:image/jpeg;base64,"
@@ -28,14 +29,14 @@ def memory_text_open(state: Column, start: Column, advice: Column) -> Column:
     """SC1: the document of an event that goes on."""
     return F.concat(
         F.lit("【状态】: "), state, F.lit("\n【开始时间】: "), cn_timestamp(start),
-        F.lit("\n【当时AI分析/环境推断】: "), advice, F.lit(f"\n【结束时间】: {OPEN_MARK}"),
+        F.lit("\n【当时AI分析/环境推断】: "), advice, F.lit(f"\n{END_LINE}{OPEN_MARK}"),
     )
 
 
 def memory_text_close(document: Column, end: Column, seconds: Column) -> Column:
-    """SC2: the document with its open marker replaced by the end and the duration."""
-    closing = F.concat(cn_timestamp(end), F.lit("\n【持续时长】: "), cn_duration(seconds))
-    return F.replace(document, F.lit(OPEN_MARK), closing)
+    """SC2: the document with its open end line replaced by the end and the duration; the mark elsewhere stays."""
+    closing = F.concat(F.lit(END_LINE), cn_timestamp(end), F.lit(f"\n{TOTAL_LINE}"), cn_duration(seconds))
+    return F.replace(document, F.lit(END_LINE + OPEN_MARK), closing)
 
 
 def speech_text(text: Column) -> Column:

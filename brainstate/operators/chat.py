@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brainstate.operators.chat_log import apply_log
+
 #: Defaults of a new session.
 NEW_TITLE = "💬 新对话"
 GREETING = "你好！开启了新的认知检索会话。"
@@ -66,26 +68,33 @@ def rag_prompt(payload: DataFrame, timelines: DataFrame, system: str = "{timelin
     )
 
 
+def _in_turn(actions: DataFrame) -> DataFrame:
+    """seq as long, 0 for all if actions have none."""
+    return actions.withColumn("seq", (F.col("seq") if "seq" in actions.columns else F.lit(0)).cast("long"))
+
+
 def edit_and_truncate(messages: DataFrame, edits: DataFrame) -> DataFrame:
-    """CH6: edits (session_id, turn, new_text) cut their session at turn and put the new text there; blank ones don't."""
-    real = edits.filter(F.col("new_text").rlike(r"(?U)[^\s]"))
-    cut = messages.join(real.select("session_id", F.col("turn").alias("cut")), "session_id", "left")
-    kept = cut.filter(F.col("cut").isNull() | (F.col("turn") < F.col("cut"))).drop("cut")
-    new = real.join(messages.select("session_id").distinct(), "session_id", "left_semi").select(
-        "session_id", "turn", F.lit("user").alias("role"), F.col("new_text").alias("text")
-    )
-    return kept.select("session_id", "turn", "role", "text").unionByName(new)
+    """CH6: edits (session_id, turn, new_text, perhaps seq) cut their session at turn and put the new text there; blank ones don't.
+
+    Edits of one session are applied in the order of seq; past the end they append.
+    """
+    log = _in_turn(edits).select("session_id", "seq", F.lit("edit").alias("what"), "turn", F.lit("user").alias("role"), F.col("new_text").alias("text"))
+    return apply_log(messages, log)
 
 
 def delete_message(messages: DataFrame, deleted: DataFrame) -> DataFrame:
-    """CH7: without the turns of deleted (session_id, turn); later turns move up."""
-    kept = messages.join(deleted, ["session_id", "turn"], "left_anti")
-    place = F.row_number().over(_w().orderBy("turn")) - 1
-    return kept.withColumn("turn", place.cast("long"))
+    """CH7: without the turns of deleted (session_id, turn, perhaps seq); later turns move up, also for the deletions that follow.
+
+    Deletions of one session without seq go from its last turn to its first, each by the turn as it was.
+    """
+    rows = deleted.distinct() if "seq" not in deleted.columns else deleted
+    rows = _in_turn(rows) if "seq" in deleted.columns else rows.withColumn("seq", -F.col("turn").cast("long"))
+    none = F.lit(None).cast("string")
+    return apply_log(messages, rows.select("session_id", "seq", F.lit("delete").alias("what"), "turn", none.alias("role"), none.alias("text")))
 
 
 def delete_session(sessions: DataFrame, deleted: DataFrame, users: DataFrame) -> DataFrame:
-    """CH8: sessions (user_id, session_id, session_order, title) left, with is_current.
+    """CH8: sessions (user_id, session_id, session_order, title) left, with is_new and is_current.
 
     users: (user_id, current_session_id, session_counter). If the current session goes, the last one left takes
     over; a user with none left gets a new one with the next number.
@@ -101,13 +110,17 @@ def delete_session(sessions: DataFrame, deleted: DataFrame, users: DataFrame) ->
         (F.col("session_counter") + 1).cast("long").alias("next"),
     )
     new = now.filter("empty").select("user_id", F.col("now").alias("session_id"), F.col("next").alias("session_order"), F.lit(NEW_TITLE).alias("title"))
-    rows = left.select("user_id", "session_id", F.col("session_order").cast("long").alias("session_order"), "title").unionByName(new)
+    new = new.withColumn("is_new", F.lit(True))
+    rows = left.select("user_id", "session_id", F.col("session_order").cast("long").alias("session_order"), "title", F.lit(False).alias("is_new")).unionByName(new)
     return rows.join(now.select("user_id", "now"), "user_id").withColumn("is_current", F.col("session_id") == F.col("now")).drop("now")
 
 
-def greeting_messages(sessions: DataFrame, before: DataFrame) -> DataFrame:
-    """CH8: the first message (user_id, session_id, turn, role, text) of each of sessions that wasn't there before."""
-    return sessions.join(before, ["user_id", "session_id"], "left_anti").select(
+def greeting_messages(sessions: DataFrame) -> DataFrame:
+    """CH8: the first message (user_id, session_id, turn, role, text) of each session that delete_session has made.
+
+    Its id may be one that was used before, and deleted.
+    """
+    return sessions.filter("is_new").select(
         "user_id", "session_id", F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.lit(GREETING).alias("text")
     )
 
@@ -122,11 +135,8 @@ def session_title(messages: DataFrame) -> DataFrame:
 
 def append_message(messages: DataFrame, new: DataFrame) -> DataFrame:
     """CH10: new (session_id, seq, role, text) at the next turns of their sessions."""
-    next_turn = messages.groupBy("session_id").agg((F.max("turn") + 1).alias("next"))
-    place = F.row_number().over(_w().orderBy("seq")) - 1
-    rows = new.withColumn("place", place).join(next_turn, "session_id", "left")
-    turn = (F.coalesce("next", F.lit(0)) + F.col("place")).cast("long").alias("turn")
-    return messages.select("session_id", "turn", "role", "text").unionByName(rows.select("session_id", turn, "role", "text"))
+    log = _in_turn(new).select("session_id", "seq", F.lit("append").alias("what"), F.lit(None).cast("long").alias("turn"), "role", "text")
+    return apply_log(messages, log)
 
 
 def current_session(store: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from brainstate.operators import dashboard as dw
 from brainstate.operators import retrieval as rt
 from brainstate.operators import signal as sp
 from brainstate.operators import trials as tr
+from brainstate.operators.chat_log import apply_log
 from brainstate.plans import state_queries as st
 from brainstate.plans import tables as t
 from brainstate.sources import io
@@ -450,7 +451,7 @@ _SESSIONS = "ses as (select distinct conv_id // 4 as user_id, 'session_' || conv
 
 
 def _after_deletion(spark, d):
-    """Sessions before and after some are deleted."""
+    """Sessions after some are deleted."""
     one = t.messages(spark, d).select("session_id").distinct()
     sessions = one.select(
         F.floor(F.col("session_id") / 4).alias("user_id"), F.concat(F.lit("session_"), F.col("session_id").cast("string")).alias("session_id"),
@@ -458,7 +459,7 @@ def _after_deletion(spark, d):
     )
     gone = sessions.filter("session_order % 4 = 3 or user_id % 5 = 0").select("user_id", "session_id")
     users = sessions.groupBy("user_id").agg(F.max_by("session_id", "session_order").alias("current_session_id")).withColumn("session_counter", F.lit(40))
-    return sessions, ch.delete_session(sessions, gone, users)
+    return ch.delete_session(sessions, gone, users)
 
 
 @query(
@@ -471,7 +472,7 @@ def _after_deletion(spark, d):
     select rows.*, session_id = now as is_current from rows join now using (user_id)"""
 )
 def ch8_delete_session(spark, d):
-    return _after_deletion(spark, d)[1].select("user_id", "session_id", "session_order", "title", "is_current")
+    return _after_deletion(spark, d).select("user_id", "session_id", "session_order", "title", "is_current")
 
 
 @query(
@@ -480,8 +481,7 @@ def ch8_delete_session(spark, d):
     from ses where user_id not in (select user_id from lft)"""
 )
 def ch8_greeting(spark, d):
-    before, after = _after_deletion(spark, d)
-    return ch.greeting_messages(after, before)
+    return ch.greeting_messages(_after_deletion(spark, d))
 
 
 @query(
@@ -503,6 +503,40 @@ def ch10_append_message(spark, d):
     return ch.append_message(rows, rows.select("session_id").distinct().select("session_id", F.inline(said)))
 
 
+#: Nine actions for each conversation, some past the end, some blank; seq tells their order.
+_ACTIONS = (
+    ("edit", "session_id % 7 + 3", "'edit one'"), ("append", "null", "'more'"), ("delete", "session_id % 3", "null"), ("append", "null", "'and more'"),
+    ("delete", "session_id % 5", "null"), ("edit", "1", "'  '"), ("delete", "99", "null"), ("edit", "session_id % 4 + 1", "'edit two'"), ("append", "null", "'the end'"),
+)
+_LOG = "log as (" + " union all ".join(
+    f"select session_id, {k}::bigint as seq, '{what}' as what, ({turn})::bigint as turn, {text}::varchar as text from convs" for k, (what, turn, text) in enumerate(_ACTIONS, 1)
+) + ")"
+
+
+@query(
+    f"""with recursive convs as (select distinct conv_id as session_id from conversations), {_LOG},
+    fold as (
+      select conv_id as session_id, 0::bigint as k, list(struct_pack(role := role, text := text) order by turn) as m from conversations group by 1
+      union all
+      select f.session_id, k + 1,
+        case when what = 'append' then m || [struct_pack(role := 'assistant', text := l.text)]
+             when what = 'edit' and trim(l.text) <> '' then m[:turn] || [struct_pack(role := 'user', text := l.text)]
+             when what = 'delete' and turn < len(m) then m[:turn] || m[turn + 2:] else m end
+      from fold f join log l on l.session_id = f.session_id and l.seq = k + 1),
+    last as (select session_id, m, generate_subscripts(m, 1) as i from fold where k = {len(_ACTIONS)})
+    select session_id, i - 1 as turn, m[i].role as role, m[i].text as text from last"""
+)
+def ch10_ordered_log(spark, d):
+    """Edits, deletions and appends of each conversation, one after the other."""
+    rows = t.messages(spark, d)
+    convs = rows.select("session_id").distinct()
+    acts = [
+        F.struct(F.lit(k).cast("long").alias("seq"), F.lit(what).alias("what"), F.expr(f"bigint({turn})").alias("turn"), F.lit("assistant").alias("role"), F.expr(f"string({text})").alias("text"))
+        for k, (what, turn, text) in enumerate(_ACTIONS, 1)
+    ]
+    return apply_log(rows, convs.select("session_id", F.inline(F.array(*acts))))
+
+
 # Texts.
 
 @query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[*#_~`]', ' ', 'g'), '[\[\]{}]', ' ', 'g'), '[\x{10000}-\x{10FFFF}]', ' ', 'g') as spoken from documents")

@@ -343,16 +343,18 @@ def rt8_states_of_day(spark, d):
 _CN = "%Y年%m月%d日 %H时%M分%S秒"
 _DUR = "case when duration_sec // 60 > 0 then (duration_sec // 60) || '分' else '' end || (duration_sec % 60) || '秒'"
 _DOCS = f"""{_HOPS}, docs as (
-  select *, '【状态】: ' || state || chr(10) || '【开始时间】: ' || strftime(start_ts, '{_CN}') || chr(10) ||
-         '【当时AI分析/环境推断】: ' || 'advice ' || state || chr(10) || '【结束时间】: [状态持续中...]' as open_doc from epi),
-closed as (select *, case when end_ts is null then open_doc else replace(open_doc, '[状态持续中...]',
-         strftime(end_ts, '{_CN}') || chr(10) || '【持续时长】: ' || {_DUR}) end as document from docs)"""
+  select epi.*, '【状态】: ' || display_name || chr(10) || '【开始时间】: ' || strftime(start_ts, '{_CN}') || chr(10) ||
+         '【当时AI分析/环境推断】: ' || 'advice ' || epi.state || chr(10) || '【结束时间】: [状态持续中...]' as open_doc
+  from epi join {_NAMES} on epi.state = m.state),
+closed as (select *, case when end_ts is null then open_doc else replace(open_doc, '【结束时间】: [状态持续中...]',
+         '【结束时间】: ' || strftime(end_ts, '{_CN}') || chr(10) || '【持续总时长】: ' || {_DUR}) end as document from docs)"""
 
 
 def _memory(spark, d):
-    rows = _episodes(spark, d)
-    opened = memory_text_open(F.col("state"), F.col("start_ts"), F.concat(F.lit("advice "), F.col("state")))
-    return rows.withColumn("document", opened).withColumn("context", F.col("document"))
+    """Started events with the document that is open then; it names the state as it is displayed."""
+    rows = dw.display_state(_episodes(spark, d), "state")
+    opened = memory_text_open(F.col("display_name"), F.col("start_ts"), F.concat(F.lit("advice "), F.col("state")))
+    return rows.withColumn("document", opened).withColumn("context", F.col("document")).drop("display_name")
 
 
 def _closed(spark, d):

@@ -71,6 +71,51 @@ def nearest_prior(rows: DataFrame, order: str = "mem_seq", vector: str = "vector
     )
 
 
+def _nearest_of_two(asked: pa.Table, memory: pa.Table) -> pa.Table:
+    """(session_id, seq, d, past): for each asked row the nearest earlier one of a block of the memory."""
+    memory = memory.sort_by("seq")
+    unit = lambda t: (lambda v: v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None])(np.array(t["v"].to_pylist(), float))
+    if not len(asked) or not len(memory):
+        rows, best, least = (np.zeros(0, int),) * 3
+    else:
+        distance = 1.0 - np.einsum("ik,jk->ij", unit(asked), unit(memory))
+        distance[memory["seq"].to_numpy() >= asked["seq"].to_numpy()[:, None]] = np.inf
+        best = distance.argmin(axis=1)  # of equal ones the earliest
+        least = distance[np.arange(len(asked)), best]
+        rows = np.flatnonzero(np.isfinite(least))
+        best, least = best[rows], least[rows]
+    columns = [asked["session_id"].take(rows), asked["seq"].take(rows), pa.array(least, pa.float64()), memory["seq"].take(best)]
+    return pa.table(columns, ["session_id", "seq", "d", "past"])
+
+
+def nearest_stored(asked: DataFrame, memory: DataFrame, order: str, vector: str, block: int = 2048) -> DataFrame:
+    """RT4: (session_id, <order>, past, distance): for each asked row the nearest row of memory before it in its session.
+
+    As nearest_prior, but only some rows ask: blocks of these meet blocks of the memory, so the work is their product. Rows
+    that find nothing are left out.
+    """
+    def known(rows: DataFrame) -> DataFrame:
+        # Columns of their own, as both may come from one table.
+        made = rows.select(*(F.col(c).alias(n) for c, n in (("session_id", "session_id"), (order, "seq"), (vector, "v"))))
+        return made.filter(norm(F.col("v")) > 0)
+
+    def blocks(rows: DataFrame, n: str) -> DataFrame:
+        return rows.groupBy("session_id").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias(n))
+
+    def dealt(rows: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))
+        return rows.join(sizes, F.col("session_id") == F.col("of")).drop("of").withColumn(own, F.pmod(F.xxhash64("seq"), n_own)).withColumn(other, every).drop("n_a", "n_m")
+
+    asks, holds = known(asked), known(memory)
+    sizes = blocks(asks, "n_a").join(blocks(holds, "n_m"), "session_id").withColumnRenamed("session_id", "of")
+    a, m = dealt(asks, "i", "n_a", "j", "n_m"), dealt(holds, "j", "n_m", "i", "n_a")
+    kinds = {f.name: f.dataType.simpleString() for f in asks.schema.fields}
+    near = a.groupBy("session_id", "i", "j").cogroup(m.groupBy("session_id", "i", "j"))
+    schema = f"session_id {kinds['session_id']}, seq {kinds['seq']}, d double, past {kinds['seq']}"
+    best = near.applyInArrow(_nearest_of_two, schema).groupBy("session_id", "seq").agg(F.min(F.struct("d", "past")).alias("best"))
+    return best.select("session_id", F.col("seq").alias(order), F.col("best.past").alias("past"), F.col("best.d").alias("distance"))
+
+
 def new_trials_only(trials: DataFrame, memory: DataFrame) -> DataFrame:
     """RT3: trials whose id isn't in memory yet."""
     return trials.join(memory, ["session_id", "trial_id"], "left_anti")

@@ -568,6 +568,8 @@ def sc8_image_data_url(spark, d):
 # Streams, run over what there is and then ended.
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+#: Longer than the given events take.
+_LONG = 100 * 365 * streams.DAY_US
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -575,6 +577,14 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _hop_stream(spark: SparkSession, d: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The events as a stream of hops that come in no order, in several batches; and a late hop, which lets the last ones through."""
+    rows = t.hops(spark, d)
+    rows.repartition(2, "sample_idx").write.parquet(f"{folder}/in")
+    made = streams.prepared(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return made, spark.sql("select -1L as session_id, timestamp'2100-01-01' as ts, -1L as sample_idx, 'neutral' as label, array(0D) as vector")
+
+
 def _run(rows: DataFrame, folder: str, schema=None) -> DataFrame:
     """The rows that a stream appends until its input ends."""
     writer = rows.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
@@ -596,34 +606,70 @@ def io1_read_sample_stream(spark, d):
     f"""with {st._PSD} select session_id, win_id * 4 as start_idx, round(theta, 4) as theta, round(alpha, 4) as alpha, round(beta, 4) as beta from ft3"""
 )
 def st1_stream_features(spark, d):
+    """Samples come in two batches, each of which has a part of every recording, in no order."""
     folder = new_folder(spark, "features")
     step = int(1_000_000 / t.FS)
-    # A regular clock for the recordings, and one late sample that lets the last windows close.
-    rows = t.samples(spark, d).withColumn("ts", F.timestamp_micros(F.col("sample_idx") * step))
-    rows.select("session_id", "sample_idx", "ts", "ch").write.parquet(f"{folder}/in")
-    schema = "session_id string, sample_idx long, ts timestamp, ch array<double>"
-    end = spark.sql("select 'end' as session_id, -1L as sample_idx, timestamp'2100-01-01' as ts, array(0D) as ch")
-    out = streams.stream_features(spark.readStream.schema(schema).parquet(f"{folder}/in"), t.FS, t.WINDOW, t.HOP, t.N_FFT, "1 hour")
-    _run(out, folder)
-    end.write.mode("append").parquet(f"{folder}/in")  # the same stream goes on from its checkpoint
-    made = _run(out, folder)
+    # A regular clock for the recordings; no later sample is needed for the last windows.
+    rows = t.samples(spark, d).withColumn("ts", F.timestamp_micros(F.col("sample_idx") * step + 10**15)).select("session_id", "sample_idx", "ts", "ch")
+    rows.repartition(2, "sample_idx").write.parquet(f"{folder}/in")
+    source = streams.prepared(spark).readStream.schema("session_id string, sample_idx long, ts timestamp, ch array<double>")
+    samples = source.option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    made = _run(streams.stream_features(samples, t.FS, t.WINDOW, t.HOP, t.N_FFT, "3650 days", _LONG), folder)
     return rounded(made.select("session_id", "start_idx", "theta", "alpha", "beta"), ["theta", "alpha", "beta"], 4)
 
 
 _ACT = f"with {st._HOPS}, {st._ACTIONS}"
 
 
-@query(f"{_ACT} select session_id, action, evt_id, epoch_us(at_ts) as at_us, state from act")
+@query(f"{_ACT} select a.session_id, action, a.evt_id, epoch_us(at_ts) as at_us, a.state, case when action = 'start' then round(value, 6) end as value from act a join epi e on e.session_id = a.session_id and e.evt_id = a.evt_id")
 def st2_stream_episodes(spark, d):
-    return _run(streams.stream_episodes(t.as_hops(_event_stream(spark, d)), t.SUSTAIN), new_folder(spark, "episodes"))
+    """Hops come in no order, in two batches."""
+    folder = new_folder(spark, "episodes")
+    hops, end = _hop_stream(spark, d, folder)
+    out = streams.stream_episodes(hops, t.SUSTAIN, "3650 days", _LONG)
+    _run(out, folder)
+    end.write.mode("append").parquet(f"{folder}/in")  # the same stream goes on from its checkpoint
+    made = _run(out, folder)
+    return made.select("session_id", "action", "evt_id", "at_us", "state", F.round(F.element_at("vector", 1), 6).alias("value"))
 
 
-@query(f"with {st._HOPS} select session_id, evt_id, state, epoch_us(start_ts) as start_us, epoch_us(end_ts) as end_us from epi")
-def st3_stream_memory_sink(spark, d):
+def _streamed_memory(spark, d):
+    """Path of both memories after a stream of hops in no order, three versions each."""
     folder = new_folder(spark, "memory")
-    actions = streams.stream_episodes(t.as_hops(_event_stream(spark, d)), t.SUSTAIN)
-    streams.stream_memory_sink(actions, f"{folder}/rows", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return streams.memory(spark, f"{folder}/rows", "long")
+    hops, end = _hop_stream(spark, d, folder)
+    # The reading of the events has one value; two more give the vectors directions.
+    value = F.element_at("vector", 1)
+    hops = hops.withColumn("vector", F.array(value, value * value / 100, F.pmod("sample_idx", F.lit(17)).cast("double")))
+    actions = streams.stream_episodes(hops, t.SUSTAIN, "3650 days", _LONG)
+    for more in (None, end):
+        if more is not None:
+            more.write.mode("append").parquet(f"{folder}/in")
+        sink = streams.stream_memory_sink(actions, f"{folder}/rows", f"{folder}/checkpoint", F.concat(F.lit("advice "), F.col("state")), 0.01)
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/rows"
+
+
+@query(f"with {st._DOCS} select session_id, evt_id, document, document as context, state, epoch_us(start_ts) as start_us from closed")
+def st3_stream_text_memory(spark, d):
+    return streams.memory(spark, _streamed_memory(spark, d), "text", "long")
+
+
+@query(
+    f"""with {st._DOCS},
+    m as (select c.session_id, c.evt_id, c.start_ts, c.document, list_value(h.value, h.value * h.value / 100, (h.event_id % 17)::double) as v
+          from closed c join hops h on h.session_id = c.session_id and h.ts = c.start_ts),
+    near as (select a.session_id, a.evt_id, b.document,
+                    1 - list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) as dist,
+                    row_number() over (partition by a.session_id, a.evt_id order by dist, b.start_ts) as rn
+             from m a join m b on a.session_id = b.session_id and b.start_ts < a.start_ts)
+    select m.session_id, m.evt_id, round(v[3], 6) as v3, m.document as context, case when dist < 0.01 then near.document else '无相似记忆' end as similar_context,
+           epoch_us(start_ts) as start_us
+    from m left join near on near.session_id = m.session_id and near.evt_id = m.evt_id and rn = 1"""
+)
+def st3_stream_eeg_memory(spark, d):
+    """With the context of the nearest earlier event of the session, as each start found it."""
+    rows = streams.memory(spark, _streamed_memory(spark, d), "eeg", "long")
+    return rows.select("session_id", "evt_id", F.round(F.element_at("embedding", 3), 6).alias("v3"), "context", "similar_context", "start_us")
 
 
 @query("select user_id as session_id, epoch_us(max(ts)) as us, arg_max(value, ts) as value from events group by 1")

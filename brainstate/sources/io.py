@@ -75,6 +75,22 @@ def close_memory(memory: DataFrame, ends: DataFrame, column: str = "document") -
     return out.withColumn(column, filled).withColumn("context", F.when(F.col("end_ts").isNotNull(), F.col(column)).otherwise(F.col("context"))).drop("end_ts", "duration_sec")
 
 
+def drop_old_versions(spark: SparkSession, path: str, kept: int = 2) -> None:
+    """IO6: delete a store's versions of a bucket but for the newest ones; a batch that runs again needs the one before its own."""
+    jvm, found = spark.sparkContext._jvm, {}
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "version=*/bucket=*")) or []:
+        folder = x.getPath()
+        found.setdefault(folder.getName(), []).append((int(folder.getParent().getName().split("=")[1]), folder))
+    for versions in found.values():
+        for _, folder in sorted(versions, key=lambda v: v[0])[:-kept]:
+            fs.delete(folder, True)
+    for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "version=*")) or []:
+        if not fs.globStatus(jvm.org.apache.hadoop.fs.Path(x.getPath(), "bucket=*")):
+            fs.delete(x.getPath(), True)
+
+
 def bucket_of(buckets: int = BUCKETS):
     return F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket")
 
@@ -82,8 +98,8 @@ def bucket_of(buckets: int = BUCKETS):
 def write_version(rows: DataFrame, path: str, version: int, buckets: int = BUCKETS) -> None:
     """IO6: whole buckets of sessions as a version of a store; a version that is written again replaces itself.
 
-    Older versions of these buckets aren't changed, so a job that fails halfway loses nothing; what is older than the
-    version before the newest may be deleted.
+    Older versions of these buckets aren't changed, so a job that fails halfway loses nothing; drop_old_versions deletes what is
+    older than the version before the newest.
     """
     dealt = rows.select("*", bucket_of(buckets)).hint("rebalance", "bucket")  # few files a bucket, large ones split
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")

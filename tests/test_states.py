@@ -13,7 +13,7 @@ from brainstate.operators.episodes import episodes
 from brainstate.operators.signal import (
     average_reference, band_power, band_power_long, bandpass, bandpass_mu, psd_long, window_features,
 )
-from brainstate.streaming.streams import Debounce, memory, memory_of, merge_actions
+from brainstate.streaming.stateful import Debounce
 
 START = dt.datetime(2024, 1, 1)
 MODES = {
@@ -130,25 +130,6 @@ def test_ticks_over_a_long_gap(spark):
     assert got == expected
 
 
-def test_batches_merge_into_the_store(spark, tmp_path):
-    """Starts and ends of an event in different batches, a batch that runs again, and buckets that a batch leaves alone."""
-    batches = [
-        [("s1", "start", "e1", 1, "calm"), ("s2", "start", "e1", 2, "focus")],
-        [("s1", "end", "e1", 5, None), ("s1", "start", "e2", 5, "happy")],
-        [("s3", "start", "e1", 7, "calm")],
-        [("s1", "end", "e2", 9, None), ("s3", "start", "e1", 7, "calm")],
-        [],
-    ]
-    schema = "session_id string, action string, evt_id string, at_us long, state string"
-    path = str(tmp_path / "store")
-    for i in (0, 1, 1, 2, 3, 4):
-        merge_actions(spark.createDataFrame(batches[i], schema), path, i)
-    once = memory_of(spark.createDataFrame(sum(batches, []), schema)).collect()
-    assert sorted(map(repr, memory(spark, path).collect())) == sorted(map(repr, once))
-    assert len(list((tmp_path / "store" / "version=2").glob("bucket=*"))) == 1
-    assert memory(spark, str(tmp_path / "none")).count() == 0
-
-
 def named(text):
     return [(i, {"n": "neutral"}.get(x, x)) for i, x in enumerate(text) if x != " "]
 

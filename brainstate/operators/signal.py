@@ -1,4 +1,4 @@
-"""Spectral features of sample streams (SP1 to SP5) and filters of recordings (TR1, TR2).
+"""Spectral features of sample streams (SP1 to SP5) and the average reference of recordings (TR1).
 
 Samples are rows (session_id, sample_idx, ts, ch). Heavy work is dealt by session and
 block of samples, each with the halo that its edges need, so a session of days is spread over
@@ -180,37 +180,3 @@ def zero_phase_gain(n: int, fs: float, low: float, high: float, order: int) -> n
     at, a, b = warp(np.fft.rfftfreq(n, 1 / fs)), warp(low), warp(high)
     with np.errstate(divide="ignore", over="ignore"):
         return 1 / (1 + ((at**2 - a * b) / (at * (b - a))) ** (2 * order))
-
-
-def bandpass(data: np.ndarray, fs: float, low: float, high: float, order: int, pad: int) -> np.ndarray:
-    """TR2 in numpy: data (samples x channels), extended oddly at both ends by at most pad samples."""
-    n = len(data)
-    pad = min(pad, n - 1)
-    ends = (2 * data[0] - data[pad:0:-1], data, 2 * data[-1] - data[-2 : -pad - 2 : -1])
-    x = np.concatenate(ends) if pad > 0 else data
-    size = 1 << int(np.ceil(np.log2(len(x) + pad + 1)))
-    gain = zero_phase_gain(size, fs, low, high, order)
-    return np.fft.irfft(np.fft.rfft(x, size, axis=0) * gain[:, None], size, axis=0)[pad : pad + n]
-
-
-def bandpass_mu(
-    samples: DataFrame, fs: float = FS, low: float = 8.0, high: float = 12.0, order: int = 4,
-    block_seconds: float = 60.0, halo_seconds: float = 10.0,
-) -> DataFrame:
-    """TR2: zero-phase band-pass of the continuous recording, in blocks with a halo on both sides."""
-    size, halo = int(block_seconds * fs), int(halo_seconds * fs)
-    first = F.greatest(F.floor((F.col("sample_idx") - halo) / size), F.lit(0))
-    last = F.floor((F.col("sample_idx") + halo) / size)
-    dealt = samples.select("session_id", "sample_idx", "ts", "ch", F.explode(F.sequence(first, last)).alias("block"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("sample_idx").sort_values("sample_idx")
-        data = np.stack(rows["ch"].to_numpy()).astype(np.float64)
-        out = bandpass(data, fs, low, high, order, halo)
-        mine = (rows["sample_idx"] // size == rows["block"]).to_numpy()
-        return rows.assign(ch=list(out))[mine][["session_id", "sample_idx", "ts", "ch"]]
-
-    kind, ts = (samples.schema[c].dataType.simpleString() for c in ("session_id", "ts"))
-    return dealt.groupBy("session_id", "block").applyInPandas(
-        run, f"session_id {kind}, sample_idx long, ts {ts}, ch array<double>"
-    )

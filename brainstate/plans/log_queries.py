@@ -9,6 +9,7 @@ from brainstate.functions import text as sc
 from brainstate.operators import chat as ch
 from brainstate.operators import dashboard as dw
 from brainstate.operators import retrieval as rt
+from brainstate.operators import sections
 from brainstate.operators import signal as sp
 from brainstate.operators import trials as tr
 from brainstate.operators.chat_log import apply_log
@@ -91,35 +92,54 @@ def tr1_average_reference(spark, d):
     return out.select("vec_id", F.round(F.get("ch", F.lit(7)), 6).alias("c3"), (F.round(total, 6) + 0.0).alias("total"))
 
 
-#: The filter of each block as a sum over all samples: the kernel is the inverse transform of the squared gain.
+#: The filter of whole recordings, sample by sample: each section has two states, and its output is the next one's input.
+_SECTIONS = sections.band_sections(t.FS, 8.0, 12.0, 4)
+_PAD = 128
+_N = range(len(_SECTIONS))
+
+
+def _filter_sql(source: str, name: str) -> str:
+    """name (session_id, j, y): the sections over source (session_id, j, v), j from 0, from the steady state of the first value."""
+    steady, gain = [], 1.0
+    for b0, b1, b2, a1, a2 in _SECTIONS:
+        y = gain * (b0 + b1 + b2) / (1 + a1 + a2)
+        s2 = b2 * gain - a2 * y
+        steady.append((b1 * gain - a1 * y + s2, s2))
+        gain = y
+    num = lambda x: f"({x!r})::double"
+    states = [f"p{k}, q{k}" for k in _N]
+    first = ", ".join(f"v * {num(float(p))} as p{k}, v * {num(float(q))} as q{k}" for k, (p, q) in enumerate(steady))
+    outputs = ["v"]
+    for k, (b0, *_) in enumerate(_SECTIONS):
+        outputs.append(f"({outputs[-1]} * {num(float(b0))} + p{k})")
+    steps = ", ".join(
+        f"{outputs[k]} * {num(float(b1))} - {outputs[k + 1]} * {num(float(a1))} + q{k}, {outputs[k]} * {num(float(b2))} - {outputs[k + 1]} * {num(float(a2))}"
+        for k, (_, b1, b2, a1, a2) in enumerate(_SECTIONS)
+    )
+    return f"""{name} as (
+      select session_id, -1::bigint as j, 0.0::double as y, {first} from {source} where j = 0
+      union all
+      select s.session_id, s.j, {outputs[-1]}, {steps} from {name} f join {source} s on s.session_id = f.session_id and s.j = f.j + 1)"""
+
+
 _MU = f"""{st._SMP},
-dealt as (select session_id, idx, v, unnest(range(greatest(0, (idx - 512) // 1024), (idx + 512) // 1024 + 1)) as b from smp),
-whole as (select session_id, b, min(idx) as a, count(*) as n, least(512, count(*) - 1) as p from dealt group by session_id, b
-          having max(idx // 1024) >= b),
-blk as (select *, (1 << ceil(log2(n + 3 * p + 1))::int)::bigint as size from whole),
-pos as (select d.session_id, d.b, d.idx - k.a as i, d.v, k.n, k.p, k.size,
-              first_value(v) over w as v0, last_value(v) over w as v1
-       from dealt d join blk k using (session_id, b)
-       window w as (partition by d.session_id, d.b order by d.idx rows between unbounded preceding and unbounded following)),
-x as (select session_id, b, size, i + p as j, v from pos
-      union all select session_id, b, size, p - i, 2 * v0 - v from pos where i between 1 and p
-      union all select session_id, b, size, p + n + (n - 2 - i), 2 * v1 - v from pos where i between n - 1 - p and n - 2),
-gain as (select size, k, case when k = 0 then 0 else 1 / (1 + pow((f * f - lo * hi) / (f * (hi - lo)), 8)) end as g
-         from (select size, k, tan(pi() * least(k * 64.0::double / size, 32 * (1 - 1e-9::double)) / 64) as f, tan(pi() * 8 / 64) as lo,
-                      tan(pi() * 12 / 64) as hi
-               from (select size, unnest(range(0, size // 2 + 1)) as k from (select distinct size from blk)))),
-ker as (select size, m, sum(g * cos(2 * pi() * ((k * m) % size) / size) * case when k = 0 or k = size // 2 then 1 else 2 end) / size as h
-        from gain join (select size, unnest(range(0, size)) as m from (select distinct size from blk)) using (size) group by size, m),
-own as (select session_id, b, size, i + p as o, i + k.a as idx from pos join blk k using (session_id, b, size, p) where (i + k.a) // 1024 = b)"""
+n as (select session_id, count(*) as n, min_by(v, idx) as v0, max_by(v, idx) as v1, least({_PAD}, count(*) - 1) as p from smp group by 1),
+ext as materialized (
+  select session_id, idx + p as j, v from smp join n using (session_id)
+  union all select session_id, p - idx, 2 * v0 - v from smp join n using (session_id) where idx between 1 and p
+  union all select session_id, p + n + (n - 2 - idx), 2 * v1 - v from smp join n using (session_id) where idx between n - 1 - p and n - 2),
+{_filter_sql("ext", "fwd")},
+rev as materialized (select session_id, n + 2 * p - 1 - j as j, y as v from fwd join n using (session_id) where j >= 0),
+{_filter_sql("rev", "bwd")}"""
 
 
 @query(
-    f"""with {_MU} select own.session_id, own.idx as sample_idx, round(sum(x.v * ker.h), 6) + 0.0 as value
-    from own join x using (session_id, b) join ker on ker.size = own.size and ker.m = (own.o - x.j + own.size) % own.size group by all"""
+    f"""with recursive {_MU} select session_id, n + p - 1 - j as sample_idx, round(y, 6) + 0.0 as value
+    from bwd join n using (session_id) where j between p and n + p - 1"""
 )
 def tr2_bandpass_mu(spark, d):
-    """Band-pass of the recordings; also tested by its gain and against whole sessions."""
-    out = sp.bandpass_mu(t.samples(spark, d), t.FS, block_seconds=16.0, halo_seconds=8.0)
+    """Band-pass of the recordings; also tested by its gain and by a plain loop."""
+    out = sections.bandpass_mu(t.samples(spark, d), t.FS, block_seconds=16.0, pad_seconds=_PAD / t.FS)
     return out.select("session_id", "sample_idx", (F.round(F.get("ch", F.lit(0)), 6) + 0.0).alias("value"))
 
 

@@ -10,6 +10,7 @@ from brainstate.functions import scoring as cl
 from brainstate.functions.text import cn_duration, cn_timestamp, memory_text_close, memory_text_open
 from brainstate.functions.vectors import cosine_distance
 from brainstate.operators import dashboard as dw
+from brainstate.operators import episode_blocks as eb
 from brainstate.operators import episodes as ep
 from brainstate.operators import retrieval as rt
 from brainstate.operators import signal as sp
@@ -253,31 +254,31 @@ epi as (select o.*, (epoch_us(end_ts) - epoch_us(start_ts)) // 1000000 as durati
 
 
 def _episodes(spark, d):
-    return ep.episodes(t.hops(spark, d), t.SUSTAIN)
+    return eb.episodes(t.hops(spark, d), t.SUSTAIN, t.BLOCK)
 
 
 @query(f"with {_HOPS} select session_id, epoch_us(ts) as us, label, run_id::bigint as run_id, hop_no, epoch_us(run_start) as run_start_us from n")
 def ep1_label_runs(spark, d):
-    out = ep.label_runs(t.hops(spark, d))
+    out = eb.label_runs(t.hops(spark, d), t.BLOCK)
     return out.select("session_id", us("ts").alias("us"), "label", F.col("run_id").cast("long"), F.col("hop_no").cast("long"), us("run_start").alias("run_start_us"))
 
 
 @query(f"with {_HOPS} select session_id, run_id::bigint as run_id, label, epoch_us(run_start) as run_start_us, epoch_us(confirm_ts) as confirm_us from k")
 def ep2_sustained_runs(spark, d):
-    out = ep.sustained_runs(ep.label_runs(ep.neutral_epochs(t.hops(spark, d))), t.SUSTAIN)
+    out = ep.sustained_runs(eb.label_runs(t.hops(spark, d), t.BLOCK), t.SUSTAIN)
     return out.select("session_id", F.col("run_id").cast("long"), "label", us("run_start").alias("run_start_us"), us("confirm_ts").alias("confirm_us"))
 
 
 @query(f"with {_HOPS} select session_id, epoch_us(ts) as us, epoch::bigint as epoch, epoch_us(reset_ts) as reset_us from e")
 def ep3_neutral_epochs(spark, d):
-    out = ep.neutral_epochs(t.hops(spark, d))
+    out = eb.label_runs(t.hops(spark, d), t.BLOCK)
     return out.select("session_id", us("ts").alias("us"), F.col("epoch").cast("long"), us("reset_ts").alias("reset_us"))
 
 
 @query(f"with {_HOPS} select session_id, label, epoch_us(confirm_ts) as confirm_us from s")
 def ep4_edge_triggered_starts(spark, d):
-    runs = ep.sustained_runs(ep.label_runs(ep.neutral_epochs(t.hops(spark, d))), t.SUSTAIN)
-    return ep.edge_triggered_starts(runs).select("session_id", "label", us("confirm_ts").alias("confirm_us"))
+    runs = ep.sustained_runs(eb.label_runs(t.hops(spark, d), t.BLOCK), t.SUSTAIN)
+    return eb.edge_triggered_starts(runs, t.BLOCK).select("session_id", "label", us("confirm_ts").alias("confirm_us"))
 
 
 @query(f"with {_HOPS} select session_id, evt_id, state, epoch_us(start_ts) as start_us, round(value, 6) as value from epi")

@@ -10,6 +10,8 @@ from brainstate.sources.shared import stored
 #: Event types as labels; one-hop gaps are hours, so a state is sustained for six.
 LABELS = {"click": "focus", "view": "calm", "purchase": "happy", "error": "distress"}
 SUSTAIN = 21_600.0
+#: Seconds of a block of hops: some days of the given events.
+BLOCK = 7 * 86_400.0
 #: Event values as a slow recording: samples a second, samples in a window, hop and transform.
 FS, WINDOW, HOP, N_FFT = 64.0, 64, 4, 32
 

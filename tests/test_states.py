@@ -1,6 +1,7 @@
 """Spectra, scores and episodes against golden values and a plain loop."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -9,9 +10,11 @@ from hypothesis import strategies as st
 
 from brainstate.functions.scoring import classify
 from brainstate.operators.dashboard import poll_metrics
-from brainstate.operators.episodes import episodes
+from brainstate.operators import episode_blocks
+from brainstate.operators.episodes import episodes, label_runs, neutral_epochs
+from brainstate.operators.sections import Sections, band_sections, bandpass_mu
 from brainstate.operators.signal import (
-    average_reference, band_power, band_power_long, bandpass, bandpass_mu, psd_long, window_features,
+    average_reference, band_power, band_power_long, psd_long, window_features, zero_phase_gain,
 )
 from brainstate.streaming.stateful import Debounce
 
@@ -57,23 +60,53 @@ def test_blocks_and_gaps_change_nothing(spark):
 
 
 def test_bandpass_gain_and_phase():
+    filters, n = Sections(250.0, 8.0, 12.0, 4), 1 << 14
+    pulse = np.zeros((n, 1))
+    pulse[n // 2] = 1
+    spectrum = np.fft.rfft(np.roll(filters.zero_phase(pulse, 0)[:, 0], -n // 2))
+    assert np.abs(spectrum - zero_phase_gain(n, 250.0, 8.0, 12.0, 4)).max() < 1e-12  # no phase at all
     t = np.arange(5000) / 250.0
     for f, gain in ((10, 1.0), (3, 0.0), (30, 0.0)):
         x = np.sin(2 * np.pi * f * t)[:, None]
-        y = bandpass(x, 250.0, 8, 12, 4, 2500)
-        inner = slice(1500, 3500)
-        assert np.abs(y[inner] - gain * x[inner]).max() < 0.02
-
-
-def test_bandpass_blocks_match_whole(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(6000, 2))
-    rows = [("s", i, START + dt.timedelta(seconds=i / 250), x[i].tolist()) for i in range(len(x))]
-    df = spark.createDataFrame(rows, "session_id string, sample_idx long, ts timestamp, ch array<double>")
-    got = np.array([r.ch for r in bandpass_mu(df, block_seconds=6.0).orderBy("sample_idx").collect()])
-    whole = bandpass(x, 250.0, 8, 12, 4, 2500)
-    assert got.shape == whole.shape
-    assert np.abs(got - whole)[500:-500].max() < 0.02
+        y = filters.zero_phase(x, 2500)
+        assert np.abs(y - gain * x)[1500:3500].max() < 0.02
+
+
+def filtered(sections, x):
+    """A plain loop over the sections, from the steady state of the first sample."""
+    y = x.tolist()
+    for b0, b1, b2, a1, a2 in sections.tolist():
+        steady = y[0] * (b0 + b1 + b2) / (1 + a1 + a2)
+        s2 = b2 * y[0] - a2 * steady
+        s1 = b1 * y[0] - a1 * steady + s2
+        for i, v in enumerate(y):
+            out = b0 * v + s1
+            s1, s2 = b1 * v - a1 * out + s2, b2 * v - a2 * out
+            y[i] = out
+    return np.array(y)
+
+
+def test_bandpass_of_any_blocks_equals_a_plain_loop(spark):
+    r = np.random.default_rng(0)
+    sessions = {"long": r.normal(size=(2100, 2)) + 3, "short": r.normal(size=(700, 2)), "few": r.normal(size=(9, 2)), "one": np.ones((1, 2))}
+    rows = [(s, i, START + dt.timedelta(seconds=i / 250), v.tolist()) for s, x in sessions.items() for i, v in enumerate(x)]
+    rows += rows[5:8]  # repeated samples
+    r.shuffle(rows)
+    df = spark.createDataFrame([tuple(x) for x in rows], "session_id string, sample_idx long, ts timestamp, ch array<double>")
+    expected = {}
+    for s, x in sessions.items():
+        pad = min(250, len(x) - 1)
+        for c in range(2):
+            v = x[:, c]
+            whole = np.concatenate([2 * v[0] - v[pad:0:-1], v, 2 * v[-1] - v[-2 : -pad - 2 : -1]]) if pad else v
+            sections = band_sections(250.0, 8.0, 12.0, 4)
+            expected[s, c] = filtered(sections, filtered(sections, whole)[::-1])[::-1][pad : pad + len(v)]
+    for seconds in (0.2, 1.0, 100.0):
+        got = bandpass_mu(df, block_seconds=seconds, pad_seconds=1.0).orderBy("sample_idx").collect()
+        assert len(got) == sum(map(len, sessions.values()))
+        for (s, c), y in expected.items():
+            assert np.abs(np.array([x.ch[c] for x in got if x.session_id == s]) - y).max() < 1e-9
+    assert bandpass_mu(df.limit(0)).count() == 0
 
 
 def test_average_reference(spark):
@@ -165,3 +198,24 @@ def test_episodes_equal_the_loop(spark, texts, sustain):
                     opened[-1][3] = us / 1e6
         expected += [tuple(x) for x in opened]
     assert found_episodes(spark, sessions, sustain) == sorted(expected)
+
+
+def test_blocks_of_hops_equal_the_windows(spark):
+    """Runs over many blocks, blocks of one hop, blocks without hops, times shared by hops."""
+    r = np.random.default_rng(8)
+    rows = []
+    for s in range(10):
+        labels = np.repeat(r.choice(["A", "B", "neutral"], 25, p=[0.5, 0.35, 0.15]), r.integers(1, 12, 25)).tolist()
+        seconds = np.cumsum(r.choice([0, 1, 1, 2, 60], len(labels), p=[0.2, 0.4, 0.2, 0.15, 0.05])).tolist()
+        rows += [(s, START + dt.timedelta(seconds=t), i, x) for i, (t, x) in enumerate(zip(seconds, labels, strict=True))]
+    hops = spark.createDataFrame(rows, "session_id long, ts timestamp, sample_idx long, label string").cache()
+    columns = ["session_id", "ts", "sample_idx", "run_id", "hop_no", "run_start", "epoch", "reset_ts"]
+    runs = sorted(map(tuple, label_runs(neutral_epochs(hops)).select(columns).collect()))
+    whole = sorted(map(repr, episodes(hops, 3.0).collect()))
+    assert len(whole) > 30
+    for block in (1.0, 5.0, 1e6):
+        assert sorted(map(tuple, episode_blocks.label_runs(hops, block).select(columns).collect())) == runs
+        assert sorted(map(repr, episode_blocks.episodes(hops, 3.0, block).select(episodes(hops).columns).collect())) == whole
+    assert episode_blocks.episodes(hops.limit(0)).count() == 0
+    plan = episode_blocks.label_runs(hops, 5.0)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\[session_id#\d+L, block#\d+L\], \[ts#", plan) and not re.search(r"\[session_id#\d+L\], \[ts#", plan)

@@ -1,6 +1,7 @@
 """License scans: winnowed fingerprints find candidates, banded alignment reports matches.
 
-Templates and texts are lower-case words; a number with points is one word, without closing zeros. Hashes of k-grams
+Templates and texts are lower-case words; a number with points is one word, without closing zeros, and "v" before a number, also
+in "GPLv3", is the word "version". Hashes of k-grams
 are winnowed: of each few
 neighbours the smallest is kept, so a run of k + window - 1 words that a text shares with
 a template shares a fingerprint. The templates' fingerprints make an inverted index, as
@@ -9,9 +10,11 @@ template on nearby diagonals make a candidate; the template is aligned with the
 around it inside a band. A matched word gains two points and a word of the text that is skipped between
 matched ones costs one, so the alignment gives the matched words and a tight span.
 
-The coverage of a match is its matched words by the words of the template or of the span, whichever are more. A match
-counts only if its span has the same qualifying words as the template ("affero", "lesser", "nc" ...) and, where the
-template has numbers, the same numbers: they tell licenses apart whose other words agree.
+The coverage of a match is its matched words by the words of the template or of the span, whichever are more. Licenses of
+one family differ in a few words only. So a match with a template of a family counts only if its span has the same
+qualifying words where the family has them: "affero", "lesser" or "library" between "GNU" and "Public License", "NC" and the
+like anywhere in a line about Creative Commons. What other licenses say about libraries is no concern of theirs. Where the template
+has numbers, the span must have the same ones.
 Of overlapping spans the one with the most matched words is reported; of equal ones that with the better coverage.
 
 Everything is a projection of each row. Defined results: a null text counts as
@@ -21,6 +24,7 @@ empty; a text without a match gives no spans. Repeated rows are scanned one by o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +42,10 @@ MIN_COVERAGE = 0.8
 BAND = 3
 BAND_SHARE = 0.1
 
-#: Words that tell licenses of one family apart.
-QUALIFIERS = frozenset("affero lesser library nc nd sa non noncommercial noderivatives noderivs sharealike zero cc0".split())
+#: Words that tell licenses of one family apart, by the beginning of their names.
+GNU_QUALIFIERS = frozenset("affero lesser library".split())
+CC_QUALIFIERS = frozenset("nc nd sa non noncommercial noderivatives noderivs sharealike zero cc0".split())
+GNU_NAMES = ("GPL", "LGPL", "AGPL")
 
 #: Short statements and notices of public licenses; {} stands for what a family's members differ in.
 MIT_NOTICE = (
@@ -68,6 +74,10 @@ BSD_3_CLAUSE = (
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
     "products derived from this software without specific prior written permission."
 )
+BSD_4_CLAUSE = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+    "This product includes software developed by the organization."
+)
 ISC_NOTICE = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
     "granted, provided that the above copyright notice and this permission notice appear in all copies."
@@ -97,6 +107,8 @@ GNU_NOTICE = (
     "Public License as published by the Free Software Foundation, either version {} of the License, or (at your "
     "option) any later version."
 )
+GNU_BARE = "GNU {} Public License version {}"
+GNU_ABBREVIATED = ("Licensed under the {} version {}", "Licensed under {} version {}", "SPDX-License-Identifier: {} {}")
 CC_SHORT = "Licensed under CC {} {}."
 CC_NOTICE = "This work is licensed under the Creative Commons {} {} {} License."
 GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
@@ -113,6 +125,7 @@ TEMPLATES = (
     ("Apache-2.0", APACHE_NOTICE),
     ("BSD-2-Clause", BSD_2_NOTICE),
     ("BSD-3-Clause", f"{BSD_2_NOTICE} {BSD_3_CLAUSE}"),
+    ("BSD-4-Clause", f"{BSD_2_NOTICE} {BSD_4_CLAUSE} {BSD_3_CLAUSE}"),
     ("ISC", ISC_NOTICE),
     ("MPL-2.0", MPL_NOTICE),
     ("Unlicense", UNLICENSE_NOTICE),
@@ -125,7 +138,13 @@ TEMPLATES = (
         (f"{k}-{v}" if "." in v else f"{k}-{v}.0", form.format(GNU[k], v))
         for k, versions in GNU_VERSIONS.items()
         for v in versions
-        for form in (GNU_SHORT, GNU_NOTICE)
+        for form in (GNU_SHORT, GNU_NOTICE, GNU_BARE)
+    ),
+    *(
+        (f"{k}-{v}" if "." in v else f"{k}-{v}.0", form.format(k, v))
+        for k, versions in GNU_VERSIONS.items()
+        for v in versions
+        for form in GNU_ABBREVIATED
     ),
     *((f"CC-{kind}-{v}", CC_SHORT.format(kind, v)) for kind in CC_KINDS for v in CC_VERSIONS),
     *(
@@ -135,7 +154,7 @@ TEMPLATES = (
     ),
 )
 
-_WORD = re.compile(r"\d+(?:\.\d+)+|\w+")
+_WORD = re.compile(r"\b[al]?gpl(?=v?\d)|(?:(?<=\b)|(?<=gpl))v(?=\d)|\d+(?:\.\d+)+|\w+", re.I)
 _ZEROS = re.compile(r"(?:\.0+)+$")
 _CACHE = 400_000
 _hashes: dict[str, int] = {}
@@ -150,13 +169,23 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 def words_of(lowered: str) -> list[str]:
-    """Words of a lower-case text; 2.0 is 2."""
-    return [_ZEROS.sub("", w) if "." in w else w for w in _WORD.findall(lowered)]
+    """Words of a lower-case text; 2.0 is 2, and v is version."""
+    return [_ZEROS.sub("", w) if "." in w else "version" if w == "v" else w for w in _WORD.findall(lowered)]
 
 
-def told_apart(words: list[str]) -> tuple[set[str], set[str]]:
-    """Qualifying words and numbers among words."""
-    return QUALIFIERS.intersection(words), {w for w in words if w[0].isdecimal() and w.replace(".", "").isdecimal()}
+def told_apart(name: str, words: list[str]) -> tuple[set[str], set[str]]:
+    """Among words, the qualifying ones of the family that a license's name belongs to, and the numbers."""
+    numbers = {w for w in words if w[0].isdecimal() and w.replace(".", "").isdecimal()}
+    if name.startswith("CC"):
+        return CC_QUALIFIERS.intersection(words), numbers
+    marks: set[str] = set()
+    if name.startswith(GNU_NAMES):
+        after = 4  # words since the last "gnu"; a license's name has no more than three up to "public"
+        for w in words:
+            after = 0 if w == "gnu" else after + 1
+            if after < 4 and w in GNU_QUALIFIERS:
+                marks.add(w)
+    return marks, numbers
 
 
 def grams(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -188,7 +217,7 @@ class Index:
     def __init__(self, templates):
         self.names = [name for name, _ in templates]
         words = [words_of(text.lower()) for _, text in templates]
-        self.marks = [told_apart(w) for w in words]
+        self.marks = [told_apart(name, w) for name, w in zip(self.names, words, strict=True)]
         self.words = [word_hashes(w) for w in words]
         self.places: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
@@ -246,6 +275,18 @@ def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str
         for t, q in index.places[int(gram[p])]:
             candidates.setdefault(t, []).append((p - q, p))
     found = []
+    known: dict[tuple[int, int, int, bytes], tuple[int, int, int]] = {}
+
+    def aligned(t: int, start: int, band: int) -> tuple[int, int, int]:
+        """align(), once for each template and surroundings: repeated lines have the same ones."""
+        low = start - band
+        begin = max(low, 0)
+        near = words[begin : max(low + len(index.words[t]) + 2 * band, 0)]
+        key = (t, band, begin - low, near.tobytes())
+        if key not in known:
+            known[key] = align(index.words[t], near, start - begin, band)
+        m, first, last = known[key]
+        return m, first + begin, last + begin
 
     def covered(t: int, match: tuple[int, int, int]) -> float:
         """Coverage of a match; 0 if its span has other qualifying words or numbers than the template."""
@@ -253,7 +294,7 @@ def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str
         n = len(index.words[t])
         if m < least * n or m < least * (last - first + 1):
             return 0.0
-        (marks, numbers), (own, own_numbers) = told_apart(names[first : last + 1]), index.marks[t]
+        (marks, numbers), (own, own_numbers) = told_apart(index.names[t], names[first : last + 1]), index.marks[t]
         return m / max(n, last - first + 1) if marks == own and (numbers == own_numbers or not own_numbers) else 0.0
 
     for t, diagonals in candidates.items():
@@ -261,31 +302,40 @@ def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str
         band = max(BAND, int(BAND_SHARE * len(template)))
         reach, hopeful, tried = None, False, None
         wide: list[tuple[int, int, int]] = []
-        own: list[tuple[int, int, int]] = []
+        own: list[tuple[int, int, int]] = []  # (first, last, matches), sorted
+        longest = 0
+
+        def inside(a: int, b: int, own=own) -> int:
+            """How many of own have a place from a to b; longest bounds where they begin."""
+            return sum(last >= a for _, last, _ in own[bisect_left(own, (a - longest,)) : bisect_left(own, (b + 1,))])  # noqa: B023
+
         for start, p in sorted(set(diagonals)):
             if reach is None or start > reach:
                 reach = start + 2 * band
-                match = align(template, words, start + band, 2 * band)
+                match = aligned(t, start + band, 2 * band)
                 hopeful = match[0] >= least * len(template)
                 if hopeful:
                     wide.append(match)
             # The wide band may hold several occurrences: each diagonal outside the matched ones is aligned by itself.
-            if not hopeful or start == tried or any(first <= p <= last for _, first, last in own):
+            if not hopeful or start == tried or inside(p, p):
                 continue
             tried = start
-            match = align(template, words, start, band)
-            if match[0] >= least * len(template):
-                own.append(match)
-        wide = [x for x in wide if sum(x[1] <= last and first <= x[2] for _, first, last in own) < 2]
-        found += [(x[0], c, index.names[t], x[1], x[2]) for x in {*wide, *own} if (c := covered(t, x))]
+            m, first, last = aligned(t, start, band)
+            if m >= least * len(template):
+                insort(own, (first, last, m))
+                longest = max(longest, last - first)
+        wide = [x for x in wide if inside(x[1], x[2]) < 2]
+        matches = {*wide, *((m, first, last) for first, last, m in own)}
+        found += [(x[0], c, index.names[t], x[1], x[2]) for x in matches if (c := covered(t, x))]
     if not found:
         return []
     spans = [x.span() for x in _WORD.finditer(text)] if len(lowered) == len(text) else [x.span() for x in _WORD.finditer(lowered)]
     out: list[tuple[str, float, int, int, int]] = []
     taken: list[tuple[int, int]] = []
     for m, coverage, name, first, last in sorted(found, key=lambda x: (-x[0], -x[1], x[4] - x[3], x[3], x[2])):
-        if all(last < a or b < first for a, b in taken):
-            taken.append((first, last))
+        at = bisect_left(taken, (first, last))  # those that are taken don't overlap: only the neighbours can
+        if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
+            taken.insert(at, (first, last))
             out.append((name, coverage, m, spans[first][0], spans[last][1]))
     return sorted(out, key=lambda x: x[3])
 

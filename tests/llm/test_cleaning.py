@@ -368,6 +368,21 @@ CONFUSABLE = {
     "Licensed under the Apache License, Version 2.": ["Apache-2.0"],
     lc.BSD_2_NOTICE: ["BSD-2-Clause"],
     f"{lc.BSD_2_NOTICE} 3. {lc.BSD_3_CLAUSE}": ["BSD-3-Clause"],
+    f"{lc.BSD_2_NOTICE} 3. {lc.BSD_4_CLAUSE.replace('organization', 'University')} 4. {lc.BSD_3_CLAUSE}": ["BSD-4-Clause"],
+    # Notices as their publishers print them.
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+    "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": ["LGPL-2.1"],
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public "
+    "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": [],
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+    "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": ["GPL-2.0"],
+    lc.MIT_NOTICE.replace("this software and", "this software library and"): ["MIT"],
+    "It stands under the GNU General Public License v3.0.": ["GPL-3.0"],
+    "It stands under the GNU Affero General Public License v3.": ["AGPL-3.0"],
+    "Licensed under GPLv3.": ["GPL-3.0"],
+    "Licensed under the LGPL v2.1.": ["LGPL-2.1"],
+    "SPDX-License-Identifier: AGPL-3.0-or-later": ["AGPL-3.0"],
+    "Licensed under the GPL version 4.": [],
 }
 
 
@@ -390,7 +405,7 @@ def test_scan_equals_alignment_of_all_templates():
         found = []
         for t, template in enumerate(index.words):
             m, first, last = lc.align(template, words, 0, len(words) + len(template))
-            marks, numbers = lc.told_apart(names[first : last + 1])
+            marks, numbers = lc.told_apart(index.names[t], names[first : last + 1])
             n = max(len(template), last - first + 1)
             if m >= lc.MIN_COVERAGE * n and marks == index.marks[t][0] and (numbers == index.marks[t][1] or not index.marks[t][1]):
                 found.append((-m, -m / n, last - first, first, index.names[t], last))
@@ -401,6 +416,17 @@ def test_scan_equals_alignment_of_all_templates():
         assert {(x[4], -x[1]) for x in best} == {(f[0], f[1]) for f in lc.scan(text, index)}
 
 
+@pytest.mark.parametrize("line", ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0."])
+def test_many_repeated_lines_take_linear_time(line):
+    seconds = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        found = lc.scan("\n".join([line] * n), lc.Index(lc.TEMPLATES))
+        seconds.append(time.process_time() - began)
+        assert [f[3] for f in found] == [i * (len(line) + 1) for i in range(n)] and all(f[1] == 1 for f in found)
+    assert seconds[1] < 6 * seconds[0] + 0.5 and seconds[1] < 8
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50])
 def test_winnowing_keeps_one_of_each_window(n):
     gram = np.random.default_rng(n).integers(0, 5, n).astype(np.uint64)

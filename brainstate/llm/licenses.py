@@ -14,9 +14,12 @@ The coverage of a match is its matched words by the words of the template or of
 one family differ in a few words only. So a match with a template of a family counts only if its span has the same
 qualifying words where the family has them: "affero", "lesser" or "library" between "GNU" and "Public License", "NC" and the
 like anywhere in a line about Creative Commons. What other licenses say about libraries is no concern of theirs. Where the template
-has numbers, the span must have the same ones.
+has numbers, the span must have the same ones, and a statement of a few words must have all of them that name the license.
 Of overlapping spans the one with the most matched words is reported; of equal ones that with the better coverage.
 
+A statement of up to SHORT words is found if K words in a row of it are there, a longer one if K + WINDOW - 1 are, as
+in every match of it.
+
 Everything is a projection of each row. Defined results: a null text counts as
 empty; a text without a match gives no spans. Repeated rows are scanned one by one; other columns have no part in it.
 """
@@ -37,6 +40,8 @@ from brainstate.llm.common import slices
 
 K = 3
 WINDOW = 2
+#: Words of a template that isn't winnowed.
+SHORT = 8
 MIN_COVERAGE = 0.8
 #: Words that an alignment may be off its diagonal, at least and as a share of the template.
 BAND = 3
@@ -45,6 +50,8 @@ BAND_SHARE = 0.1
 #: Words that tell licenses of one family apart, by the beginning of their names.
 GNU_QUALIFIERS = frozenset("affero lesser library".split())
 CC_QUALIFIERS = frozenset("nc nd sa non noncommercial noderivatives noderivs sharealike zero cc0".split())
+#: Words of short statements that don't name a license.
+COMMON = frozenset("a an distributed general identifier is license licensed of public released software spdx the this under version work".split())
 GNU_NAMES = ("GPL", "LGPL", "AGPL")
 
 #: Short statements and notices of public licenses; {} stands for what a family's members differ in.
@@ -218,13 +225,27 @@ class Index:
         self.names = [name for name, _ in templates]
         words = [words_of(text.lower()) for _, text in templates]
         self.marks = [told_apart(name, w) for name, w in zip(self.names, words, strict=True)]
-        self.words = [word_hashes(w) for w in words]
         self.places: dict[int, list[tuple[int, int]]] = {}
+        # One other word in a short statement names another license.
+        self.needed = [set(w) - COMMON if len(w) <= SHORT else set() for w in words]
+        self.words = [word_hashes(w) for w in words]
+        short: set[int] = set()
         for t, words in enumerate(self.words):
             gram = grams(words)
-            for p in winnowed(gram).tolist():
+            # Of a short template every k-gram counts: it has few neighbours to be found by.
+            all_of = len(words) <= SHORT
+            short.update(gram.tolist() if all_of else ())
+            for p in range(len(gram)) if all_of else winnowed(gram).tolist():
                 self.places.setdefault(int(gram[p]), []).append((t, p))
         self.keys = np.array(sorted(self.places), np.uint64)
+        self.short = np.array([k in short for k in self.keys.tolist()], bool)
+
+
+    def agrees(self, t: int, span: list[str]) -> bool:
+        """Whether a span has the words that tell a template from others."""
+        marks, numbers = told_apart(self.names[t], span)
+        own, own_numbers = self.marks[t]
+        return marks == own and (numbers == own_numbers or not own_numbers) and self.needed[t] <= set(span)
 
 
 def align(template: np.ndarray, words: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
@@ -271,7 +292,7 @@ def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str
     kept = np.zeros(len(gram), bool)
     kept[winnowed(gram)] = True
     candidates: dict[int, list[tuple[int, int]]] = {}
-    for p in np.flatnonzero(hit & kept).tolist():
+    for p in np.flatnonzero(hit & (kept | index.short[at])).tolist():
         for t, q in index.places[int(gram[p])]:
             candidates.setdefault(t, []).append((p - q, p))
     found = []
@@ -294,8 +315,7 @@ def scan(text: str, index: Index, least: float = MIN_COVERAGE) -> list[tuple[str
         n = len(index.words[t])
         if m < least * n or m < least * (last - first + 1):
             return 0.0
-        (marks, numbers), (own, own_numbers) = told_apart(index.names[t], names[first : last + 1]), index.marks[t]
-        return m / max(n, last - first + 1) if marks == own and (numbers == own_numbers or not own_numbers) else 0.0
+        return m / max(n, last - first + 1) if index.agrees(t, names[first : last + 1]) else 0.0
 
     for t, diagonals in candidates.items():
         template = index.words[t]

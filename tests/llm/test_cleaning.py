@@ -405,9 +405,9 @@ def test_scan_equals_alignment_of_all_templates():
         found = []
         for t, template in enumerate(index.words):
             m, first, last = lc.align(template, words, 0, len(words) + len(template))
-            marks, numbers = lc.told_apart(index.names[t], names[first : last + 1])
             n = max(len(template), last - first + 1)
-            if m >= lc.MIN_COVERAGE * n and marks == index.marks[t][0] and (numbers == index.marks[t][1] or not index.marks[t][1]):
+            shared = set(lc.grams(template).tolist()) & set(lc.grams(words[first : last + 1]).tolist())
+            if m >= lc.MIN_COVERAGE * n and shared and index.agrees(t, names[first : last + 1]):
                 found.append((-m, -m / n, last - first, first, index.names[t], last))
         best = []
         for x in sorted(found):

@@ -16,37 +16,45 @@ PROCESSING = " (AI 归因中...)"
 SEPARATOR = "\n\n---\n\n"
 
 
-def _nearest_of_blocks(table: pa.Table) -> pa.Table:
-    """(session_id, seq, d, past): for the rows of a pair of blocks the nearest earlier ones of the other block."""
-    table = table.sort_by("seq")
-    own, seq = table["own"].to_numpy(), table["seq"].to_numpy()
-    vectors = np.array(table["v"].to_pylist(), float)
-    vectors /= np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-    first, last = own.min(), own.max()
-    asked, past, d = [], [], []
-    for mine, others in {(first, last), (last, first)}:
-        rows, memory = np.flatnonzero(own == mine), np.flatnonzero(own == others)
-        for at in range(0, len(rows), 256):
-            some = rows[at : at + 256]
-            # Each product is summed in one order, so that equal vectors are equally far.
-            distance = 1.0 - np.einsum("ik,jk->ij", vectors[some], vectors[memory])
-            distance[seq[memory] >= seq[some][:, None]] = np.inf
-            best = distance.argmin(axis=1)  # of equal ones the earliest
-            least = distance[np.arange(len(some)), best]
-            found = np.isfinite(least)
-            asked.append(some[found])
-            past.append(memory[best[found]])
-            d.append(least[found])
-    rows, memory = np.concatenate(asked), np.concatenate(past)
-    columns = [table["session_id"].take(rows), table["seq"].take(rows), pa.array(np.concatenate(d)), table["seq"].take(memory)]
-    return pa.table(columns, ["session_id", "seq", "d", "past"])
-
-
-def nearest_prior(rows: DataFrame, order: str = "mem_seq", vector: str = "vector", block: int = 2048) -> DataFrame:
+def _nearest_of_blocks(digits: int | None):
+    """For the rows of a pair of blocks the nearest earlier ones of the other block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        """(session_id, seq, d, past)"""
+        table = table.sort_by("seq")
+        own, seq = table["own"].to_numpy(), table["seq"].to_numpy()
+        vectors = np.array(table["v"].to_pylist(), float)
+        vectors /= np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+        first, last = own.min(), own.max()
+        asked, past, d = [], [], []
+        for mine, others in {(first, last), (last, first)}:
+            rows, memory = np.flatnonzero(own == mine), np.flatnonzero(own == others)
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                # Each product is summed in one order, so that equal vectors are equally far.
+                distance = 1.0 - np.einsum("ik,jk->ij", vectors[some], vectors[memory])
+                distance = distance if digits is None else np.round(distance, digits)
+                distance[seq[memory] >= seq[some][:, None]] = np.inf
+                best = distance.argmin(axis=1)  # of equal ones the earliest
+                least = distance[np.arange(len(some)), best]
+                found = np.isfinite(least)
+                asked.append(some[found])
+                past.append(memory[best[found]])
+                d.append(least[found])
+        rows, memory = np.concatenate(asked), np.concatenate(past)
+        columns = [table["session_id"].take(rows), table["seq"].take(rows), pa.array(np.concatenate(d)), table["seq"].take(memory)]
+        return pa.table(columns, ["session_id", "seq", "d", "past"])
+
+    return run
+
+
+def nearest_prior(
+    rows: DataFrame, order: str = "mem_seq", vector: str = "vector", block: int = 2048, digits: int | None = None
+) -> DataFrame:
     """RT2: (session_id, <order>, past, distance): for each row the nearest of those before it in its session.
 
     Rows (session_id, <order>, vector); zero vectors match nothing, ties go to the earliest, and the first row
-    gets null. The search is exact. A session is cut into blocks of about `block` rows; each pair of blocks is one
+    gets null. digits: decimals to which distances are equal; all, if it isn't given. The search is exact. A session is cut into blocks of about `block` rows; each pair of blocks is one
     group, compared by products of matrices, so a long session is spread over many groups of bounded size. Each keeps
     the best of a row, and the best of these are the result.
     """
@@ -62,7 +70,7 @@ def nearest_prior(rows: DataFrame, order: str = "mem_seq", vector: str = "vector
     kinds = {f.name: f.dataType.simpleString() for f in made.schema.fields}
     near = (
         dealt.groupBy("session_id", "i", "j")
-        .applyInArrow(_nearest_of_blocks, f"session_id {kinds['session_id']}, seq {kinds['seq']}, d double, past {kinds['seq']}")
+        .applyInArrow(_nearest_of_blocks(digits), f"session_id {kinds['session_id']}, seq {kinds['seq']}, d double, past {kinds['seq']}")
         .groupBy("session_id", "seq")
         .agg(F.min(F.struct("d", "past")).alias("best"))
     )

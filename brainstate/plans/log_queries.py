@@ -144,7 +144,8 @@ def tr2_bandpass_mu(spark, d):
 
 
 _EPOCHS = {"base": (-1.5, -0.5), "task": (0.5, 4.0)}
-_CUT = f"""{_CUES}, tri as (select session_id, trial_id, label, t as onset from mi where code = '771'),
+_ERDS = ["c3_erd", "cz_erd", "c4_erd"]
+_CUT = f"""{_CUES}, tri as (select session_id, trial_id, label, t as onset from mi),
 cut as (select c.session_id, c.trial_id, c.label, case when s.t <= c.onset then 'base' else 'task' end as epoch, s.sample_idx, s.value
         from tri c join cues s on s.session_id = c.session_id
          and (s.t between c.onset - 1.5 and c.onset - 0.5 or s.t between c.onset + 0.5 and c.onset + 4.0)),
@@ -154,114 +155,105 @@ vr as (select session_id, trial_id, label,
 erd as (select *, {", ".join(f"(task_{c} - base_{c}) / (base_{c} + 1e-10::double) * 100 as {c}_erd" for c in ("c3", "cz", "c4"))} from vr)"""
 
 
-def _cut(spark, d, codes="code = '771'"):
+def _cut(spark, d):
     cues = _cues(spark, d)
-    trials = tr.label_cues(tr.number_trials(tr.filter_cues(cues))).filter(codes)
+    trials = tr.label_cues(tr.number_trials(tr.filter_cues(cues)))
     trials = trials.select("session_id", F.col("trial_id").cast("long").alias("trial_id"), "label", F.col("t").alias("onset"))
     samples = tr.pick_channels(cues, {"c3": 0, "cz": 1, "c4": 2}).select("session_id", "sample_idx", "t", "c3", "cz", "c4")
     return tr.epoch_join(trials, samples, bucket=4.0)
 
 
-@query(f"with {_CUT} select session_id, trial_id, epoch, sample_idx from cut")
-def tr3_epoch_join(spark, d):
-    return _cut(spark, d).select("session_id", "trial_id", "epoch", "sample_idx")
+def _erd(spark, d):
+    return tr.erd_percent(tr.epoch_variance(_cut(spark, d)))
 
 
-@query(f"with {_CUT} select session_id, trial_id, base_c3::real as base_c3, task_c3::real as task_c3, base_c4::real as base_c4 from vr")
-def tr4_epoch_variance(spark, d):
-    out = tr.epoch_variance(_cut(spark, d))
-    return out.select("session_id", "trial_id", *[F.col(c).cast("float") for c in ("base_c3", "task_c3", "base_c4")])
+# A base without variance gives a change by eps alone, too large for decimals: changes are given as logarithms with their sign.
 
 
-#: A base without variance gives a change by eps alone, too large to round alike.
-_ENOUGH = "base_c3 > 0.01 and base_c4 > 0.01"
+def _log(x, places=9):
+    return F.signum(x) * F.round(F.log1p(F.abs(x)), places) + 0.0
 
 
-@query(f"with {_CUT} select session_id, trial_id, round(c3_erd, 4) as c3_erd, round(cz_erd, 4) as cz_erd, round(c4_erd, 4) as c4_erd from erd where {_ENOUGH}")
-def tr5_erd_percent(spark, d):
-    out = tr.erd_percent(tr.epoch_variance(_cut(spark, d))).filter(_ENOUGH)
-    return rounded(out.select("session_id", "trial_id", "c3_erd", "cz_erd", "c4_erd"), ["c3_erd", "cz_erd", "c4_erd"], 4)
-
-
-@query(f"with {_CUT} select session_id, trial_id, label, list_value(round(c3_erd, 4), round(cz_erd, 4), round(c4_erd, 4)) as vector from erd where {_ENOUGH}")
-def tr6_trial_features(spark, d):
-    out = tr.trial_features(tr.erd_percent(tr.epoch_variance(_cut(spark, d))).filter(_ENOUGH))
-    return out.select("session_id", "trial_id", "label", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
-
-
-@query(
-    f"""with {_CUT}, g as (select *, list_value(c3_erd, cz_erd, c4_erd) as v from erd where {_ENOUGH}),
-    q as (select a.session_id, a.trial_id, b.trial_id as past_id, row_number() over (partition by a.session_id, a.trial_id order by
-          round(1 - list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9), b.trial_id) as rn
-          from g a join g b on a.session_id = b.session_id and b.trial_id < a.trial_id)
-    select g.session_id, g.trial_id, past_id, past_id is null as no_memory
-    from g left join q on q.session_id = g.session_id and q.trial_id = g.trial_id and rn = 1"""
-)
-def tr7_trial_report(spark, d):
-    trials = stored(tr.trial_features(tr.erd_percent(tr.epoch_variance(_cut(spark, d))).filter(_ENOUGH)), "trials")
-    near = rt.nearest_prior(trials, "trial_id").withColumnRenamed("past", "past_id")
-    return tr.trial_report(trials, near).select("session_id", "trial_id", "past_id", (F.col("memory_text") == tr.NO_MEMORY).alias("no_memory"))
-
-
-# The same over the cues of all four movements and all their trials. A base without variance gives a change by
-# eps alone, which is why changes are given as logarithms (with their sign) and not rounded to decimals.
-
-_CUT_ALL = _CUT.replace(" where code = '771'", "")
-_ERDS = ["c3_erd", "cz_erd", "c4_erd"]
-
+def _log_sql(x: str, places: int = 9) -> str:
+    return f"sign({x}) * round(ln(1 + abs({x})), {places}) + 0.0"
 
-def _log(x):
-    return F.signum(x) * F.round(F.log1p(F.abs(x)), 9) + 0.0
 
+@query(f"with {_CUT} select session_id, trial_id, epoch, sample_idx from cut")
+def tr3_epoch_join(spark, d):
+    return _cut(spark, d).select("session_id", "trial_id", "epoch", "sample_idx")
 
-def _log_sql(x: str) -> str:
-    return f"sign({x}) * round(ln(1 + abs({x})), 9) + 0.0"
 
+_VARIANCES = [f"{e}_{c}" for e in _EPOCHS for c in ("c3", "cz", "c4")]
 
-def _erd_all(spark, d):
-    return tr.erd_percent(tr.epoch_variance(_cut(spark, d, "true")))
 
+@query(f"with {_CUT} select session_id, trial_id, label, {', '.join(f'round(ln(1 + {v}), 9) + 0.0 as {v}_log' for v in _VARIANCES)} from vr")
+def tr4_epoch_variance(spark, d):
+    out = tr.epoch_variance(_cut(spark, d))
+    return out.select("session_id", "trial_id", "label", *[(F.round(F.log1p(v), 9) + 0.0).alias(f"{v}_log") for v in _VARIANCES])
 
-@query(f"with {_CUT_ALL} select session_id, trial_id, epoch, sample_idx from cut")
-def tr3_epoch_join_all(spark, d):
-    return _cut(spark, d, "true").select("session_id", "trial_id", "epoch", "sample_idx")
 
+@query(f"with {_CUT} select session_id, trial_id, {', '.join(f'{_log_sql(c)} as {c}_log' for c in _ERDS)} from erd")
+def tr5_erd_percent(spark, d):
+    return _erd(spark, d).select("session_id", "trial_id", *[_log(F.col(c)).alias(f"{c}_log") for c in _ERDS])
 
-@query(f"with {_CUT_ALL} select session_id, trial_id, base_c3::real as base_c3, task_c3::real as task_c3, base_c4::real as base_c4 from vr")
-def tr4_epoch_variance_all(spark, d):
-    out = tr.epoch_variance(_cut(spark, d, "true"))
-    return out.select("session_id", "trial_id", *[F.col(c).cast("float") for c in ("base_c3", "task_c3", "base_c4")])
 
+#: The columns with two decimals, as whole hundredths where a double holds them.
+_CENTS = ", ".join(f"case when abs({c}) < 1e9 then round_even({c}, 2) + 0.0 end as {c}" for c in _ERDS)
 
-@query(f"with {_CUT_ALL} select session_id, trial_id, {', '.join(f'{_log_sql(c)} as {c}_log' for c in _ERDS)} from erd")
-def tr5_erd_percent_all(spark, d):
-    return _erd_all(spark, d).select("session_id", "trial_id", *[_log(F.col(c)).alias(f"{c}_log") for c in _ERDS])
 
+@query(f"with {_CUT} select session_id, trial_id, label, list_value({', '.join(map(_log_sql, _ERDS))}) as vector_log, {_CENTS} from erd")
+def tr6_trial_features(spark, d):
+    out = tr.trial_features(_erd(spark, d))
+    shown = [F.when(F.abs(c) < 1e9, F.col(c) + 0.0).alias(c) for c in _ERDS]
+    return out.select("session_id", "trial_id", "label", F.transform("vector", lambda x: _log(x)).alias("vector_log"), *shown)
 
-@query(f"with {_CUT_ALL} select session_id, trial_id, label, list_value({', '.join(map(_log_sql, _ERDS))}) as vector_log from erd")
-def tr6_trial_features_all(spark, d):
-    out = tr.trial_features(_erd_all(spark, d))
-    return out.select("session_id", "trial_id", "label", F.transform("vector", _log).alias("vector_log"))
 
+@query(
+    f"""with {_CUT}, g as (select *, list_value(c3_erd, cz_erd, c4_erd) as v from erd),
+    k as (select * from g where list_inner_product(v, v) > 0),
+    q as (select a.session_id, a.trial_id, b.trial_id as past_id, b.label as past_label, {', '.join(f'case when abs(b.{c}_erd) < 1e9 then round_even(b.{c}_erd, 2) else b.{c}_erd end as {c}' for c in ('c3', 'cz', 'c4'))},
+                 round(1 - list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9) as distance,
+                 row_number() over (partition by a.session_id, a.trial_id order by distance, b.trial_id) as rn
+          from k a join k b on a.session_id = b.session_id and b.trial_id < a.trial_id)
+    select g.session_id, g.trial_id, g.label, past_id, distance + 0.0 as distance, past_label, past_label as memory_label,
+           {', '.join(f'{_log_sql(c, 3)} as past_{c}_log' for c in ('c3', 'cz', 'c4'))},
+           case when past_id is null then 'No past memory available.' end as no_memory
+    from g left join q on q.session_id = g.session_id and q.trial_id = g.trial_id and rn = 1"""
+)
+def tr7_trial_report(spark, d):
+    """Each trial with the earlier one that it is most like, and that one's values; equal distances go to the earliest.
 
-@query()
-def tr7_trial_report_all(spark, d):
-    """Without SQL: bases without variance make parallel vectors, whose order by distance is noise; tested by brute force."""
-    trials = stored(tr.trial_features(_erd_all(spark, d)), "trials")
-    near = rt.nearest_prior(trials, "trial_id").withColumnRenamed("past", "past_id")
-    return tr.trial_report(trials, near).select("session_id", "trial_id", "past_id", "distance", (F.col("memory_text") == tr.NO_MEMORY).alias("no_memory"))
+    Distances are equal to nine decimals: bases without variance make vectors that are all but parallel.
+    """
+    trials = stored(tr.trial_features(_erd(spark, d)), "trials")
+    near = rt.nearest_prior(trials, "trial_id", digits=9).withColumnRenamed("past", "past_id")
+    out = tr.trial_report(trials, near)
+    return out.select(
+        "session_id", "trial_id", "label", "past_id", (F.col("distance") + 0.0).alias("distance"), F.col("past.label").alias("past_label"),
+        F.get_json_object("memory_text", "$.label").alias("memory_label"),
+        *[_log(F.col(f"past.{c}_erd"), 3).alias(f"past_{c}_log") for c in ("c3", "cz", "c4")],
+        F.when(F.col("past_id").isNull(), F.col("memory_text")).alias("no_memory"),
+    )
 
 
-@query("select user_id as session_id, count(*) as n_samples, sum((event_type <> 'signup')::int)::bigint as n_cues from events group by 1")
+@query(
+    f"""with {_CUES} select session_id, sample_idx, epoch_us(ts) as us, value::float::double as c3, (value * 2)::float::double as cz, code, code in ('769', '770', '771', '772') as kept
+    from cues"""
+)
 def io2_read_recording(spark, d):
+    """All samples of the recordings, written and read back, each with its cue."""
     folder = new_folder(spark, "recording")
     rows = _cues(spark, d).withColumn("session_id", F.col("session_id").cast("string"))
     rows.select("session_id", "sample_idx", "ts", F.col("ch").cast("array<float>").alias("ch")).write.parquet(f"{folder}/recordings")
     rows.select("session_id", "sample_idx", "code").write.parquet(f"{folder}/cues")
     samples, cues = io.read_recording(spark, f"{folder}/recordings", f"{folder}/cues")
-    n = samples.groupBy("session_id").agg(F.count("*").alias("n_samples"))
-    kept = tr.filter_cues(cues).groupBy("session_id").agg(F.count("*").alias("n_cues"))
-    return n.join(kept, "session_id", "left").select(F.col("session_id").cast("long"), "n_samples", F.coalesce("n_cues", F.lit(0)).alias("n_cues"))
+    kept = tr.filter_cues(cues).select("session_id", "sample_idx", F.lit(True).alias("kept"))
+    both = samples.join(cues, ["session_id", "sample_idx"]).join(kept, ["session_id", "sample_idx"], "left")
+    value = lambda i: F.get("ch", F.lit(i)).cast("double")
+    return both.select(
+        F.col("session_id").cast("long"), "sample_idx", us("ts").alias("us"), value(0).alias("c3"), value(1).alias("cz"), "code",
+        F.coalesce("kept", F.lit(False)).alias("kept"),
+    )
 
 
 # Dashboard: events as metric points; the missing ones are those of other types.
@@ -325,15 +317,8 @@ def dw4_new_events_only(spark, d):
     return dw.new_events_only(polled, "poll_no", "fatigue_idx").select("session_id", "event_id", F.col("fatigue_idx").alias("stamp"))
 
 
-@query("select event_id, round_even(value * 3, 1) as shown from events where abs(value * 30 - floor(value * 30) - 0.5) > 1e-6")
-def dw5_display_round(spark, d):
-    rows = t.events(spark, d).withColumn("shown", F.col("value") * 3)
-    rows = rows.filter(F.abs(F.col("value") * 30 - F.floor(F.col("value") * 30) - 0.5) > 1e-6)
-    return dw.display_round(rows, ["shown"]).select("event_id", "shown")
-
-
 @query("select event_id, round_even((value * 3)::decimal(38, 6), 1)::double as shown from events")
-def dw5_display_round_all(spark, d):
+def dw5_display_round(spark, d):
     """All events, those on a tie too: decimals of a fixed scale make ties exact."""
     rows = t.events(spark, d).withColumn("shown", (F.col("value") * 3).cast("decimal(38,6)"))
     return dw.display_round(rows, ["shown"]).select("event_id", F.col("shown").cast("double"))

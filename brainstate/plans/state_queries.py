@@ -426,6 +426,16 @@ def io7_get_memory(spark, d):
     return io.get_memory(text, ids).select("session_id", "evt_id", "document")
 
 
+@query(
+    f"""with {_DOCS} select h.session_id, count(docs.session_id) as n, count(docs.session_id) = 0 as is_empty
+    from (select distinct session_id from hops) h left join docs on docs.session_id = h.session_id group by 1"""
+)
+def io7_memory_counts(spark, d):
+    """The guard of an empty memory, for every session."""
+    _, text = io.memory_rows(_memory(spark, d))
+    return io.memory_counts(text, t.hops(spark, d).select("session_id").distinct())
+
+
 @query(
     f"""with {_DOCS} select 'eeg' as name, count(*) as n_before, 0::bigint as n_after from docs
     union all select 'text', count(*), 0 from docs"""
@@ -530,11 +540,16 @@ def rt3_new_trials_only(spark, d):
     return rt.new_trials_only(rows, rows.filter("trial_id % 3 = 0"))
 
 
+_NEAR_COS = _COS.replace("embedding::double[] as v", "list_transform(embedding, lambda x: x::double + 0.25) as v")
+
+
 @query(
-    f"""with {_COS} select v.session_id, v.mem_seq, case when d < 0.6 then 'memory ' || past else '无相似记忆' end as similar_context
+    f"""with {_NEAR_COS} select v.session_id, v.mem_seq, case when d < 0.2 then 'memory ' || past else '无相似记忆' end as similar_context
     from v left join near on near.session_id = v.session_id and near.mem_seq = v.mem_seq and rn = 1"""
 )
 def rt4_similar_state_context(spark, d):
+    """At the reference's threshold of 0.2; the vectors are moved off the origin, as powers are, so that some have such neighbours."""
     rows = t.vectors(spark, d).withColumn("start_ts", F.col("mem_seq"))
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x.cast("double") + 0.25))
     rows = rows.withColumn("context", F.concat(F.lit("memory "), F.col("mem_seq").cast("string")))
-    return rt.similar_state_context(rows, 0.6).select("session_id", "mem_seq", "similar_context")
+    return rt.similar_state_context(rows, 0.2).select("session_id", "mem_seq", "similar_context")

@@ -136,6 +136,16 @@ def get_memory(memory: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return memory if ids is None else memory.join(ids, ["session_id", "evt_id"], "left_semi")
 
 
+def memory_counts(memory: DataFrame, sessions: DataFrame) -> DataFrame:
+    """IO7: (session_id, n, is_empty) of each of sessions: how many rows it has in memory, and whether it has none.
+
+    What asks a memory is asked only of sessions that have rows; the others get the text for none.
+    """
+    counts = memory.groupBy("session_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return sessions.join(counts, "session_id", "left").select("session_id", n.alias("n"), (n == 0).alias("is_empty"))
+
+
 def clear_memory(spark: SparkSession, eeg_path: str, text_path: str) -> None:
     """IO8: both tables emptied, with the same schemas."""
     for path, schema in ((eeg_path, schemas.EEG_MEMORY), (text_path, schemas.TEXT_MEMORY)):

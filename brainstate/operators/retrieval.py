@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brainstate.functions.vectors import norm
+from brainstate.operators.pruned import nearest_by_clusters, unit
 
 #: Texts for an empty memory and for no similar one.
 NO_HISTORY = "无相关历史记录。"
@@ -54,46 +55,48 @@ def nearest_prior(
     """RT2: (session_id, <order>, past, distance): for each row the nearest of those before it in its session.
 
     Rows (session_id, <order>, vector); zero vectors match nothing, ties go to the earliest, and the first row
-    gets null. digits: decimals to which distances are equal; all, if it isn't given. The search is exact. A session is cut into blocks of about `block` rows; each pair of blocks is one
-    group, compared by products of matrices, so a long session is spread over many groups of bounded size. Each keeps
-    the best of a row, and the best of these are the result.
+    gets null. digits: decimals to which distances are equal; all, if it isn't given. The search is exact. Sessions of at most `block`
+    rows are compared whole; where there are longer ones, all go through clusters, which leave out what can't be nearest.
     """
     made = rows.select("session_id", F.col(order).alias("seq"), F.col(vector).alias("v"))
     known = made.filter(norm(F.col("v")) > 0)
-    counts = known.groupBy("session_id").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
-    dealt = (
-        known.join(counts, "session_id")
-        .withColumn("own", F.pmod(F.xxhash64("seq"), F.col("n")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        .select("session_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "seq", "v")
-    )
-    kinds = {f.name: f.dataType.simpleString() for f in made.schema.fields}
-    near = (
-        dealt.groupBy("session_id", "i", "j")
-        .applyInArrow(_nearest_of_blocks(digits), f"session_id {kinds['session_id']}, seq {kinds['seq']}, d double, past {kinds['seq']}")
-        .groupBy("session_id", "seq")
-        .agg(F.min(F.struct("d", "past")).alias("best"))
-    )
+    longest = known.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    if longest > block:
+        near = nearest_by_clusters(known, _nearest_of_blocks(digits), _nearest_of_two(digits), block, digits)
+    else:
+        kinds = {f.name: f.dataType.simpleString() for f in made.schema.fields}
+        schema = f"session_id {kinds['session_id']}, seq {kinds['seq']}, d double, past {kinds['seq']}"
+        whole = known.withColumn("own", F.lit(0)).groupBy("session_id").applyInArrow(_nearest_of_blocks(digits), schema)
+        near = whole.select("session_id", "seq", F.struct("d", "past").alias("best"))
     return made.join(near, ["session_id", "seq"], "left").select(
         "session_id", F.col("seq").alias(order), F.col("best.past").alias("past"), F.col("best.d").alias("distance")
     )
 
 
-def _nearest_of_two(asked: pa.Table, memory: pa.Table) -> pa.Table:
-    """(session_id, seq, d, past): for each asked row the nearest earlier one of a block of the memory."""
-    memory = memory.sort_by("seq")
-    unit = lambda t: (lambda v: v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None])(np.array(t["v"].to_pylist(), float))
-    if not len(asked) or not len(memory):
-        rows, best, least = (np.zeros(0, int),) * 3
-    else:
-        distance = 1.0 - np.einsum("ik,jk->ij", unit(asked), unit(memory))
-        distance[memory["seq"].to_numpy() >= asked["seq"].to_numpy()[:, None]] = np.inf
-        best = distance.argmin(axis=1)  # of equal ones the earliest
-        least = distance[np.arange(len(asked)), best]
-        rows = np.flatnonzero(np.isfinite(least))
-        best, least = best[rows], least[rows]
-    columns = [asked["session_id"].take(rows), asked["seq"].take(rows), pa.array(least, pa.float64()), memory["seq"].take(best)]
-    return pa.table(columns, ["session_id", "seq", "d", "past"])
+def _nearest_of_two(digits: int | None = None):
+    """For asked rows the nearest earlier ones of a block of the memory."""
+
+    def run(asked: pa.Table, memory: pa.Table) -> pa.Table:
+        """(session_id, seq, d, past)"""
+        memory = memory.sort_by("seq")
+        rows, best, least = [], [], []
+        if len(asked) and len(memory):
+            a, m, seq = unit(asked["v"]), unit(memory["v"]), memory["seq"].to_numpy()
+            for at in range(0, len(asked), 256):
+                # Each product is summed in one order, so that equal vectors are equally far.
+                distance = 1.0 - np.einsum("ik,jk->ij", a[at : at + 256], m)
+                distance = distance if digits is None else np.round(distance, digits)
+                distance[seq >= asked["seq"].to_numpy()[at : at + 256, None]] = np.inf
+                first = distance.argmin(axis=1)  # of equal ones the earliest
+                found = np.flatnonzero(np.isfinite(distance[np.arange(len(distance)), first]))
+                rows += (found + at).tolist()
+                best += first[found].tolist()
+                least += distance[found, first[found]].tolist()
+        rows, best = pa.array(rows, pa.int64()), pa.array(best, pa.int64())
+        columns = [asked["session_id"].take(rows), asked["seq"].take(rows), pa.array(least, pa.float64()), memory["seq"].take(best)]
+        return pa.table(columns, ["session_id", "seq", "d", "past"])
+
+    return run
 
 
 def nearest_stored(asked: DataFrame, memory: DataFrame, order: str, vector: str, block: int = 2048) -> DataFrame:
@@ -120,7 +123,7 @@ def nearest_stored(asked: DataFrame, memory: DataFrame, order: str, vector: str,
     kinds = {f.name: f.dataType.simpleString() for f in asks.schema.fields}
     near = a.groupBy("session_id", "i", "j").cogroup(m.groupBy("session_id", "i", "j"))
     schema = f"session_id {kinds['session_id']}, seq {kinds['seq']}, d double, past {kinds['seq']}"
-    best = near.applyInArrow(_nearest_of_two, schema).groupBy("session_id", "seq").agg(F.min(F.struct("d", "past")).alias("best"))
+    best = near.applyInArrow(_nearest_of_two(), schema).groupBy("session_id", "seq").agg(F.min(F.struct("d", "past")).alias("best"))
     return best.select("session_id", F.col("seq").alias(order), F.col("best.past").alias("past"), F.col("best.d").alias("distance"))
 
 

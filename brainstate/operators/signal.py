@@ -64,6 +64,15 @@ def band_means(freqs: np.ndarray, power: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _psd_at(data: np.ndarray, at: np.ndarray, fs: float, window: int, n_fft: int) -> np.ndarray:
+    """SP2 and SP3 of the windows that begin at places of data (channels x samples): each segment is transformed once."""
+    starts = at[:, None] + np.arange(window // n_fft) * n_fft
+    unique, inverse = np.unique(starts, return_inverse=True)
+    segments = data[:, unique[:, None] + np.arange(n_fft)]  # channels x segments x n_fft
+    power = welch_psd(segments, fs).mean(axis=0)  # over channels
+    return power[inverse.reshape(starts.shape)].mean(axis=1)
+
+
 def _windows_of_block(fs: float, window: int, hop: int, n_fft: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     freqs, kept = welch_frequencies(fs, n_fft)
 
@@ -81,12 +90,7 @@ def _windows_of_block(fs: float, window: int, hop: int, n_fft: int) -> Callable[
         if not len(wins):
             return pd.DataFrame(columns=columns)
         data = np.stack(rows["ch"].to_numpy()).astype(np.float64).T  # channels x samples
-        # Windows share segments: each is transformed once.
-        starts = at[:, None] + np.arange(window // n_fft) * n_fft
-        unique, inverse = np.unique(starts, return_inverse=True)
-        segments = data[:, unique[:, None] + np.arange(n_fft)]  # channels x segments x n_fft
-        power = welch_psd(segments, fs).mean(axis=0)[:, kept]  # SP3: mean over channels
-        psd = power[inverse.reshape(starts.shape)].mean(axis=1)
+        psd = _psd_at(data, at, fs, window, n_fft)[:, kept]
         theta, alpha, beta = band_means(freqs[kept], psd)
         return pd.DataFrame(
             {
@@ -125,6 +129,49 @@ def window_features(
     return feature_vector(out)
 
 
+def _windows_at_ends(fs: float, window: int, n_fft: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    freqs, kept = welch_frequencies(fs, n_fft)
+
+    def run(rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        columns = ["session_id", "chunk", "end_idx", "ts", "psd", "theta", "alpha", "beta"]
+        rows, ends = rows.drop_duplicates("sample_idx").sort_values("sample_idx"), ends.sort_values("end_idx")
+        idx, last = rows["sample_idx"].to_numpy(), ends["end_idx"].to_numpy()
+        at = np.searchsorted(idx, last - window + 1)
+        whole = at + window - 1 < len(idx)
+        whole[whole] = (idx[at[whole]] == last[whole] - window + 1) & (idx[at[whole] + window - 1] == last[whole])
+        if not whole.any():
+            return pd.DataFrame(columns=columns)
+        at, data = at[whole], np.stack(rows["ch"].to_numpy()).astype(np.float64).T
+        psd = _psd_at(data, at, fs, window, n_fft)[:, kept]
+        theta, alpha, beta = band_means(freqs[kept], psd)
+        found = {"session_id": ends["session_id"].iloc[0], "chunk": ends["chunk"].to_numpy()[whole], "end_idx": last[whole]}
+        found |= {"ts": rows["ts"].to_numpy()[at + window - 1], "psd": list(psd), "theta": theta, "alpha": alpha, "beta": beta}
+        return pd.DataFrame(found)
+
+    return run
+
+
+def chunk_features(
+    samples: DataFrame, fs: float = FS, window: int = 1000, n_fft: int | None = None, block_samples: int = 60_000
+) -> DataFrame:
+    """SP1 to SP5 as samples arrive: (session_id, chunk, end_idx, ts, psd, theta, alpha, beta, vector), one row for each chunk.
+
+    samples have the chunk that brought them. A chunk's window is the last `window` samples up to its last one; a chunk that comes
+    before so many are there, or after a gap in them, gives nothing. Chunks may have any size. They meet the samples
+    in the block in which their windows begin, and only the halo of a block is copied.
+    """
+    n_fft = n_fft or min(int(fs * 2), window)
+    size = F.lit(block_samples)
+    ends = samples.groupBy("session_id", "chunk").agg(F.max("sample_idx").alias("end_idx")).filter(F.col("end_idx") >= window - 1)
+    ends = ends.select(*(F.col(c).alias(c) for c in ends.columns)).withColumn("block", F.floor((F.col("end_idx") - window + 1) / size))
+    first = F.greatest(F.floor((F.col("sample_idx") - window + 1) / size), F.lit(0))
+    dealt = samples.select("session_id", "sample_idx", "ts", "ch", F.explode(F.sequence(first, F.floor(F.col("sample_idx") / size))).alias("block"))
+    kinds = {c: samples.schema[c].dataType.simpleString() for c in ("session_id", "chunk", "ts")}
+    schema = f"session_id {kinds['session_id']}, chunk {kinds['chunk']}, end_idx long, ts {kinds['ts']}, psd array<double>, theta double, alpha double, beta double"
+    groups = dealt.groupBy("session_id", "block").cogroup(ends.groupBy("session_id", "block"))
+    return feature_vector(groups.applyInPandas(_windows_at_ends(fs, window, n_fft), schema))
+
+
 def psd_long(features: DataFrame, fs: float = FS, n_fft: int = 500) -> DataFrame:
     """SP3: (session_id, win_id, freq, power), one row for each bin of the mean density."""
     freqs, kept = welch_frequencies(fs, n_fft)

@@ -130,6 +130,34 @@ def sp5_feature_vector(spark, d):
     return _features(spark, d).select("session_id", "win_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
 
 
+#: Chunks of three and five samples in turn.
+_CHUNK = "sample_idx div 8 * 2 + if(sample_idx % 8 >= 3, 1, 0)"
+_ARRIVED = f"""{_SMP},
+ends as (select session_id, idx // 8 * 2 + (idx % 8 >= 3)::int as chunk, max(idx) as e from smp group by all having max(idx) >= 63),
+sg as (select w.session_id, chunk, e, k, s.idx - (e - 63 + 32 * k) as i, v
+       from ends w, (select unnest([0, 1]) as k), smp s where s.session_id = w.session_id and s.idx between e - 63 + 32 * k and e - 32 + 32 * k),
+seg as (select *, (v - avg(v) over (partition by session_id, e, k)) * (0.54 - 0.46 * cos(2 * pi() * i / 32)) as x from sg),
+ft as (select session_id, chunk, e, k, j, sum(x * cos(2 * pi() * j * i / 32)) as re, sum(x * sin(2 * pi() * j * i / 32)) as im
+       from seg, (select unnest(range(2, 15)) as j) group by all),
+w2 as (select sum(pow(0.54 - 0.46 * cos(2 * pi() * k / 32), 2)) as s from (select unnest(range(0, 32)) as k)),
+pw as (select session_id, chunk, e, j * 2.0 as freq, avg((re * re + im * im) / (64 * s) * 2) as power from ft, w2 group by all),
+bd as (select *, (power + lead(power) over w) / 2 * (lead(freq) over w - freq) / width as area
+       from (select *, case when freq < 8 then 'theta' when freq < 13 then 'alpha' else 'beta' end as band,
+                    case when freq < 8 then 4.0 when freq < 13 then 5.0 else 17.0 end as width from pw where freq >= 4 and freq < 30)
+       window w as (partition by session_id, e, band order by freq))"""
+
+
+@query(
+    f"""with {_ARRIVED} select session_id, chunk::bigint as chunk, e as end_idx, {", ".join(f"round(sum(area) filter (band = '{b}'), 4) as {b}" for b in ("theta", "alpha", "beta"))}
+    from bd group by session_id, chunk, e"""
+)
+def sp1_chunk_windows(spark, d):
+    """A window for each chunk that arrives, of the samples up to its last."""
+    rows = t.samples(spark, d).withColumn("chunk", F.expr(_CHUNK))
+    out = sp.chunk_features(rows, t.FS, t.WINDOW, t.N_FFT, block_samples=500)
+    return rounded(out.select("session_id", F.col("chunk").cast("long").alias("chunk"), "end_idx", "theta", "alpha", "beta"), ["theta", "alpha", "beta"], 4)
+
+
 # States: band triples of each user and day.
 
 _FEAT = """feat as (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brainstate.functions import text as sc
 from brainstate.functions.vectors import cosine_distance
 from brainstate.operators import chat as ch
+from brainstate.operators.pruned import asking, clustered
 from brainstate.operators.retrieval import nearest_prior
 from brainstate.sources import io
 
@@ -90,3 +91,22 @@ def test_nearest_of_many_blocks_equals_brute_force(spark):
                 near = min(d.values())
                 assert x.past == min(j for j in past if d[j] < near + 1e-12) and abs(x.distance - near) < 1e-12
     assert nearest_prior(df.limit(0)).count() == 0
+
+
+def test_clusters_that_cannot_be_nearer_are_not_asked(spark):
+    """Rows in tight bunches: nearly all of a row's comparisons fall away, and nothing that is found changes."""
+    r = np.random.default_rng(4)
+    bunches = r.normal(size=(12, 8))
+    vectors = bunches[r.integers(0, 12, 1500)] + r.normal(size=(1500, 8)) * 0.01
+    vectors[r.integers(0, 1500, 100)] = vectors[9]  # ties
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(vectors)], "session_id long, mem_seq long, vector array<double>")
+    u = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    d = np.round(1 - np.einsum("ik,jk->ij", u, u), 9)
+    d[np.triu_indices(1500)] = np.inf
+    got = {x.mem_seq: x.past for x in nearest_prior(df, block=50, digits=9).collect()}
+    assert got == {i: int(d[i].argmin()) if i else None for i in range(1500)}
+    rows = clustered(df.select("session_id", F.col("mem_seq").alias("seq"), F.col("vector").alias("v")), 50)
+    best = spark.createDataFrame([(1, i, float(d[i].min())) for i in range(1, 1500)], "session_id long, seq long, d double")
+    clusters = rows.select("cluster").distinct().count()
+    asked = asking(rows, best, 9).count()
+    assert clusters > 15 and asked < 0.2 * 1500 * clusters

@@ -433,6 +433,16 @@ def io6_close_memory(spark, d):
     return io.close_memory(text, ends).select("session_id", "evt_id", "document", "context")
 
 
+@query(f"with {_DOCS} select session_id, evt_id, round(value, 6) as v, document as context from closed")
+def io6_close_vector_memory(spark, d):
+    """The contexts of the vector memory follow those of the text memory."""
+    rows = _memory(spark, d)
+    eeg, text = io.memory_rows(rows)
+    ends = rows.filter(F.col("end_ts").isNotNull()).select("session_id", "evt_id", "end_ts", "duration_sec")
+    out = io.close_vectors(eeg, io.close_memory(text, ends))
+    return out.select("session_id", "evt_id", F.round(F.element_at("embedding", 1), 6).alias("v"), "context")
+
+
 @query(f"with {_DOCS} select session_id, evt_id, document, document as context from closed")
 def io6_close_stored_memory(spark, d):
     """The same on a store: the ends come in two parts, each of which rewrites the buckets of its sessions."""

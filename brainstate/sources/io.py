@@ -91,6 +91,13 @@ def drop_old_versions(spark: SparkSession, path: str, kept: int = 2) -> None:
             fs.delete(x.getPath(), True)
 
 
+def close_vectors(eeg: DataFrame, text: DataFrame) -> DataFrame:
+    """IO6: the vector memory with the contexts that the text memory has for the same events; other rows stay."""
+    new = text.select("session_id", "evt_id", F.col("context").alias("_context"))
+    out = eeg.join(new, ["session_id", "evt_id"], "left")
+    return out.withColumn("context", F.coalesce("_context", "context")).drop("_context")
+
+
 def bucket_of(buckets: int = BUCKETS):
     return F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket")
 

@@ -192,6 +192,81 @@ def test_media_round_trip(values):
         assert thumbnail.shape == (image.height // 8, image.width // 8)
 
 
+def dc_of(data):
+    """DC coefficients and step of a baseline image with one component, bit by bit as the standard's flow charts read it."""
+    at, tables, restart = 2, {}, 0
+    while True:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body, at = data[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xC0:
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        elif marker == 0xDB:
+            step = body[1]
+        elif marker == 0xDD:
+            restart = int.from_bytes(body, "big")
+        elif marker == 0xC4:
+            while body:
+                counts, symbols, code, table = body[1:17], iter(body[17:]), 0, {}
+                for length, n in enumerate(counts, 1):
+                    for _ in range(n):
+                        table[length, code] = next(symbols)
+                        code += 1
+                    code <<= 1
+                tables[body[0]] = table
+                body = body[17 + sum(counts) :]
+        elif marker == 0xDA:
+            break
+    bits, out = iter(()), []
+
+    def refill():
+        nonlocal at
+        while data[at] != 0xFF or data[at + 1] == 0:
+            byte, at = data[at], at + 1 + (data[at] == 0xFF)
+            yield from (byte >> k & 1 for k in range(7, -1, -1))
+
+    def symbol(table):
+        code = length = 0
+        while (length, code) not in table:
+            code, length = code << 1 | next(bits), length + 1
+        return table[length, code]
+
+    def number(size):
+        v = sum(next(bits) << k for k in range(size - 1, -1, -1))
+        return v if not size or v >> size - 1 else v - (1 << size) + 1
+
+    for block in range(-(-width // 8) * -(-height // 8)):
+        if block == 0 or restart and block % restart == 0:
+            at += 2 * (block > 0)  # the restart marker
+            bits, last = refill(), 0
+        last += number(symbol(tables[0x00]))
+        out.append(last)
+        k = 1
+        while k < 64:
+            x = symbol(tables[0x10])
+            if x == 0:
+                break
+            k += (x >> 4) + 1
+            number(x & 15)
+    return np.array(out), step
+
+
+@pytest.mark.parametrize("text", ["", "plain words, many of them. " * 400, "длинный текст " * 300, "\x80\xff" * 700])
+def test_thumbnails_equal_an_independent_decoder(text):
+    raw = text.encode()
+    payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+    (data,) = media.encode([payload])
+    ((_, image, thumbnail),) = media.decode([data])
+    dc, step = dc_of(data)
+    expected = np.clip(dc * step / 8 + 128, 0, 255).reshape(image.rows, image.columns)
+    assert (dc[: len(payload) // 64] == np.frombuffer(payload, np.uint8)[::64].astype(int) - 128).all()
+    assert np.array_equal(thumbnail, expected)
+    rows, columns = expected.shape
+    cut = lambda n, i: slice(i * n // 8, max((i + 1) * n // 8, i * n // 8 + 1))
+    means = np.array([[expected[cut(rows, i), cut(columns, j)].mean() for j in range(8)] for i in range(8)])
+    lighter = [int(means[i, j] > means[i, (j + 1) % 8] + 1e-9) for i in range(8) for j in range(8)]
+    assert media.thumbnail_hash(thumbnail) == f"{int(''.join(map(str, lighter)), 2):016x}"
+
+
 def test_long_media_in_parts():
     payload = np.random.default_rng(0).integers(0, 256, 2 * media.PART + 64 * 77, dtype=np.uint8).tobytes()
     ((back, image, _),) = media.decode(media.encode([payload]))

@@ -37,7 +37,7 @@ ACTION = st.tuples(
 )
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=7, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(ACTION, max_size=30), st.integers(0, 9), st.integers(0, 700), st.sampled_from([3, 256]))
 def test_log_equals_the_loop(spark, made, n_a, n_b, cut):
     messages = [(s, i, "user" if i % 2 else "assistant", f"{s}{i}") for s, n in (("a", n_a), ("b", n_b), ("d", 2)) for i in range(n)]

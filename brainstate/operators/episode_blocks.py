@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brainstate.functions.scoring import NEUTRAL
+from brainstate.operators import episodes as windows
 from brainstate.operators.episodes import episode_duration, open_event, sustained_runs
 from brainstate.sources.shared import stored
 
 #: Seconds of a block.
 BLOCK = 3600.0
+#: Hops that one task sorts.
+WHOLE = 100_000
 _KEYS = ("session_id", "block")
 
 
@@ -118,8 +121,13 @@ def close_event(events: DataFrame, block: float = BLOCK) -> DataFrame:
     return rows.withColumn("end_ts", F.coalesce(after, F.col("reset_ts"))).drop("epoch", "run_id", "reset_ts", "block", "following")
 
 
-def episodes(hops: DataFrame, sustain: float = 3.0, block: float = BLOCK) -> DataFrame:
-    """EP1 to EP7 by blocks: (session_id, evt_id, state, start_ts, vector, end_ts, duration_sec)."""
+def episodes(hops: DataFrame, sustain: float = 3.0, block: float = BLOCK, whole: int = WHOLE) -> DataFrame:
+    """EP1 to EP7: (session_id, evt_id, state, start_ts, vector, end_ts, duration_sec), by blocks if a session has more than `whole` hops.
+
+    Shorter sessions are sorted whole, which gives the same rows with fewer shuffles.
+    """
+    if (hops.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0) <= whole:
+        return windows.episodes(hops, sustain)
     if "vector" not in hops.columns:
         hops = hops.withColumn("vector", F.lit(None).cast("array<double>"))
     tie = [c for c in ("sample_idx",) if c in hops.columns]

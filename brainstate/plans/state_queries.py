@@ -317,7 +317,8 @@ def ep5_open_event(spark, d):
 
 @query(f"with {_HOPS} select session_id, evt_id, epoch_us(end_ts) as end_us from epi")
 def ep6_close_event(spark, d):
-    return _episodes(spark, d).select("session_id", "evt_id", us("end_ts").alias("end_us"))
+    """By blocks of time, as long sessions are."""
+    return eb.episodes(t.hops(spark, d), t.SUSTAIN, t.BLOCK, 0).select("session_id", "evt_id", us("end_ts").alias("end_us"))
 
 
 @query(f"with {_HOPS} select session_id, evt_id, state, duration_sec from epi")

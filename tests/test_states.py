@@ -215,7 +215,8 @@ def test_blocks_of_hops_equal_the_windows(spark):
     assert len(whole) > 30
     for block in (1.0, 5.0, 1e6):
         assert sorted(map(tuple, episode_blocks.label_runs(hops, block).select(columns).collect())) == runs
-        assert sorted(map(repr, episode_blocks.episodes(hops, 3.0, block).select(episodes(hops).columns).collect())) == whole
+        assert sorted(map(repr, episode_blocks.episodes(hops, 3.0, block, 0).select(episodes(hops).columns).collect())) == whole
+    assert sorted(map(repr, episode_blocks.episodes(hops, 3.0).select(episodes(hops).columns).collect())) == whole
     assert episode_blocks.episodes(hops.limit(0)).count() == 0
     plan = episode_blocks.label_runs(hops, 5.0)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"\[session_id#\d+L, block#\d+L\], \[ts#", plan) and not re.search(r"\[session_id#\d+L\], \[ts#", plan)

@@ -75,33 +75,42 @@ def _climbed(base: DataFrame, fanout: int, levels: int) -> DataFrame:
     return rows.withColumn("path", path).drop(*(f"pair_{level}" for level in range(levels)))
 
 
-def goes(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> list[DataFrame]:
-    """leaves (g, pos, n, node, ...), then (g, pos, n, node) of every levels-th level up to one node for each group."""
-    out, size = [leaves], fanout**levels
+def _needed(most: int, fanout: int, levels: int) -> int:
+    """Levels that take `most` nodes to one, at most `levels`."""
+    n = 0
+    while n < levels and fanout**n < most:
+        n += 1
+    return n
+
+
+def goes(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> list[tuple[DataFrame, int]]:
+    """leaves (g, pos, n, node, ...), then (g, pos, n, node) of the nodes that each go ends with, up to one for each group; with
+    each the levels that are made from it, levels of them but for the last go."""
     most = leaves.agg(F.max("n")).first()[0] or 0
+    out, now = [], leaves
     while most > 1:
-        rows = _climbed(out[-1].select("g", "pos", "n", "node"), fanout, levels)
+        here = _needed(most, fanout, levels)
+        out.append((now, here))
+        size = fanout**here
+        rows = _climbed(now.select("g", "pos", "n", "node"), fanout, here)
         tops = rows.filter(F.pmod("pos", F.lit(size)) == 0).select(
             "g", F.col("block").alias("pos"), F.ceil(F.col("n") / F.lit(size)).alias("n"), F.col("top").alias("node")
         )
-        out.append(stored(tops, "nodes"))
-        most = ceil(most / size)
-    return out
+        now, most = stored(tops, "nodes"), ceil(most / size)
+    return [*out, (now, 0)]
 
 
-def with_paths(levels_of: list[DataFrame], above: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+def with_paths(made: list[tuple[DataFrame, int]], above: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The leaves of goes() with path, all their siblings from below, and the columns of above (g, path, ...)."""
     up = above.withColumn("pos", F.lit(0).cast("long"))
     carried = [c for c in above.columns if c not in ("g", "path")]
-    for base in reversed(levels_of[:-1]):
+    for base, levels in reversed(made[:-1]):
         rows = _climbed(base, fanout, levels)
         upper = up.select("g", F.col("pos").alias("block"), F.col("path").alias("upper_path"), *carried)
         # Both sides are dealt by group and block already.
         joined = rows.join(upper, ["g", "block"])
         up = joined.select(*base.columns, F.concat("path", "upper_path").alias("path"), *carried)
-    if len(levels_of) == 1:
-        up = levels_of[0].join(up.drop("pos"), "g")
-    return up
+    return made[0][0].join(up.drop("pos"), "g") if len(made) == 1 else up
 
 
 def _in_order(rows: DataFrame, name: str, *order: str) -> DataFrame:
@@ -133,11 +142,11 @@ def manifest(
         docs.select(named(order).alias("id"), named(group).alias("of"), key.alias("g"), true.alias("node"), other.alias("copy")), "leaves"
     )
     trees = goes(stored(_in_order(leaves, "leaves", "id", "node"), "leaves"), fanout, levels)
-    roots = trees[-1].select(F.lit("").alias("g"), F.col("g").alias("group"), "node")
+    roots = trees[-1][0].select(F.lit("").alias("g"), F.col("g").alias("group"), "node")
     tops = goes(stored(_in_order(roots, "roots", "group"), "roots"), fanout, levels)
-    whole = tops[-1].select("g", F.array().cast("array<struct<left:string,right:string>>").alias("path"), F.col("node").alias("root"))
-    groups = with_paths(tops, whole, fanout, levels).select(F.col("group").alias("g"), "path", F.col("node").alias("subroot"), "root")
-    rows = with_paths(trees, groups, fanout, levels)
+    whole = tops[-1][0].select("g", F.array().cast("array<struct<left:string,right:string>>").alias("path"), F.col("node").alias("root"))
+    groups = with_paths(tops, whole, fanout).select(F.col("group").alias("g"), "path", F.col("node").alias("subroot"), "root")
+    rows = with_paths(trees, groups, fanout)
     folded = F.aggregate("path", F.col("copy"), lambda now, x: digest(x["left"], now, x["right"]))
     return rows.select(
         F.col("id").alias(order), F.col("of").alias(group), F.col("node").alias("leaf"), "pos", "n", "path", "subroot", "root",

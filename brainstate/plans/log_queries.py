@@ -15,7 +15,7 @@ from brainstate.operators import trials as tr
 from brainstate.operators.chat_log import apply_log
 from brainstate.plans import state_queries as st
 from brainstate.plans import tables as t
-from brainstate.sources import io
+from brainstate.sources import chunks, io
 from brainstate.sources.shared import new_folder, stored
 from brainstate.streaming import streams
 
@@ -607,6 +607,31 @@ def io1_read_sample_stream(spark, d):
     return out.join(exact, out.sample_idx == exact.event_id).select("event_id", F.col("session_id").cast("long").alias("user_id"), us("ts").alias("us"), "value")
 
 
+@query(
+    """with s as (select event_type, value, row_number() over (partition by event_type order by ts, event_id) - 1 as idx from events)
+    select event_type as session_id, idx // 250 as batch, count(*) as n, min(idx) as first_idx, max(idx) as last_idx,
+        cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents
+    from s group by 1, 2"""
+)
+def io1_sample_chunks(spark, d):
+    """A recording of each event type, pulled in chunks of at most 250 samples: what each micro-batch had of each."""
+    folder = new_folder(spark, "chunks")
+    schema = "session_id string, sample_idx long, ts timestamp, ch array<double>"
+    chunks.write_chunks(t.samples(spark, d), f"{folder}/in")
+    # A batch that runs again replaces what it wrote.
+    put = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+    stream = chunks.read_chunks(spark, f"{folder}/in", schema).writeStream.foreachBatch(put)
+    running = stream.option("checkpointLocation", f"{folder}/checkpoint").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    rows = spark.read.schema(f"{schema}, batch long").option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    cents = F.sum(F.round(F.col("ch")[0] * 100).cast("long"))
+    of = F.count("*").alias("n"), F.min("sample_idx").alias("first_idx"), F.max("sample_idx").alias("last_idx")
+    return rows.groupBy("session_id", "batch").agg(*of, cents.alias("cents"))
+
+
 @query(
     f"""with {st._PSD} select session_id, win_id * 4 as start_idx, round(theta, 4) as theta, round(alpha, 4) as alpha, round(beta, 4) as beta from ft3"""
 )

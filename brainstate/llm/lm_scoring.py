@@ -18,6 +18,12 @@ frequent n-gram is one entry for each block, however often it occurs. Each range
 the blocks' own counts and answers in the order that was asked; nothing but
 runs of numbers is shuffled, and no table of n-grams is broadcast.
 
+Blocks and ranges both grow with the corpus, so they meet in a tree: at most FAN blocks, about, are
+merged into a run of blocks, range by range, and each range of a run is cut again, into FAN ranges at
+most, before it meets the same range of other runs. What the last level knows is handed down again,
+level by level. A block has FAN rows a level for each order at most, beyond one level; one level is enough
+for FAN blocks (32 GB of text) and two for their square.
+
 Defined results: a null text counts as empty and has the end token alone. Rows with
 equal or null ids are scored one by one; a null id counts as the empty text in crc32. With
 no training text every estimate is uniform.
@@ -45,6 +51,10 @@ HELD = 4
 #: Bytes of text in a block, about, and n-grams in a range, about.
 BLOCK_BYTES = 8 << 20
 RANGE = 1_500_000
+#: Blocks that are merged at once, about, and ranges of a level of the tree.
+FAN = 4096
+#: Blocks or ranges in a task, about.
+A_TASK = 8
 #: Steps of the grid in an octave, and steps of expectation-maximisation.
 GRID = 8
 STEPS = 100
@@ -191,26 +201,65 @@ class Block:
         return by_word[self.before], by_word[self.tokens], pairs[self.pair_of]
 
 
+def _cut(order: int, block: int, parts: range, whole: int, keys: np.ndarray, kept: np.ndarray, held: np.ndarray) -> list[tuple]:
+    """Rows of _ASKED: a sorted run of n-grams, cut at the borders of some of all the ranges."""
+    borders = np.array([(i << 64) // whole for i in parts[1:]], np.uint64)
+    cuts = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
+    rows = []
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        at = slice(cuts[i], cuts[i + 1])
+        rows.append((order, parts[i], block, _pack_sorted(keys[at]), _pack(kept[at]), _pack(held[at])))
+    return rows
+
+
+def _arrays(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
+    return pa.Table.from_arrays(columns, [name for name, _ in fields])
+
+
 def _asking(parts: int):
-    """Rows of _ASKED: sorted runs of the block's n-grams, cut at the borders of the ranges."""
-    borders = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    """Rows of _ASKED: the block's n-grams by ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 block = Block(row)
                 kept = block.own_counts(~np.isin(block.folds, (EVALUATED, HELD)))
                 held = block.own_counts(block.folds == HELD)
-                rows: list[tuple] = []
                 for order, keys in ((1, block.single), (2, block.pair)):
-                    cuts = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
-                    for part in np.flatnonzero(np.diff(cuts)).tolist():
-                        at = slice(cuts[part], cuts[part + 1])
-                        own = (_pack_sorted(keys[at]), _pack(kept[order - 1][at]), _pack(held[order - 1][at]))
-                        rows.append((order, part, row["block"], *own))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ASKED.split(", ")])
+                    rows = _cut(order, row["block"], range(parts), parts, keys, kept[order - 1], held[order - 1])
+                    yield from _arrays(rows, _ASKED).to_batches()
+
+    return run
+
+
+def _merged(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct n-grams of some rows of _ASKED, and for each row the places of its own among them."""
+    runs = [_unpack_sorted(r["keys"]) for r in rows]
+    keys, inverse = np.unique(np.concatenate(runs), return_inverse=True)
+    return keys, np.split(inverse, np.cumsum([len(r) for r in runs])[:-1])
+
+
+def _sums(rows: list[dict], places: list[np.ndarray], column: str, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for r, own in zip(rows, places, strict=True):
+        out[own] += _unpack(r[column]).astype(np.int64)  # a row's n-grams are distinct
+    return out
+
+
+def _merging(whole: int, cut: int):
+    """For a range of a run of blocks: the run's own rows of _ASKED, as if it were one block, this range cut again."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        keys, places = _merged(rows)
+        kept, held = (_sums(rows, places, c, len(keys)) for c in ("kept", "held"))
+        part = rows[0]["part"]
+        parts = range(part * cut, (part + 1) * cut)
+        return _arrays(_cut(rows[0]["order"], rows[0]["run"], parts, whole * cut, keys, kept, held), _ASKED)
 
     return run
 
@@ -218,21 +267,54 @@ def _asking(parts: int):
 def _answer(asked: pa.Table) -> pa.Table:
     """For one range: the sums over all blocks, to each block in the order of its run."""
     rows = asked.to_pylist()
-    runs = [_unpack_sorted(r["keys"]) for r in rows]
-    keys, inverse = np.unique(np.concatenate(runs), return_inverse=True)
-    kept = np.bincount(inverse, np.concatenate([_unpack(r["kept"]) for r in rows]), len(keys)).astype(np.int64)
-    held = np.bincount(inverse, np.concatenate([_unpack(r["held"]) for r in rows]), len(keys)).astype(np.int64)
+    keys, places = _merged(rows)
+    kept, held = (_sums(rows, places, c, len(keys)) for c in ("kept", "held"))
     every = kept + held
-    out, at = [], 0
-    for r, run in zip(rows, runs, strict=True):
-        own = inverse[at : at + len(run)]
-        # The sums of the range are told once, in its first row.
-        sums = (int(kept.sum()), int(every.sum()), int((every > 0).sum())) if at == 0 else (0, 0, 0)
-        out.append((r["order"], r["part"], r["block"], _pack(kept[own]), _pack(every[own]), *sums))
-        at += len(run)
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-    return pa.Table.from_arrays(columns, [x.split()[0] for x in _ANSWERED.split(", ")])
+    # The sums of the range are told once, in its first row.
+    sums = int(kept.sum()), int(every.sum()), int((every > 0).sum())
+    out = [
+        (r["order"], r["part"], r["block"], _pack(kept[own]), _pack(every[own]), *(sums if i == 0 else (0, 0, 0)))
+        for i, (r, own) in enumerate(zip(rows, places, strict=True))
+    ]
+    return _arrays(out, _ANSWERED)
+
+
+def _handing_down(key, asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """For a range of a run of blocks: what the run was answered, to each of its blocks in the order of its own."""
+    rows = asked.to_pylist()
+    _, places = _merged(rows)
+    told = answers.sort_by("part").to_pylist()
+    kept, every = (np.concatenate([_unpack(r[c]).astype(np.int64) for r in told]) for c in ("kept", "all"))
+    out = [(r["order"], r["part"], r["block"], _pack(kept[own]), _pack(every[own]), 0, 0, 0) for r, own in zip(rows, places, strict=True)]
+    return _arrays(out, _ANSWERED)
+
+
+def answered(blocks: DataFrame, n_blocks: int, n_tokens: int, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """Rows of _ANSWERED for all blocks, and those of the last level, which alone tell the sums."""
+    least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = max(least, -(-2 * n_tokens // RANGE))
+    parts = min(fan, needed) if n_blocks > fan else needed
+    levels: list[tuple[DataFrame, int, int]] = []
+    asked, whole, runs = blocks.mapInArrow(_asking(parts), _ASKED), parts, n_blocks
+    while runs > fan:
+        runs = -(-runs // fan)
+        # Blocks have any numbers, runs those from 0; each level deals them anew.
+        asked = asked.withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs)))
+        tasks = max(least, whole * runs // A_TASK)
+        dealt = asked.repartition(tasks, "order", "part", "run")
+        cut = max(1, min(fan, -(-needed // whole)))
+        levels.append((dealt, tasks, cut))
+        asked = stored(dealt.groupBy("order", "part", "run").applyInArrow(_merging(whole, cut), _ASKED), "asked")
+        whole *= cut
+    last = stored(
+        asked.repartition(max(least, whole // A_TASK), "order", "part").groupBy("order", "part").applyInArrow(_answer, _ANSWERED), "answers"
+    )
+    answers = last
+    for dealt, tasks, cut in reversed(levels):
+        told = answers.withColumn("run", F.col("block")).withColumn("range", F.floor(F.col("part") / cut).cast("long"))
+        told = told.repartition(tasks, "order", "range", "run").groupBy("order", "range", "run")
+        answers = dealt.groupBy("order", "part", "run").cogroup(told).applyInArrow(_handing_down, _ANSWERED)
+    return (stored(answers, "answers") if levels else last), last
 
 
 def _told(answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -321,20 +403,18 @@ def _scoring(n: int, v: int, weights: dict[int, tuple[float, float, float]]):
     return run
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """Scores of docs (doc_id, text) by a model of those outside the evaluated fold."""
-    spark = docs.sparkSession
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = stored(rows.mapInArrow(_blocked(block_bytes), _BLOCK), "blocks")
-    total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // RANGE))
-    answers = stored(
-        blocks.mapInArrow(_asking(parts), _ASKED).groupBy("order", "part").applyInArrow(_answer, _ANSWERED), "answers"
-    )
-    n_kept, n, v = answers.filter("order = 1").agg(F.sum("n_kept"), F.sum("n_all"), F.sum("v_all")).first()
+    n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    answers, last = answered(blocks, n_blocks, total, fan)
+    n_kept, n, v = last.filter("order = 1").agg(F.sum("n_kept"), F.sum("n_all"), F.sum("v_all")).first()
     n_kept, n, v = n_kept or 0, n or 0, v or 0
-    both = lambda column: blocks.groupBy("block").cogroup(
-        answers.select("block", "order", "part", column).groupBy("block")
+    tasks = max(least, n_blocks // A_TASK)
+    both = lambda column: blocks.repartition(tasks, "block").groupBy("block").cogroup(
+        answers.select("block", "order", "part", column).repartition(tasks, "block").groupBy("block")
     )
     cells = (
         both("kept")

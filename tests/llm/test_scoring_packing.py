@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brainstate.llm import lm_scoring as lm
@@ -94,6 +95,32 @@ def test_lm_equals_brute_force(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_by_levels_equals_one_level(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one = {r.doc_id: r for r in lm.score(docs, block_bytes=10_000).collect()}
+    monkeypatch.setattr(lm, "RANGE", 5_000)
+    merges = []
+    merging = lm._merging
+    monkeypatch.setattr(lm, "_merging", lambda whole, cut: merges.append((whole, cut)) or merging(whole, cut))
+    assert {r.doc_id: r for r in lm.score(docs, block_bytes=10_000, fan=5).collect()} == one
+    assert len(merges) >= 2 and merges[0] == (5, 5)
+
+
+def test_rows_asked_grow_with_the_blocks(spark, small, monkeypatch):
+    """No block has more than `fan` rows an order, however many blocks and ranges there are."""
+    monkeypatch.setattr(lm, "RANGE", 500)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    blocks = lm.stored(docs.mapInArrow(lm._blocked(10_000), lm._BLOCK), "blocks")
+    n, tokens = blocks.agg(F.count("*"), F.sum("n_tokens")).first()
+    answers, last = lm.answered(blocks, n, tokens, 6)
+    rows = answers.groupBy("order", "block").count()
+    assert rows.count() == 2 * n and rows.filter("count > 6").count() == 0
+    words = docs.collect()
+    training = [x for r in words if lm.fold_of(r.doc_id) != lm.EVALUATED for x in [*lm.tokens_of(r.text), b""]]
+    sums = last.filter("order = 1").agg(F.sum("n_all"), F.sum("v_all")).first()
+    assert tuple(sums) == (len(training), len(set(training)))
+
+
 def test_lm_edges(spark):
     got = {r.doc_id: r for r in lm.score(documents(spark)).collect()}
     assert got[3].n_tokens == got[4].n_tokens == got[9].n_tokens == 1

@@ -45,19 +45,21 @@ def rolling_mean(metrics: DataFrame, column: str, n: int = 60) -> DataFrame:
 
 def poll_metrics(metrics: DataFrame, columns: list[str], seconds: int = 1) -> DataFrame:
     """DW2: ticks of each session from its first whole tick on, with the latest values at or before each."""
+    w = Window.partitionBy("session_id").orderBy("us")
+    rows = metrics.select("session_id", F.unix_micros("ts").alias("us"), *columns)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = [F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns]
+    return ticks_of(rows.select("session_id", "us", F.lead("us").over(w).alias("next_us"), *latest), columns, seconds)
+
+
+def ticks_of(points: DataFrame, columns: list[str], seconds: int) -> DataFrame:
+    """DW2 from points that know when the next one of their session comes (next_us)."""
     step = seconds * 1_000_000
     # A point stands for the ticks from its time to before the next point's, the last one for the tick after it too.
     # They are made an hour of ticks at a time, so that no row holds the ticks of a long gap.
-    w = Window.partitionBy("session_id").orderBy("us")
     tick = lambda us: F.ceil(us / F.lit(step)).cast("long")
-    rows = metrics.select("session_id", F.unix_micros("ts").alias("us"), *columns)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select(
-        "session_id",
-        tick(F.col("us")).alias("first"),
-        F.coalesce(tick(F.lead("us").over(w)), tick(F.col("us")) + 1).alias("end"),
-        *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns],
-    ).filter("first < end")
+    end = F.coalesce(tick(F.col("next_us")), tick(F.col("us")) + 1)
+    rows = points.select("session_id", tick(F.col("us")).alias("first"), end.alias("end"), *columns).filter("first < end")
     runs = rows.withColumn("from", F.explode(F.sequence("first", F.col("end") - 1, F.lit(3600).cast("long"))))
     ticks = F.sequence("from", F.least(F.col("from") + 3600, F.col("end")) - 1)
     out = runs.withColumn("tick", F.explode(ticks))

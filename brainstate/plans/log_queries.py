@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brainstate.functions import text as sc
 from brainstate.operators import chat as ch
 from brainstate.operators import dashboard as dw
+from brainstate.operators import dashboard_ranges as dwr
 from brainstate.operators import retrieval as rt
 from brainstate.operators import sections
 from brainstate.operators import signal as sp
@@ -287,7 +288,7 @@ def dw1_rolling_history(spark, d):
     window w as (partition by session_id order by ts rows between 59 preceding and current row)"""
 )
 def dw1_rolling_mean(spark, d):
-    return dw.rolling_mean(_metrics(spark, d), "value").select("event_id", "points", F.col("mean").cast("float"))
+    return dwr.rolling_mean(_metrics(spark, d), "value").select("event_id", "points", F.col("mean").cast("float"))
 
 
 @query(
@@ -297,12 +298,12 @@ def dw1_rolling_mean(spark, d):
     select k.session_id, k.us, m.value from ticks k asof join m on k.session_id = m.session_id and k.us >= m.us"""
 )
 def dw2_poll_metrics(spark, d):
-    return dw.poll_metrics(_metrics(spark, d), ["value"], 3600).select("session_id", "us", "value")
+    return dwr.poll_metrics(_metrics(spark, d), ["value"], 3600).select("session_id", "us", "value")
 
 
 @query(f"with {_MET} select event_id, last_value(focus_idx ignore nulls) over (partition by session_id order by ts) as focus_idx from met")
 def dw3_carry_forward(spark, d):
-    return dw.carry_forward(_metrics(spark, d), ["focus_idx"]).select("event_id", "focus_idx")
+    return dwr.carry_forward(_metrics(spark, d), ["focus_idx"]).select("event_id", "focus_idx")
 
 
 @query(
@@ -312,9 +313,8 @@ def dw3_carry_forward(spark, d):
     select session_id, event_id, stamp from q where coalesce(stamp, 0) > coalesce(seen, 0)"""
 )
 def dw4_new_events_only(spark, d):
-    w = Window.partitionBy("session_id").orderBy("ts")
-    polled = _metrics(spark, d).withColumn("poll_no", F.row_number().over(w))
-    return dw.new_events_only(polled, "poll_no", "fatigue_idx").select("session_id", "event_id", F.col("fatigue_idx").alias("stamp"))
+    out = dwr.new_events_only(_metrics(spark, d), "ts", "fatigue_idx")
+    return out.select("session_id", "event_id", F.col("fatigue_idx").alias("stamp"))
 
 
 @query("select event_id, round_even((value * 3)::decimal(38, 6), 1)::double as shown from events")

@@ -25,14 +25,22 @@ def read_recording(spark: SparkSession, recordings: str, cues: str) -> tuple[Dat
 
 
 def read_chat_store(spark: SparkSession, path: str) -> DataFrame:
-    """IO3: nested chat JSON; a missing or broken file gives no rows."""
+    """IO3: nested chat JSON; a missing or broken file gives no rows.
+
+    A file holds one document over any number of lines, or documents of a line each, as write_chat_store makes them. Files of
+    lines are split among tasks; only the others are read whole.
+    """
+    stores = lambda **options: spark.read.schema(schemas.CHAT_STORE).json(path, mode="DROPMALFORMED", **options)
+    filled = lambda rows: rows.filter(F.col("chat_sessions").isNotNull()).select("*", F.col("_metadata.file_path").alias("_file"))
     try:
-        rows = spark.read.schema(schemas.CHAT_STORE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-        return rows.filter(F.col("chat_sessions").isNotNull())
+        lines, whole = filled(stores()), filled(stores(multiLine=True))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.CHAT_STORE)
+    # A reader of whole files gives the first document alone, so it is for files of which no line is a document.
+    of_lines = F.broadcast(lines.select("_file").distinct())  # a name for each file
+    return lines.unionByName(whole.join(of_lines, "_file", "left_anti")).drop("_file")
 
 
 def write_chat_store(messages: DataFrame, path: str, counter: int, current: str | None, store: str | None = None) -> None:

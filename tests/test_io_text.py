@@ -41,6 +41,19 @@ def test_missing_and_broken_store(spark, tmp_path):
     assert io.read_chat_store(spark, str(tmp_path / "b.json")).count() == 0
 
 
+def test_files_of_one_and_of_many_stores(spark, tmp_path):
+    rows = [(s, k, f"s{k}", f"t{k}", i, "user", f"{s} {k}\n{i}") for s in range(7) for k in (2 * s, 2 * s + 1) for i in range(3)]
+    written = spark.createDataFrame(rows, "store long, session_order long, session_id string, title string, turn long, role string, text string")
+    out = tmp_path / "out"
+    io.write_chat_store(written.coalesce(1), str(out), 1, None, "store")  # seven documents in a file
+    (out / "one.json").write_text(json.dumps(STORE, ensure_ascii=False, indent=2))
+    lines = [json.dumps({"chat_sessions": {k: {"title": k, "messages": [{"role": "user", "content": "m"}]}}}) for k in ("x", "y")]
+    (out / "broken.json").write_text("\n".join([lines[0], "{not json", lines[1]]))
+    got = ch.flatten_sessions(io.read_chat_store(spark, str(out))).select("session_id", "turn", "text").collect()
+    expected = [(k, i, x) for _, _, k, _, i, _, x in rows] + [("x", 0, "m"), ("y", 0, "m"), ("session_2", 0, "你好"), ("session_2", 1, "x"), ("session_1", 0, "q")]
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_clear_memory(spark, tmp_path):
     paths = [str(tmp_path / x) for x in ("eeg", "text")]
     rows = spark.sql("select 's' as session_id, 'e' as evt_id, array(1D) as vector, 'd' as document, 'c' as context, timestamp'2024-01-01' as start_ts")

@@ -10,7 +10,9 @@ from brainstate.functions.vectors import cosine_distance
 from brainstate.operators import chat as ch
 from brainstate.operators.pruned import asking, clustered
 from brainstate.operators.retrieval import nearest_prior
+from brainstate.plans import log_queries
 from brainstate.sources import io
+from compare import same
 
 STORE = {
     "chat_sessions": {
@@ -54,6 +56,14 @@ def test_files_of_one_and_of_many_stores(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_queries_of_many_stores(spark, tmp_path):
+    rows = [(c, i, ("user", "assistant")[i % 2], f"{c} \n 你好 {i}") for c in range(0, 950, 7) for i in range(1 + c % 4)]
+    said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    said.toPandas().to_parquet(tmp_path / "conversations.parquet")
+    for name in ("io3_read_chat_store", "io4_write_chat_store"):
+        same(log_queries.QUERIES[name](spark, str(tmp_path)), log_queries.SQL[name], str(tmp_path))
+
+
 def test_clear_memory(spark, tmp_path):
     paths = [str(tmp_path / x) for x in ("eeg", "text")]
     rows = spark.sql("select 's' as session_id, 'e' as evt_id, array(1D) as vector, 'd' as document, 'c' as context, timestamp'2024-01-01' as start_ts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cue codes and their labels, channel places from 0, and epochs in seconds around a cue.
@@ -65,14 +65,32 @@ def epoch_join(
     return cut.filter(F.col("t").between(F.col("t0"), F.col("t1"))).drop("bucket", "t0", "t1")
 
 
+def _variance(held: Column, channel: str) -> Column:
+    """Population variance of a field of an array's elements, nulls left out, summed in the array's order."""
+    state = lambda n, mean, squares: F.struct(n.alias("n"), mean.alias("mean"), squares.alias("squares"))
+
+    def add(s: Column, sample: Column) -> Column:
+        x = sample[channel]
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.when(x.isNull(), s).otherwise(state(s["n"] + 1, mean, s["squares"] + (x - mean) * (x - s["mean"])))
+
+    zero = F.lit(0.0)
+    return F.aggregate(held, state(zero, zero, zero), add, lambda s: F.try_divide(s["squares"], s["n"]))
+
+
 def epoch_variance(cut: DataFrame) -> DataFrame:
-    """TR4: population variance of each channel in both epochs of a trial; a trial needs samples in both."""
-    columns = [
-        F.var_pop(F.when(F.col("epoch") == e, F.col(c).cast("double"))).alias(f"{e}_{c}")
-        for e in EPOCHS
-        for c in CHANNELS
-    ]
-    return cut.groupBy("session_id", "trial_id", "label").agg(*columns).dropna(subset=["base_c3", "task_c3"])
+    """TR4: population variance of each channel in both epochs of a trial; a trial needs samples in both.
+
+    Samples are summed in the order of time (and sample_idx, if they have it), so that the last bits don't depend on how rows are dealt.
+    """
+    order = ["t", *(c for c in ("sample_idx",) if c in cut.columns)]
+    sample = F.struct(*order, *[F.col(c).cast("double").alias(c) for c in CHANNELS])
+    of = lambda e, x: F.when(F.col("epoch") == e, x)
+    held = cut.groupBy("session_id", "trial_id", "label").agg(
+        *[F.count(of(e, F.col("c3"))).alias(f"n_{e}") for e in EPOCHS], *[F.sort_array(F.collect_list(of(e, sample))).alias(e) for e in EPOCHS]
+    )
+    columns = [_variance(F.col(e), c).alias(f"{e}_{c}") for e in EPOCHS for c in CHANNELS]
+    return held.filter(" and ".join(f"n_{e} > 0" for e in EPOCHS)).select("session_id", "trial_id", "label", *columns)
 
 
 def erd_percent(variances: DataFrame, eps: float = EPS) -> DataFrame:
@@ -84,11 +102,17 @@ def erd_percent(variances: DataFrame, eps: float = EPS) -> DataFrame:
     return variances.withColumns(change)
 
 
+def half_even(x: Column, places: int) -> Column:
+    """A double with so many decimals, as numpy and SQL engines round: the nearest whole multiple, ties to even."""
+    scale = F.lit(10.0**places)
+    return F.rint(x * scale) / scale
+
+
 def trial_features(erd: DataFrame) -> DataFrame:
     """TR6: label, ERDs with two decimals, and the vector of the unrounded ones."""
     names = [f"{c}_erd" for c in CHANNELS]
     vector = F.array(*names).alias("vector")
-    return erd.select("session_id", "trial_id", "label", *[F.bround(n, 2).alias(n) for n in names], vector)
+    return erd.select("session_id", "trial_id", "label", *[half_even(F.col(n), 2).alias(n) for n in names], vector)
 
 
 def trial_report(trials: DataFrame, nearest: DataFrame) -> DataFrame:

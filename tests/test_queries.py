@@ -2,7 +2,9 @@
 
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from compare import same
 
@@ -56,3 +58,26 @@ def test_entry(spark):
 def test_no_recording_is_broadcast(spark, small):
     """Small files of long recordings look like small tables."""
     assert "Broadcast" not in QUERIES["io2_read_recording"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_decimals_of_large_changes(spark):
+    """Near ties of large doubles go as in SQL."""
+    whole = np.random.default_rng(5).integers(10**8, 10**9, 4000) + 0.005 * np.random.default_rng(6).integers(0, 200, 4000)
+    values = pd.DataFrame({"trial_id": range(12000), "x": np.concatenate([whole, np.nextafter(whole, 0), -np.nextafter(whole, 1e9)])})
+    rows = spark.createDataFrame(values).selectExpr("1L as session_id", "trial_id", "'l' as label", "x as c3_erd", "x / 1e8 as cz_erd", "x as c4_erd")
+    got = log_queries.tr.trial_features(rows).toPandas().sort_values("trial_id")
+    sql = duckdb.sql("select round_even(x, 2) as c3, round_even(x / 1e8, 2) as cz from values order by trial_id").df()
+    assert (got["c3_erd"].to_numpy() == sql["c3"].to_numpy()).all() and (got["cz_erd"].to_numpy() == sql["cz"].to_numpy()).all()
+
+
+def test_variances_of_rows_in_any_order(spark):
+    """The last bits don't depend on how rows are dealt."""
+    x = np.random.default_rng(7).normal(100, 1, 3000)
+    rows = pd.DataFrame({"session_id": 1, "trial_id": np.arange(3000) % 30, "label": "l", "epoch": np.where(np.arange(3000) % 4 < 2, "base", "task"), "sample_idx": np.arange(3000), "t": np.arange(3000) / 9.0, "c3": x, "cz": x * 2, "c4": x * x})
+    results = []
+    for order in (rows, rows[::-1], rows.sample(frac=1, random_state=1)):
+        made = log_queries.tr.epoch_variance(spark.createDataFrame(order).repartition(3)).toPandas()
+        results.append(made.sort_values("trial_id").to_numpy().tolist())
+    assert results[0] == results[1] == results[2]
+    one = rows[(rows.trial_id == 3) & (rows.epoch == "task")]
+    assert results[0][3][6] == pytest.approx(one.c3.var(ddof=0), rel=1e-12)

@@ -55,10 +55,10 @@ class ChunkFile(InputPartition):
 
 
 class ChunkReader(DataSourceStreamReader):
-    """Offsets are chunk numbers; each batch is the next chunk of all sessions."""
+    """Offsets are chunk numbers; each batch is the next chunk of all sessions, or so many next ones."""
 
-    def __init__(self, path: str, schema: pa.Schema):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: pa.Schema, admitted: int = 1):
+        self.path, self.schema, self.admitted = path, schema, admitted
         files, root = opened(path)
         ends = pads.dataset(f"{root}/ends", filesystem=files).to_table().to_pylist()[0]
         self.first, self.end, self.chunks = ends["first"], ends["end"], ends["chunks"]
@@ -70,7 +70,7 @@ class ChunkReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         # A query that is restarted plans the last batch of its log again before it asks, so planned is where it stands.
         at = self.first if self.planned is None else self.planned
-        return {"chunk": min(at + 1, self.end)}
+        return {"chunk": min(at + self.admitted, self.end)}
 
     def partitions(self, start: dict, end: dict) -> list[ChunkFile]:
         first, last = start["chunk"], end["chunk"]
@@ -104,14 +104,24 @@ class SampleChunks(DataSource):
         return self.options.get("samples", schemas.SAMPLES)
 
     def streamReader(self, schema) -> ChunkReader:
-        return ChunkReader(self.options["path"], to_arrow_schema(schema))
+        return ChunkReader(self.options["path"], to_arrow_schema(schema), int(self.options.get("chunks", 1)))
 
 
-def read_chunks(spark: SparkSession, path: str, schema: str = schemas.SAMPLES) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, schema: str = schemas.SAMPLES, chunks: int = 1) -> DataFrame:
     """IO1: a stream of a recording of write_chunks. A micro-batch has the next chunk of each session, one task for each file that may hold it.
 
+    A long recording that is caught up with may have more chunks a micro-batch, as each one has a price of its own: chunks is their number, and a
+    column chunk long in the schema tells them apart.
     It goes on where its checkpoint ends, without losing or repeating a sample. It is to be run with a trigger of processing time: a run
     with availableNow asks once for the newest offset, so it is one chunk. path is one that Arrow can open on driver and executors.
     """
     spark.dataSource.register(SampleChunks)
-    return spark.readStream.format("sample_chunks").option("samples", schema).load(path)
+    if chunks < 1:
+        raise ValueError("chunks is at least 1")
+    return spark.readStream.format("sample_chunks").option("samples", schema).option("chunks", chunks).load(path)
+
+
+def chunks_of(spark: SparkSession, path: str, batches: int) -> int:
+    """Chunks a micro-batch with which a recording takes at most so many of them."""
+    ends = spark.read.schema("first long, end long").parquet(f"{path}/ends").first()
+    return max(-(-(ends["end"] - ends["first"]) // batches), 1)

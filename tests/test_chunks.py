@@ -6,7 +6,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from brainstate.sources.chunks import ChunkReader, opened, read_chunks, write_chunks
+from brainstate.sources.chunks import ChunkReader, chunks_of, opened, read_chunks, write_chunks
 
 SCHEMA = "session_id string, sample_idx long, ts timestamp, ch array<float>"
 
@@ -105,3 +105,18 @@ def test_paths_that_arrow_opens(tmp_path):
     for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
         files, root = opened(path)
         assert isinstance(files, pafs.LocalFileSystem) and root == str(tmp_path)
+
+
+def test_more_chunks_a_batch_on_long_recordings(spark, folder):
+    """The number of batches doesn't follow the recording; chunks are the same."""
+    write_chunks(recording(spark, [(s, i) for s in "ab" for i in range(-15, 95)]), f"{folder}/in", 10, 3)
+    assert [chunks_of(spark, f"{folder}/in", n) for n in (1, 4, 12, 100)] == [12, 3, 1, 1]
+    got = []
+    each = lambda rows, batch: got.append([(r.chunk, r.session_id, r.sample_idx) for r in rows.collect()])
+    running = read_chunks(spark, f"{folder}/in", f"{SCHEMA}, chunk long", 5).writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert [sorted({c for c, *_ in batch}) for batch in got] == [[-2, -1, 0, 1, 2], [3, 4, 5, 6, 7], [8, 9]]
+    assert sorted(r for batch in got for r in batch) == sorted((i // 10, s, i) for s in "ab" for i in range(-15, 95))

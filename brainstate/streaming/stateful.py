@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from brainstate.functions.scoring import NEUTRAL
@@ -151,46 +152,62 @@ class Debounce:
 class EpisodeLog(StatefulProcessor):
     """Starts and ends of a session's episodes, from hops in any order within the watermark's delay.
 
-    Hops wait until the watermark has passed them and are then taken in order. What stays is the machine's five values
-    and the hops that wait. A session without hops for the idle time is forgotten, and begins anew if it comes back.
+    Hops wait until the watermark has passed them and are then taken in order. What stays is the machine's five values, the
+    timer and the hops that wait, as one value: a call for a session reads it once and writes it once, whatever the number of hops.
+    A session without hops for the idle time is forgotten, and begins anew if it comes back.
     """
 
     COLUMNS = ("session_id", "action", "evt_id", "at_us", "state", "vector")
+    STATE = "candidate string, first_seen long, last_reported string, active string, last_us long, timer long, waiting binary"
+    HOPS = pa.schema([("us", pa.int64()), ("tie", pa.int64()), ("label", pa.string()), ("vector", pa.list_(pa.float64()))])
 
     def __init__(self, sustain: float, idle_us: int):
         self.sustain, self.idle_us = sustain, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.machine = handle.getValueState("machine", "candidate string, first_seen long, last_reported string, active string, last_us long")
-        self.waiting = handle.getListState("waiting", "us long, tie long, label string, vector array<double>")
+        self.held = handle.getValueState("held", self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [x for r in rows for x in zip(r["us"].tolist(), r["tie"].tolist(), r["label"].tolist(), r["vector"].tolist(), strict=True)]
+        new = [pa.table([pa.array(r[f.name].tolist(), f.type) for f in self.HOPS], schema=self.HOPS) for r in rows]
         yield self._settled(key, new, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        out = self._settled(key, [], now)
-        if self.machine.exists() and not self.waiting.exists() and self.machine.get()[4] + self.idle_us <= now:
-            self.machine.clear()
-            wait(self.handle)
-        yield out
-
-    def _settled(self, key, new: list[tuple], watermark: int) -> pd.DataFrame:
-        *state, last = self.machine.get() if self.machine.exists() else (None,) * 5
-        machine = Debounce(self.sustain, tuple(state))
-        hops = sorted([*(map(tuple, self.waiting.get()) if self.waiting.exists() else ()), *new], key=lambda x: x[:2])
-        ready = next((i for i, x in enumerate(hops) if x[0] > watermark), len(hops))
-        out = []
-        for us, _, label, vector in hops[:ready]:
-            out += [(key[0], *action, list(vector) if action[0] == "start" and vector is not None else None) for action in machine.step(us, label)]
-            last = us
-        if hops[ready:]:
-            self.waiting.put([(us, tie, label, None if v is None else list(v)) for us, tie, label, v in hops[ready:]])
-        elif self.waiting.exists():
-            self.waiting.clear()
-        if last is not None:
-            self.machine.update((*machine.state(), last))
-        wait(self.handle, hops[ready][0] if hops[ready:] else None, None if last is None else last + self.idle_us)
+        yield self._settled(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _settled(self, key, new: list[pa.Table], watermark: int) -> pd.DataFrame:
+        *state, last, timer, waiting = self.held.get() or (None,) * 7
+        machine, out = Debounce(self.sustain, tuple(state)), []
+        hops = pa.concat_tables([*([pa.ipc.open_stream(waiting).read_all()] if waiting else ()), *new]) if waiting or new else self.HOPS.empty_table()
+        us = hops["us"].to_numpy()
+        ready = us <= watermark
+        if ready.any():
+            passed = hops.filter(pa.array(ready))
+            passed = passed.take(pa.array(np.lexsort((passed["tie"].to_numpy(), passed["us"].to_numpy()))))
+            for at, label, vector in zip(passed["us"].to_pylist(), passed["label"].to_pylist(), passed["vector"], strict=True):
+                out += [(key[0], *action, vector.as_py() if action[0] == "start" else None) for action in machine.step(at, label)]
+                last = at
+            hops, us = hops.filter(pa.array(~ready)), us[~ready]
+        self._keep(machine, last, timer, hops, us, idle=not new and last is not None and last + self.idle_us <= watermark)
         return pd.DataFrame(out, columns=self.COLUMNS)
+
+    def _keep(self, machine: Debounce, last: int | None, timer: int | None, hops: pa.Table, us: np.ndarray, idle: bool) -> None:
+        """The state, and one timer: for the first hop that waits, or for the end of the idle time."""
+        times = ([int(us.min())] if len(us) else []) + ([] if last is None else [last + self.idle_us])
+        forget = not len(us) and (idle or not times)
+        at = None if forget else min(times) // 1000 + 1
+        if timer != at:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if forget:
+            self.held.clear()
+            return
+        packed = None
+        if len(us):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.HOPS) as writer:
+                writer.write_table(hops.combine_chunks())
+            packed = sink.getvalue().to_pybytes()
+        self.held.update((*machine.state(), last, at, packed))

@@ -137,6 +137,30 @@ def test_episodes_of_shuffled_hops():
     assert not any(s.exists() for s in handle.states.values()) and not handle.timers
 
 
+def test_a_session_is_read_and_written_once_a_batch():
+    """Calls of the state store for a batch of a session don't follow the hops that wait."""
+    calls = []
+
+    class Counted(Handle.State):
+        def __getattribute__(self, name):
+            if name in ("exists", "get", "update", "put", "clear"):
+                calls.append(name)
+            return super().__getattribute__(name)
+
+    handle, processor = Handle(), EpisodeLog(1.0, 10**12)
+    handle.State = Counted
+    handle.listTimers = lambda: calls.append("listTimers") or list(handle.timers)
+    processor.init(handle)
+    for batch in range(3):
+        us = BASE + np.arange(50) * 1_000_000 - batch
+        frame = pd.DataFrame({"us": us, "tie": np.arange(50), "label": "A", "vector": [None] * 50})
+        calls.clear()
+        assert not len(pd.concat(processor.handleInputRows(("s",), iter([frame]), Clock(0))))
+        assert calls == ["get", "update"] and len(handle.timers) == 1
+    out = pd.concat(processor.handleExpiredTimer(("s",), Clock(BASE + 10**10), None))
+    assert out["at_us"].tolist() == [BASE + 1_000_000 - 2] and out["vector"].tolist() == [None]
+
+
 def test_batches_merge_into_both_memories(spark, tmp_path):
     """Starts and ends in different batches, a batch that runs again, and a similar start in the same batch and before."""
     second = 1_000_000

@@ -30,7 +30,9 @@ def read_chat_store(spark: SparkSession, path: str) -> DataFrame:
     A file holds one document over any number of lines, or documents of a line each, as write_chat_store makes them. Files of
     lines are split among tasks; only the others are read whole.
     """
-    stores = lambda **options: spark.read.schema(schemas.CHAT_STORE).json(path, mode="DROPMALFORMED", **options)
+    # By default a text of more than 20,000,000 characters counts as malformed, and its whole document is dropped.
+    reader = spark.read.schema(schemas.CHAT_STORE).option("maxStringLen", 2**31 - 1)
+    stores = lambda **options: reader.json(path, mode="DROPMALFORMED", **options)
     filled = lambda rows: rows.filter(F.col("chat_sessions").isNotNull()).select("*", F.col("_metadata.file_path").alias("_file"))
     try:
         lines, whole = filled(stores()), filled(stores(multiLine=True))
@@ -43,23 +45,27 @@ def read_chat_store(spark: SparkSession, path: str) -> DataFrame:
     return lines.unionByName(whole.join(of_lines, "_file", "left_anti")).drop("_file")
 
 
-def write_chat_store(messages: DataFrame, path: str, counter: int, current: str | None, store: str | None = None) -> None:
-    """IO4: messages (session_order, session_id, title, turn, role, text) as nested JSON documents.
-
-    The format is a document for each store. store: the column that tells stores apart, one for each user; without
-    it, all messages are one user's and make one document.
-    """
+def chat_documents(messages: DataFrame, counter: int, current: str | None, store: str | None = None) -> DataFrame:
+    """Messages (session_order, session_id, title, turn, role, text) nested as a document for each store; those without a turn come last."""
     keys = [store] if store else []
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    turns = F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "role", F.col("text").alias("content"))))
     said = F.transform(turns, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     sessions = messages.groupBy(*keys, "session_order", "session_id", "title").agg(said.alias("messages"))
     entry = F.struct("session_order", "session_id", F.struct("title", "messages").alias("value"))
     ordered = F.array_sort(F.collect_list(entry))
     pairs = F.transform(ordered, lambda e: F.struct(e["session_id"].alias("key"), e["value"].alias("value")))
-    documents = sessions.groupBy(*keys).agg(F.map_from_entries(pairs).alias("chat_sessions")).select(
+    return sessions.groupBy(*keys).agg(F.map_from_entries(pairs).alias("chat_sessions")).select(
         "chat_sessions", F.lit(counter).alias("session_counter"), F.lit(current).cast("string").alias("current_session_id")
     )
-    documents.write.mode("overwrite").json(path)
+
+
+def write_chat_store(messages: DataFrame, path: str, counter: int, current: str | None, store: str | None = None) -> None:
+    """IO4: messages (session_order, session_id, title, turn, role, text) as nested JSON documents.
+
+    The format is a document for each store. store: the column that tells stores apart, one for each user; without
+    it, all messages are one user's and make one document.
+    """
+    chat_documents(messages, counter, current, store).write.mode("overwrite").json(path)
 
 
 def memory_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:

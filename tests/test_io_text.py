@@ -64,6 +64,25 @@ def test_queries_of_many_stores(spark, tmp_path):
         same(log_queries.QUERIES[name](spark, str(tmp_path)), log_queries.SQL[name], str(tmp_path))
 
 
+def test_a_store_keeps_long_texts(spark, tmp_path):
+    said = spark.range(2).select(
+        F.lit(1).alias("session_order"), F.lit("s").alias("session_id"), F.lit("t").alias("title"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+        F.when(F.col("id") == 1, F.repeat(F.lit("é"), F.lit(20_000_001))).otherwise("short").alias("text"),
+    )
+    io.write_chat_store(said, str(tmp_path / "out"), 1, None)
+    rows = ch.flatten_sessions(io.read_chat_store(spark, str(tmp_path / "out")))
+    assert sorted(tuple(r) for r in rows.select("turn", F.length("text")).collect()) == [(0, 5), (1, 20_000_001)]
+
+
+def test_chats_without_turn_or_id(spark, tmp_path):
+    """In the SQL a message without turn comes last, and messages without conversation are one."""
+    rows = [(c if c % 50 else None, None if i == c % 3 else i, None if i == 2 else "user", f"{c} {i}" if i else None) for c in range(1, 220) for i in range(4) if c % 50 or i]
+    rows = [(c, i if c else k, r, x) for k, (c, i, r, x) in enumerate(rows)]  # no ties
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    for name in ("io3_read_chat_store", "io4_write_chat_store", "ch1_flatten_sessions", "ch11_current_session"):
+        same(log_queries.QUERIES[name](spark, str(tmp_path)), log_queries.SQL[name], str(tmp_path))
+
+
 def test_clear_memory(spark, tmp_path):
     paths = [str(tmp_path / x) for x in ("eeg", "text")]
     rows = spark.sql("select 's' as session_id, 'e' as evt_id, array(1D) as vector, 'd' as document, 'c' as context, timestamp'2024-01-01' as start_ts")
